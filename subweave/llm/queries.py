@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from subweave.llm.byte_bpe import encode_and_decode
 from subweave.llm.html_text import extract_main_text
 from subweave.llm.near_dedup import near_duplicates
+from subweave.llm.quality_crf import bucket, fit_quality, quality_scores
 from subweave.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,14 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    out = quality_scores(docs, model, threshold=0.3)
+    return out.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @_query
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
