@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from subweave.llm.byte_bpe import encode_and_decode
 from subweave.llm.html_text import extract_main_text
+from subweave.llm.language_gru import fit_languages, predict_languages
 from subweave.llm.near_dedup import near_duplicates
 from subweave.llm.quality_crf import bucket, fit_quality, quality_scores
 from subweave.llm.token_files import read_token_files, write_token_files
@@ -65,6 +66,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs, folds=3, held_out=1)
+    return predict_languages(docs, model).select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
