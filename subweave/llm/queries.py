@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subweave.llm.byte_bpe import encode_and_decode
+from subweave.llm.decontaminate import contaminated_passages
 from subweave.llm.html_text import extract_main_text
 from subweave.llm.language_gru import fit_languages, predict_languages
 from subweave.llm.near_dedup import near_duplicates
@@ -53,6 +54,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))

@@ -15,8 +15,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TERM = _BYTE[_LOWER]
-_TERM[_SPACE] = 0
+
+
+def _alphabet(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms = _BYTE[_LOWER]
+    terms[breaks] = 0
+    return breaks, terms
+
+
+BLANKS = _alphabet(_SPACE)  # words end at ASCII white space
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[:128] = [not chr(b).isalnum() for b in range(128)]
+PUNCTUATION = _alphabet(_PUNCTUATION)  # words are runs of ASCII letters and digits and of characters beyond ASCII
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -49,12 +59,13 @@ def runs(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of bytes other than white space, A-Z lower-cased), and each row's first word (one more than rows)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: tuple[np.ndarray, np.ndarray] = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of bytes other than breaks, A-Z lower-cased), and each row's first word (one more than rows)."""
+    breaks, byte_terms = alphabet
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     fresh = solid.copy()
     fresh[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
@@ -65,7 +76,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     data = data[starts[0] :]
     shifted = starts - starts[0]
     at = np.arange(len(data)) - np.repeat(shifted, np.diff(shifted, append=len(data)))
-    terms = _TERM[data] * _POWER[at & 4095]
+    terms = byte_terms[data] * _POWER[at & 4095]
     return mixed(np.add.reduceat(terms, shifted)), np.searchsorted(starts, offsets)
 
 
