@@ -12,9 +12,11 @@ from subweave.llm.decontaminate import contaminated_passages
 from subweave.llm.html_text import extract_main_text
 from subweave.llm.language_gru import fit_languages, predict_languages
 from subweave.llm.near_dedup import near_duplicates
+from subweave.llm.pseudonyms import pseudonymise
 from subweave.llm.quality_crf import bucket, fit_quality, quality_scores
 from subweave.llm.token_files import read_token_files, write_token_files
 
+PSEUDONYM_KEY = "replace this key before use"  # of the registered queries; a job passes its own
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -72,6 +74,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@_query
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_values")
+
+
 @_query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
