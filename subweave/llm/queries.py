@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from subweave.llm.byte_bpe import encode_and_decode
 from subweave.llm.chat_format import format_conversations, linear_replies, masked_text, read_back
 from subweave.llm.decontaminate import contaminated_passages
+from subweave.llm.graph_search import build_index, search
 from subweave.llm.html_text import extract_main_text
 from subweave.llm.language_gru import fit_languages, predict_languages
 from subweave.llm.near_dedup import near_duplicates
@@ -31,6 +32,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def _tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -127,7 +134,7 @@ select w.doc_id, coalesce(n.n,0) n_shingles, coalesce(m.c,w.doc_id) component_id
 ORACLES["op7_chat_format"] = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
