@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subweave.llm.shared import partitions, written
+from subweave.llm.shared import new_path, partitions
 
 BLOCK_BYTES = 12 << 20  # text of a block of documents
 
@@ -38,11 +39,6 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=token_bytes(path), special_tokens={})
 
 
-def _packed(numbers: np.ndarray, words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.compress(b"".join([np.uint32(len(words)).tobytes(), _planes(numbers), _planes(sizes), *words]), 3)
-
-
 def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
@@ -51,13 +47,26 @@ def _unplaned(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).reshape(-1).view("<u4"), at + 4 * n
 
 
-def _unpacked(body: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.decompress(body)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    numbers, at = _unplaned(raw, 4, n)
-    sizes, at = _unplaned(raw, at, n)
-    ends = (np.cumsum(sizes, dtype=np.int64) + at).tolist()
-    return numbers, [raw[lo:hi] for lo, hi in zip([at, *ends], ends, strict=False)]
+def _short(x: np.ndarray) -> bytes:
+    """Numbers of which small ones are the most frequent: a first byte each, and streams of the further bytes of those that need any."""
+    x = x.astype(np.int64)
+    one, two, three = x < 192, (x >= 192) & (x < 12_480), (x >= 12_480) & (x < 995_520)
+    y, z = x - 192, x - 12_480
+    first = np.where(one, x, np.where(two, 192 + (y >> 8), np.where(three, 240 + (z >> 16), 255))).astype(np.uint8)
+    rest = ~(one | two | three)
+    return b"".join([first.tobytes(), (y[two] & 255).astype(np.uint8).tobytes(), (z[three] & 0xFFFF).astype("<u2").tobytes(), x[rest].astype("<u4").tobytes()])
+
+
+def _unshort(raw: bytes, n: int) -> np.ndarray:
+    first = np.frombuffer(raw, np.uint8, n)
+    out = first.astype(np.int64)
+    two, three, rest = (first >= 192) & (first < 240), (first >= 240) & (first < 255), first == 255
+    a = n + int(two.sum())
+    b = a + 2 * int(three.sum())
+    out[two] = ((out[two] - 192) << 8) + np.frombuffer(raw, np.uint8, a - n, n) + 192
+    out[three] = ((out[three] - 240) << 16) + np.frombuffer(raw, "<u2", int(three.sum()), a) + 12_480
+    out[rest] = np.frombuffer(raw, "<u4", int(rest.sum()), b)
+    return out
 
 
 _PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
@@ -102,24 +111,37 @@ class _Block:
         return np.array([number.setdefault(w, len(number)) for w in self.find(text)], "<u4").tobytes()
 
 
+_POSITIONS, _ORDER = -1, -2  # in the place of a bucket: a run of documents, the numbers of the words of all buckets
+
+
 def _pretokens(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        block, held, size = _Block(pattern), 0, 0
-        count = 0
+        count = TaskContext.get().partitionId() << 24
 
         def row(bucket: int, ids: list, sizes: list, body: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"block": base + count, "bucket": bucket, "ids": ids, "sizes": sizes, "body": body}], schema=_PIECES)
-
-        def words() -> Iterator[pa.RecordBatch]:
-            all_words = [w.encode("utf-8", "surrogatepass") for w in block.number]
-            place = np.fromiter((hash_of(w) for w in all_words), np.int64, len(all_words)) % buckets
-            order = np.argsort(place, kind="stable")
-            cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                own = order[lo:hi]
-                yield row(int(place[own[0]]), [], [], _packed(own.astype("<u4"), [all_words[i] for i in own]))
-
+            return pa.RecordBatch.from_pylist([{"block": count, "bucket": bucket, "ids": ids, "sizes": sizes, "body": zstandard.compress(body, 3)}], schema=_PIECES)
+
+        def finished(block: _Block, runs: list) -> Iterator[pa.RecordBatch]:
+            words = [w.encode() for w in block.number]
+            used = np.zeros(len(words), np.int64)
+            for _, _, numbers in runs:
+                used += np.bincount(numbers, minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-used, kind="stable")] = np.arange(len(words))  # the most frequent word is number 0
+            for ids, sizes, numbers in runs:
+                yield row(_POSITIONS, ids, sizes, _short(rank[numbers]))
+            dealt: list[list[int]] = [[] for _ in range(buckets)]
+            for i, w in enumerate(words):
+                dealt[hash_of(w) % buckets].append(i)
+            order = []
+            for b, own in enumerate(dealt):
+                if own:
+                    own.sort(key=words.__getitem__)
+                    order += own
+                    yield row(b, [], [len(own)], b"\xff".join([words[i] for i in own]))  # a byte that no UTF-8 text has
+            yield row(_ORDER, [], [], _planes(rank[order]) if order else b"")
+
+        block, runs, size = _Block(pattern), [], 0
         for whole in batches:
             lo = 0
             while lo < whole.num_rows:
@@ -130,14 +152,13 @@ def _pretokens(pattern: str, buckets: int):
                     streams.append(block(text))
                     held += len(text)
                     lo += 1
-                numbers = np.frombuffer(b"".join(streams), "<u4")
-                yield row(-1, ids, [len(s) // 4 for s in streams], zstandard.compress(_planes(numbers), 3))
+                runs.append((ids, [len(s) // 4 for s in streams], np.frombuffer(b"".join(streams), "<u4")))
                 size += held
                 if size >= BLOCK_BYTES:
-                    yield from words()
-                    block, size, count = _Block(pattern), 0, count + 1
-        if size or block.number:
-            yield from words()
+                    yield from finished(block, runs)
+                    block, runs, size, count = _Block(pattern), [], 0, count + 1
+        if runs:
+            yield from finished(block, runs)
 
     return run
 
@@ -156,42 +177,49 @@ def _encode(ranks: str, pattern: str):
         known: dict[bytes, bytes] = {}
         bodies = []
         for body in table.column("body"):
-            numbers, words = _unpacked(body.as_py())
+            words = zstandard.decompress(body.as_py()).split(b"\xff")
             for w in words:
                 if w not in known:
-                    known[w] = np.array([vocabulary[w]] if w in vocabulary else encode(w.decode("utf-8", "replace")), "<u4").tobytes()
-            bodies.append(_packed(numbers, [known[w] for w in words]))
+                    known[w] = np.array([vocabulary[w]] if w in vocabulary else encode(w.decode()), "<u4").tobytes()
+            found = [known[w] for w in words]
+            counts = np.fromiter(map(len, found), "<u4", len(found)) // 4
+            bodies.append(zstandard.compress(_planes(counts) + _planes(np.frombuffer(b"".join(found), "<u4")), 3))
         return pa.table([table.column("block"), table.column("bucket"), table.column("ids"), table.column("sizes"), pa.array(bodies, pa.binary())], schema=_PIECES)
 
     return run
 
 
 def _assembled(ranks: str):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pieces: pa.Table, encoded: pa.Table) -> pa.Table:
         """One block: the ids of its words, then its documents by position."""
-        table = {i: w for w, i in token_bytes(ranks).items()}
-        texts, ids_of = [], {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] < 0:
-                    texts.append(r)
-                else:
-                    numbers, packed = _unpacked(r["body"])
-                    ids_of.update(zip(numbers.tolist(), packed, strict=True))
-        ids_of = [ids_of[i] for i in range(len(ids_of))]
-        raw = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids_of]
-        for r in texts:
-            n = sum(r["sizes"])
-            numbers = _unplaned(zstandard.decompress(r["body"]), 0, n)[0].tolist()
-            ids, decoded, at = [], [], 0
-            for size in r["sizes"]:
-                own = numbers[at : at + size]
-                at += size
-                ids.append(b"".join([ids_of[i] for i in own]))
-                decoded.append(b"".join([raw[i] for i in own]))
-            flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.ListArray.from_arrays(bounds, flat), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+        token = {i: w for w, i in token_bytes(ranks).items()}
+        order = next(r["body"] for r in pieces.to_pylist() if r["bucket"] == _ORDER) if pieces.num_rows else zstandard.compress(b"")
+        order = zstandard.decompress(order)
+        order = _unplaned(order, 0, len(order) // 4)[0].tolist()
+        ids_of: list[bytes] = [b""] * len(order)
+        at = 0
+        for r in sorted(encoded.to_pylist(), key=lambda r: r["bucket"]):
+            body, n = zstandard.decompress(r["body"]), r["sizes"][0]
+            counts, start = _unplaned(body, 0, n)
+            flat = _unplaned(body, start, (len(body) - start) // 4)[0].tobytes()
+            ends = (4 * np.cumsum(counts, dtype=np.int64)).tolist()
+            for number, lo, hi in zip(order[at : at + n], [0, *ends], ends, strict=False):
+                ids_of[number] = flat[lo:hi]
+            at += n
+        raw = [b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids_of]
+        names, ids, decoded = [], [], []
+        for r in pieces.to_pylist():
+            if r["bucket"] == _POSITIONS:
+                numbers, lo = _unshort(zstandard.decompress(r["body"]), sum(r["sizes"])).tolist(), 0
+                names += r["ids"]
+                for size in r["sizes"]:
+                    own = numbers[lo : lo + size]
+                    lo += size
+                    ids.append(b"".join([ids_of[i] for i in own]))
+                    decoded.append(b"".join([raw[i] for i in own]))
+        bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]), pa.int32())
+        flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
+        return pa.table([pa.array(names, pa.int64()), pa.ListArray.from_arrays(bounds, flat), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
     return run
 
@@ -206,8 +234,11 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets or 4 * partitions(spark)
-    # written: blocks are named by task, so they must be cut only once
-    pieces = written(rows.mapInArrow(_pretokens(pattern, buckets), _PIECES_DDL), "pretokens")
-    encoded = pieces.where("bucket >= 0").groupBy("bucket").applyInArrow(_encode(ranks, pattern), _PIECES_DDL)
-    whole = pieces.where("bucket < 0").union(encoded).groupBy("block").applyInArrow(_assembled(ranks), "id long, ids array<int>, decoded binary")
+    # written once, as blocks are named by task; bucketed by block, so that documents aren't shuffled again
+    name = "pretokens_" + uuid.uuid4().hex
+    pieces = rows.mapInArrow(_pretokens(pattern, buckets), _PIECES_DDL)
+    pieces.write.format("parquet").bucketBy(partitions(spark), "block").option("path", new_path(spark, "pretokens")).saveAsTable(name)
+    pieces = spark.table(name)
+    encoded = pieces.where("bucket >= 0").repartition(partitions(spark), "bucket").groupBy("bucket").applyInArrow(_encode(ranks, pattern), _PIECES_DDL)
+    whole = pieces.where("bucket < 0").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assembled(ranks), "id long, ids array<int>, decoded binary")
     return whole.withColumnRenamed("id", id_col)
