@@ -161,6 +161,8 @@ class DocumentReader:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         k = len(self.model.langs)
+        if not k:
+            return ["und"] * len(texts), np.zeros(len(texts))
         split = [t.split() if t else [] for t in texts]
         fresh = {w for words in split for w in words}
         new = [w for w in fresh if w not in self.rows]
@@ -175,7 +177,7 @@ class DocumentReader:
         get = self.rows.__getitem__
         langs, scores = [], np.zeros(len(texts))
         for i, (text, words) in enumerate(zip(texts, split, strict=True)):
-            if not k or not words or not any(map(str.isalpha, text)):
+            if not words or not any(map(str.isalpha, text)):
                 langs.append("und")
                 continue
             sums = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=np.float64)
@@ -201,7 +203,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     taken, y = [], []
     r = np.random.default_rng(9)
     for k, lang in enumerate(langs):
-        found = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("id", "text"), "id").limit(sample).select("text").collect()
+        # first which documents, by ids and hashes alone; then only their texts come to the driver
+        chosen = rows.where(F.col("lang") == lang).select(F.xxhash64("id", "text").alias("h"), "id").orderBy("h", "id").limit(sample).distinct()
+        found = rows.where(F.col("lang") == lang).withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(chosen), ["h", "id"], "left_semi").orderBy("h").select("text").collect()
         own = [w for x in found for w in x.text.split() if any(map(str.isalpha, w))]
         if len(own) > words:
             own = [own[i] for i in r.choice(len(own), words, replace=False)]
