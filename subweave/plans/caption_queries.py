@@ -159,12 +159,12 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_cues(cues_from_documents(spark, sf_dir)).select("track_id", "cue_index")
 
 
-# what a hash of the 31 * h + c kind gives, by a fold over the characters
-@query("""select cast(doc_id as varchar) as track_id, list_reduce(list_prepend(cast(0 as hugeint), list_transform(string_split(substr(text, 1, 64), ''), lambda c: cast(ord(c) as hugeint))), lambda a, c: (a * 31 + c) % 4294967296) as h from documents where length(text) > 0
-""".replace("as h from", "as h0 from").join(["select track_id, cast(case when h0 >= 2147483648 then 4294967296 - h0 else h0 end as bigint) as h from (", ")"]))
+# the 31 * h + c hash by a fold over the characters, all of which are single UTF-16 units here
+@query("""select track_id, cast(case when h >= 2147483648 then 4294967296 - h else h end as bigint) as h from (
+select cast(doc_id as varchar) as track_id, list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(text, ''), lambda c: cast(ord(c) as bigint))), lambda a, c: (a * 31 + c) % 4294967296) as h from documents where length(text) > 0)""")
 def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    h = F.conv(T.source_hash(F.substring("text", 1, 64)), 36, 10).cast("long")  # the hash of a title: 64 characters are the feature
+    h = F.conv(T.source_hash(F.col("text")), 36, 10).cast("long")
     return d.select(F.col("doc_id").cast("string").alias("track_id"), h.alias("h"))
 
 

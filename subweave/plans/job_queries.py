@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -16,6 +18,7 @@ from subweave.operators.segments import optimize_bilingual_cues
 from subweave.plans.caption_queries import CUES
 from subweave.plans.registry import query
 from subweave.sources import adapters as A
+from subweave.sources.sinks import write_jobs
 from subweave.streaming import requests as R
 
 NOW = 870_000_000_000  # a fixed "now" among the dates of orders
@@ -256,9 +259,50 @@ def guidance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.guidance_prompts(chunks, "glossary", "reduce", "French")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="subweave-")).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    path = _folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _lower_model(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: lower-cases the lines of a prompt."""
+    out = []
+    for p in prompts:
+        lines = re.findall(r"^\[(\d+)\] (.*)$", p.split("Lines to work on:")[1].split("\n\nAnswer with")[0], re.M)
+        out.append(json.dumps([{"id": int(k), "translation": t.lower()} for k, t in lines]))
+    return out
+
+
+@query(_sql(r"select track_id, cue_index, case when regexp_full_match(trim(text), '[\p{P}\p{S}\s]+') then text else lower(trim(text)) end as translated_text from cues", CUES))
+def translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep)
+    return out.select("track_id", "cue_index", "translated_text")
+
+
+@query(_sql("select id, lang, status, created_at from jobs", JOBS))
+def job_table_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "jobs")
+    write_jobs(A.jobs_from_orders(spark, sf_dir), path)
+    return spark.read.parquet(path).select("id", "lang", "status", "created_at")
+
+
+@query(_sql("select track_id, cast(min(start_ms) as bigint) as session_start, cast(max(end_ms) as bigint) + 1200 as session_end, count(*) as n from g group by track_id, k", CUES, """
+s as (select track_id, cue_index, start_ms, end_ms, max(end_ms) over (partition by track_id order by start_ms, cue_index rows between unbounded preceding and 1 preceding) as far from cues),
+g as (select *, sum(case when start_ms - far > 1200 then 1 else 0 end) over (partition by track_id order by start_ms, cue_index rows unbounded preceding) as k from s)"""))
+def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.cues_from_documents(spark, sf_dir).select("track_id", F.timestamp_millis(F.col("start_ms").cast("long")).alias("ts"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    return R.gap_sessions(c).select("track_id", F.unix_millis("session_start").alias("session_start"), F.unix_millis("session_end").alias("session_end"), "n")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, make, mode: str = "append") -> DataFrame:  # noqa: ANN001
     """Runs a streaming query over the events until it has read them all, and returns what it wrote."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="subweave-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark, "stream")
     schema = A.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     out = make(stream)
@@ -280,3 +324,14 @@ def classify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("state <> 'invalid'").select("request_id", "state")
 
 
+
+
+@query(_sql(f"select distinct {KEY}, source_hash from valid", REQUESTS))
+def streaming_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys stay in flight for as long as the table spans."""
+
+    def once(events: DataFrame) -> DataFrame:
+        r = J.validate_requests(A.requests_of(events)).where("error is null").withColumn("ts", F.col("ts").cast("timestamp"))
+        return R.dedupe_in_flight(r, "3650 days").select(*J.NATURAL_KEY)
+
+    return _streamed(spark, sf_dir, once)

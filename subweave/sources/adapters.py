@@ -62,7 +62,11 @@ def jobs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as requests."""
     user, n = F.col("user_id"), F.col("event_id")
     video = F.when(n % 50 == 0, "v1234").otherwise(F.concat(F.lit("v"), F.lpad(user.cast("string"), 10, "0")))
     lang = F.when(n % 70 == 0, F.lit(None)).when(n % 4 == 0, "en").when(n % 4 == 1, "fr").when(n % 4 == 2, "de").otherwise("es")
