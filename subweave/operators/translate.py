@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +25,21 @@ def unequal_tracks(original: DataFrame, translated: DataFrame) -> DataFrame:
     return n(original, "n_original").join(n(translated, "n_translated"), "track_id", "full").na.fill(0).where("n_original <> n_translated")
 
 
-def _fold_batches(max_items: int, max_chars: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cue_index")
-        number, items, chars, out = 0, 0, 0, []
-        for n in rows["n"]:
-            if items >= max_items or items and chars + n > max_chars:
-                number, items, chars = number + 1, 0, 0
-            out.append(number)
-            items, chars = items + 1, chars + n
-        return pd.DataFrame({"track_id": rows["track_id"], "cue_index": rows["cue_index"], "batch_no": out})
+def _number_batches(max_items: int, max_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers the batch of each line; lines come track by track, in order, so only three counters are held."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, number, items, chars = object(), 0, 0, 0
+        for part in parts:
+            out = []
+            for t, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if t != track:
+                    track, number, items, chars = t, 0, 0, 0
+                elif items >= max_items or items and chars + n > max_chars:
+                    number, items, chars = number + 1, 0, 0
+                out.append(number)
+                items, chars = items + 1, chars + n
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=["track_id", "cue_index", "batch_no"])
 
     return run
 
@@ -41,12 +47,12 @@ def _fold_batches(max_items: int, max_chars: int) -> Callable[[pd.DataFrame], pd
 def plan_batches(cues: DataFrame, max_items: int = 12, max_chars: int = 900) -> DataFrame:
     """(track_id, batch_no, start, end): greedy ranges of cues, `end` exclusive; a new one where the next line exceeds the items or characters.
 
-    Where a batch begins depends on where the one before did, so it is a fold over each track's line lengths (numbers only).
+    Where a batch begins depends on where the one before did, so it is a fold over each track's line lengths.
     """
     n = F.greatest(F.lit(1), F.length(trimmed(F.col("text"))))
     lines = cues.select("track_id", "cue_index", n.alias("n"))
     kind = f"track_id {lines.schema['track_id'].dataType.simpleString()}, cue_index int, batch_no int"
-    placed = lines.groupBy("track_id").applyInPandas(_fold_batches(max_items, max_chars), kind)
+    placed = lines.repartition("track_id").sortWithinPartitions("track_id", "cue_index").mapInArrow(_number_batches(max_items, max_chars), kind)
     return placed.groupBy("track_id", "batch_no").agg(F.min("cue_index").alias("start"), (F.max("cue_index") + 1).alias("end"))
 
 
