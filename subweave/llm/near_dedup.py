@@ -3,12 +3,13 @@
 Every document's MinHash signature is read in several orders ("trees"). Documents whose signatures share the first
 values of an order are neighbours there. Where a region of an order is dense, its documents descend to longer common
 prefixes until few share one; on the way each is tied to one representative of every region it passes. Candidates are
-verified on the full shingle sets, first each document's closest candidate, then only those that would join two
-components, and last what remains between the components of dense regions, so no region is ever expanded into all pairs.
+verified on the full shingle sets: first each document's closest candidate, then only those that would join two
+components and what else dense regions hold of several components, so no region is ever expanded into all pairs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,7 +108,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 24, few: int = 12, levels: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 24, few: int = 12, levels: int = 3) -> DataFrame:
     """Groups of documents with near-equal sets of word shingles.
 
     docs: an integer id and a text column; other columns are ignored, whatever their names. Words are runs of bytes
@@ -124,7 +125,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(texts.mapInArrow(_fingerprints(shingle, trees), "id long, n long, k1 long, k2 long, labels array<long>, sketch array<long>, values binary"), "fingerprints")
     usable = rows.where("n > 0 and id is not null")
     classes = written(usable.groupBy("k1", "k2").agg(F.min("id").alias("id")), "classes")
-    nodes = written(usable.join(classes, ["k1", "k2", "id"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("id", "labels", "sketch", "values"), "nodes")
+    nodes = written(usable.join(classes, ["k1", "k2", "id"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("id", "n", "labels", "sketch", "values"), "nodes")
 
     # candidates, level by level
     members = nodes.select("id", F.posexplode("labels").alias("tree", "label"))
@@ -165,24 +166,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = "+".join(f"bit_count(xs[{k}] ^ ys[{k}])" for k in range(words)) + f" <= {limit}"
     left = candidates.select("a", "b").join(closest, ["a", "b"], "left_anti")
     left = written(_across(left, joined).join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("xs")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("ys")), "b").where(apart).select("a", "b"), "left")
-    if not left.isEmpty():
-        links = links.union(_verified(left, node_texts, shingle, percent))
-        joined = written(components(links), "components")
-
-    # last, what dense regions hold of several components
-    placed = dense.join(joined, "id", "left").select("label", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("label", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("label").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    placed = placed.join(main.select("label", F.col("m.component").alias("main")), "label").join(sketches, "id")
-    placed = written(placed.select("label", "id", "component", "main", "sketch"), "mixed")
-    minor = placed.where("component <> main").select("label", F.col("id").alias("x"), F.col("component").alias("xc"), F.col("sketch").alias("xs"))
-    other = placed.select(F.col("label").alias("l"), F.col("id").alias("y"), F.col("component").alias("yc"), F.col("sketch").alias("ys"), (F.col("component") == F.col("main")).alias("in_main"))
-    rest = minor.join(other, (F.col("label") == F.col("l")) & (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & F.expr(apart))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, node_texts, shingle, percent))
-        joined = written(components(links), "components")
+    # and what dense regions hold of several components, block against block
+    rest = _between_components(dense, joined, nodes.select("id", "n"), node_texts, shingle, percent)
+    more = [rest] if left.isEmpty() else [_verified(left, node_texts, shingle, percent), rest]
+    if any(not m.isEmpty() for m in more):
+        joined = written(components(functools.reduce(DataFrame.union, [links, *more])), "components")
     dropped(candidates, nodes)
 
     component = classes.join(joined, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
@@ -198,6 +186,80 @@ def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _between_components(dense: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int = 512) -> DataFrame:
+    """Links between different components of dense regions: for each document one to each component that it reaches.
+
+    Regions that overlap make up a cluster. Its documents are cut into blocks of about `block` of much the same set
+    size, and every block is compared with the blocks of sizes that can be similar enough, one such pair in a task.
+    Documents of the cluster's largest component are compared only with those outside it.
+    """
+    placed = dense.join(joined, "id", "left").select("label", "id", F.coalesce("component", "id").alias("component"))
+    mixed_regions = placed.groupBy("label").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("label", "lo")
+    placed = written(placed.join(mixed_regions, "label").select("id", "component", "lo").distinct(), "mixed")
+    if placed.isEmpty():
+        return placed.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    # components that share a region, rather than documents, so a large component is one end of few links
+    cluster = components(placed.select(F.col("component").alias("a"), F.col("lo").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    inside = placed.select("id", "component").distinct().join(cluster, "component").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    step = 1.1
+    inside = inside.withColumn("width", F.floor(F.log("n") / F.log(F.lit(step))).cast("int"))
+    counts = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
+    inside = inside.join(main, "cluster").withColumn("minor", F.col("component") != F.col("main"))
+    full = inside.groupBy("cluster", "width", "minor").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    inside = written(inside.join(full, ["cluster", "width", "minor"]).select("id", "component", "cluster", "width", "minor", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")), "inside")
+    blocks = inside.select("cluster", "width", "minor", "part").distinct()
+    left = blocks.where("minor").select("cluster", *[F.col(c).alias(f"a_{c}") for c in ("width", "part")])
+    right = blocks.select("cluster", *[F.col(c).alias(f"b_{c}") for c in ("width", "minor", "part")])
+    reach = int(np.ceil(np.log(100 / percent) / np.log(step))) + 1
+    near = (F.abs(F.col("a_width") - F.col("b_width")) <= reach) & (~F.col("b_minor") | (F.struct("a_width", "a_part") <= F.struct("b_width", "b_part")))
+    pairs = written(left.join(right, "cluster").where(near), "blocks")
+    key = ["cluster", "a_width", "a_part", "b_width", "b_minor", "b_part"]
+    sets = texts.join(inside.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, members binary")
+    inside = written(inside.join(sets, "id"), "sets")
+    one = inside.where("minor").select("cluster", F.col("width").alias("a_width"), F.col("part").alias("a_part"), "id", "component", "members")
+    two = inside.select("cluster", F.col("width").alias("b_width"), F.col("minor").alias("b_minor"), F.col("part").alias("b_part"), "id", "component", "members")
+    dealt = pairs.join(one, ["cluster", "a_width", "a_part"]).select(*key, F.lit(0).alias("side"), "id", "component", "members")
+    dealt = dealt.union(pairs.join(two, ["cluster", "b_width", "b_minor", "b_part"]).select(*key, F.lit(1).alias("side"), "id", "component", "members"))
+    return written(dealt.groupBy(*key).applyInArrow(_block_links(percent), "a long, b long"), "links")
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+        size = np.array([len(x) for x in sets], np.int64)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        shared = np.zeros((len(one), len(two)))
+        if len(one) and len(two):
+            rows = [np.repeat(np.arange(len(k)), size[k]) for k in (one, two)]
+            grams = [np.concatenate([sets[i] for i in k]) for k in (one, two)]
+            both = np.intersect1d(*grams)
+            at = [np.searchsorted(both, g) for g in grams]
+            real = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == g) if len(both) else np.zeros(len(g), bool) for p, g in zip(at, grams, strict=True)]
+            at, rows = [p[r] for p, r in zip(at, real, strict=True)], [q[r] for q, r in zip(rows, real, strict=True)]
+            order = [np.argsort(p, kind="stable") for p in at]
+            at, rows = [p[o] for p, o in zip(at, order, strict=True)], [q[o] for q, o in zip(rows, order, strict=True)]
+            for lo in range(0, len(both), 4096):
+                parts = []
+                for p, q, k in zip(at, rows, (one, two), strict=True):
+                    x, y = np.searchsorted(p, [lo, lo + 4096])
+                    held = np.zeros((len(k), min(4096, len(both) - lo)), np.float32)
+                    held[q[x:y], p[x:y] - lo] = 1
+                    parts.append(held)
+                shared += parts[0] @ parts[1].T
+        linked = (100 * shared >= percent * (size[one][:, None] + size[two][None, :] - shared)) & (component[one][:, None] != component[two][None, :])
+        i, j = np.nonzero(linked)
+        if not len(i):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        _, first = np.unique(np.stack([i, component[two][j]]), axis=1, return_index=True)
+        a, b = ids[one][i[first]], ids[two][j[first]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the group's smallest id. Rows with a null id stay; of rows with the same id one stays."""
     keep = near_duplicates(docs, id_col, text_col, **options).where(f"kept and {id_col} is not null").select(id_col)
