@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}  # of applications without the setting
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="subweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        name = spark.sparkContext.applicationId
+        path = _OWN.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="subweave-")
+        _OWN[name] = path
     return path.rstrip("/")
 
 
@@ -60,7 +63,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: an id and its smaller neighbours all point to the smallest of them
         smaller = large.groupBy("b").agg(F.min("a").alias("m"))
         star = large.join(smaller, "b")
-        new = written(star.select(F.col("m").alias("a"), "b").union(star.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")).distinct(), "links")
+        new = star.select(F.col("m").alias("a"), "b").union(star.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")).distinct()
+        new = written(new.coalesce(8 + last["n"] // 50_000) if last else new, "links")  # few links need few files
         digest = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         dropped(state)
         state = new
