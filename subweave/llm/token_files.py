@@ -114,38 +114,84 @@ def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
         held = held[length:]
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+class Remembered:
+    """A bounded memory: when it is full, what wasn't asked for since it was last full is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that aren't known; afterwards all the others are in `new`."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out, old, new = [], self.old, self.new
+        for k in keys.difference(new):
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                new[k] = v
+        return out
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizer file whose pre-tokenizer drops white space, each distinct piece between blanks once.
+    """Encodes texts with a tokenizer file that drops white space, each distinct piece between blanks and each of its words once.
 
-    No token of such a tokenizer spans a blank or a line feed, so a text's ids are those of its pieces in order.
-    most: so many pieces are remembered before the memory starts anew, which bounds it without changing any result.
+    No token of such a tokenizer spans a blank, a line feed or a match of the file's own splitting pattern, so a text's ids are those of
+    its words in order. Memories are bounded, which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
-        self.tokenizer, self.most = _tokenizer(path), most
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str, most: int = 250_000) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        if [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"]:
+            raise ValueError("only for files that split by a pattern and then map bytes to letters")
+        self.split = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        # byte-level letters: visible Latin characters stand for themselves, all other bytes for those from 256 on, in order
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in own)}
+        self.pack = [struct.Struct(f"<{k}I").pack for k in range(64)]
+        self.marks = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.words = Remembered(most), Remembered(2 * most)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for lo in range(0, len(texts), 10_000) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 10_000], add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single matches of the splitting pattern, straight from the file's model."""
+        tokenize, pack, letters = self.tokenizer.model.tokenize, self.pack, self.letters
+        out = []
+        for w in words:
+            ids = [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin1").translate(letters))]
+            out.append(pack[len(ids)](*ids) if len(ids) < len(pack) else np.array(ids, "<u4").tobytes())
+        return out
 
     def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = list({p for pieces in split for p in pieces}.difference(self.known))
-        if len(self.known) + len(fresh) > self.most:
-            self.known = {}
-            fresh = list({p for pieces in split for p in pieces})
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        fresh = self.pieces.missing(set().union(*split))
+        plain, other = [], []
+        for p in fresh:
+            # Latin letters alone: lower case is the same for a word and letter by letter, and nothing combines
+            (other if p and (max(p) > "\xff" or any(m in p for m in self.marks)) else plain).append(p)
+        found = [self.split(p.lower()) for p in plain]
+        unknown = self.words.missing({w for ws in found for w in ws})
+        self.words.new.update(zip(unknown, self._words(unknown), strict=True))
+        known = self.words.new.__getitem__
+        self.pieces.new.update(zip(plain, [b"".join(map(known, ws)) for ws in found], strict=True))
+        self.pieces.new.update(zip(other, self._library(other), strict=True))
+        get = self.pieces.new.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in split]
 
 
+@functools.cache
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
 def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
@@ -155,7 +201,7 @@ def _write(folder: str, tokenizer: str, end_id: int | None, kind: str, block: in
         fs, base = _filesystem(folder)
         writer = name = None
         shard = n_docs = n_ids = 0
-        encode = PieceEncoder(tokenizer)
+        encode = _encoder(tokenizer)
         end = np.array([] if end_id is None else [end_id], "<u4")
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
