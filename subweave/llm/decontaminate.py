@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from subweave.llm.words import PUNCTUATION, runs, shingle_hashes, text_bytes, word_hashes
 
 BLOCKS = 8  # of 8 bits
+NO_HOLDERS = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 HITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
@@ -37,16 +38,17 @@ def simhashes(features: np.ndarray, weights: np.ndarray, lo: np.ndarray, hi: np.
 class BenchmarkIndex:
     """A slice of the benchmark: each item's words, weighted shingles, fingerprint and place in the multi-index.
 
-    A shingle's weight is 1 / (1 + ln n), n being the number of items of the slice's whole benchmark that hold it.
+    A shingle's weight is 1 / (1 + ln n), n being the number of items of the whole benchmark, not of the slice, that hold it.
+    holders: the sorted shingles that several items hold and their numbers of items; empty if there are none.
     """
 
-    def __init__(self, items: list[tuple[int, str]], holders: dict[int, int], shingle: int, radius: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], holders: tuple[np.ndarray, np.ndarray] | dict, shingle: int, radius: int) -> None:
         self.shingle, self.radius = shingle, radius
         self.items = []
         words, first = _words([t for _, t in items])
         at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         prints = []
-        self.holders = holders
+        self.shared, self.holders = holders or NO_HOLDERS
         for r, (item_id, _) in enumerate(items):
             own = words[first[r] : first[r + 1]]
             if not len(own):
@@ -69,8 +71,11 @@ class BenchmarkIndex:
         self.near = differ <= radius // BLOCKS
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
-        get = self.holders.get
-        return 1.0 / (1.0 + np.log([max(get(g, 1), 1) for g in grams.tolist()]))
+        n = np.ones(len(grams))
+        if len(self.shared):
+            place = np.minimum(np.searchsorted(self.shared, grams), len(self.shared) - 1)
+            n = np.where(self.shared[place] == grams, self.holders[place], 1)
+        return 1.0 / (1.0 + np.log(n))
 
     def hits(self, words: np.ndarray, first: np.ndarray, percent: int) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item, similarity, Hamming distance, first word, words) of each row's best window for each item that it holds."""
@@ -121,8 +126,8 @@ def weighted_similarity(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.nda
     return shared / max(sum(a.values()) + sum(b.values()) - shared, 1e-12)
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(*text_bytes(pc.utf8_lower(pa.array(texts, pa.string()))), PUNCTUATION)
+def _words(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(*text_bytes(pc.utf8_lower(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)), PUNCTUATION)
 
 
 def _filter(keys: np.ndarray) -> np.ndarray:
@@ -131,23 +136,45 @@ def _filter(keys: np.ndarray) -> np.ndarray:
     return present
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, most: int) -> Iterator[tuple[list[tuple[int, str]], dict[int, int]]]:
-    """The items in slices of about `most` characters, each with the numbers of items that hold its shingles.
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
 
-    The benchmark is the query set: it is brought to the driver slice by slice, never as a whole.
+
+def shared_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles that several of the items (id, text) hold and how many hold each, counted in Spark over all of them.
+
+    A shingle that isn't among them has one holder or none and weighs 1 either way. 12 bytes each come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, first = _words(batch.column(0))
+            held = [np.zeros(0, np.uint64)]
+            for r in range(batch.num_rows):
+                own = words[first[r] : first[r + 1]]
+                held.append(np.unique(shingle_hashes(own, np.array([0, len(own)]), min(shingle, max(len(own), 1)))[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["shingle"])
+
+    found = rows.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1").toArrow()
+    keys, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _slices(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, most: int) -> Iterator[BenchmarkIndex]:
+    """The items in slices of about `most` characters, each weighed by the numbers of items of the whole benchmark.
+
+    The benchmark is the query set: its texts are brought to the driver slice by slice, never as a whole.
     """
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
+    rows = _items(benchmark, id_col, text_col)
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-size // most))
+    holders = shared_shingles(rows, shingle)
     for k in range(parts):
         items = [(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id", "text").collect()]
-        holders: dict[int, int] = defaultdict(int)
-        words, first = _words([t for _, t in items])
-        for r in range(len(items)):
-            own = words[first[r] : first[r + 1]]
-            for g in set(shingle_hashes(own, np.array([0, len(own)]), min(shingle, max(len(own), 1)))[0].tolist()):
-                holders[g] += 1
-        yield items, dict(holders)
+        index = BenchmarkIndex(items, holders, shingle, radius)
+        if index.items:
+            yield index
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 23, slice_chars: int = 4_000_000) -> DataFrame:
@@ -156,7 +183,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     Texts are lower-cased; words are runs of ASCII letters and digits and of characters beyond ASCII; items shorter than `shingle` words are one
     shingle of all their words. An item is found if a window of its length has 100 * similarity >= percent.
     The benchmark is taken in slices of about slice_chars characters, one pass over the documents for each, so what
-    every task holds is bounded whatever the benchmark's size; shingle weights count the items of a slice.
+    every task holds of texts is bounded whatever the benchmark's size. Shingle weights count the items of the whole
+    benchmark, so results don't depend on slice_chars; for them a task holds 12 bytes for each shingle of several items.
     Returns: id, item_id, score double (best window's weighted similarity), distance int (its SimHash distance),
     first_word and n_words long (the window in the document's words). Null and empty texts hold nothing; items with a
     null id, a null text or no words are nowhere. Repeated rows of documents give repeated results; of items with the
@@ -165,10 +193,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = [spark.createDataFrame([], HITS)]
-    for items, holders in _slices(benchmark, item_id_col, item_text_col, shingle, slice_chars):
-        index = BenchmarkIndex(items, holders, shingle, radius)
-        if index.items:
-            parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(index), percent), HITS))
+    for index in _slices(benchmark, item_id_col, item_text_col, shingle, radius, slice_chars):
+        parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(index), percent), HITS))
     out = functools.reduce(DataFrame.union, parts)
     return out.select(F.col("id").alias(id_col), "item_id", "score", "distance", "first_word", "n_words")
 
@@ -198,10 +224,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     out = docs
     o = {"shingle": 5, "percent": 80, "radius": 23, "slice_chars": 4_000_000, "item_id_col": "item_id", "item_text_col": "text"} | options
     at = names.index(text_col)
-    for items, holders in _slices(benchmark, o["item_id_col"], o["item_text_col"], o["shingle"], o["slice_chars"]):
-        index = BenchmarkIndex(items, holders, o["shingle"], o["radius"])
-        if not index.items:
-            continue
+    for index in _slices(benchmark, o["item_id_col"], o["item_text_col"], o["shingle"], o["radius"], o["slice_chars"]):
         shared, percent = spark.sparkContext.broadcast(index), o["percent"]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, percent=percent) -> Iterator[pa.RecordBatch]:

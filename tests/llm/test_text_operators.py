@@ -155,6 +155,16 @@ def test_contamination(spark):
     assert decontaminate.contaminated_passages(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated_passages(docs.limit(0), bench).count() == 0
 
 
+def test_scores_do_not_depend_on_slices(spark):
+    # 40 items share 20 words; documents hold some of these, or end in words that only other slices' items share
+    common = [f"c{i}" for i in range(24)]
+    own = lambda k: [f"i{k}w{j}" for j in range(14)]
+    bench = spark.createDataFrame([(k, " ".join(common + own(k))) for k in range(40)] + [(100 + k, " ".join(f"z{j}" for j in range(6)) + f" s{k}") for k in range(20)], "item_id long, text string")
+    docs = table(spark, [" ".join(["x"] * 3 + common[cut:] + own(k) + [f"z{j}" for j in range(6)]) for cut in range(0, 20, 2) for k in range(0, 40, 5)])
+    one, many = (sorted(tuple(r) for r in decontaminate.contaminated_passages(docs, bench, percent=50, slice_chars=n).collect()) for n in (4_000_000, 2000))
+    assert one and one == many
+
+
 def test_hamming_blocks_miss_nothing():
     r = np.random.default_rng(4)
     index = decontaminate.BenchmarkIndex([(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(30)], {}, 5, 23)
