@@ -4,6 +4,9 @@ Validated values are permuted by a keyed Feistel network within the set of value
 values get equal pseudonyms in all documents, different ones different ones, and a card number stays one that checks.
 A network's halves are added to keyed SHA-256 values modulo the halves' own ranges, which keeps any product of two
 ranges. Addresses and secrets have no fixed set of values; they get keyed digests of the same kind.
+
+No pattern can tell whether check digits are right. The account and card numbers that check are therefore looked up first, from
+every place where one can begin, and a text's pattern names them: what only looks like one takes nothing from other values.
 """
 
 from __future__ import annotations
@@ -13,18 +16,32 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-# what may be a value; each is validated before it is replaced
+# what may be a value; each is validated before it is replaced. Account, card and telephone numbers: below
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,256}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd)[ \t]*[=:][ \t]*[\x22']?[A-Za-z0-9+/_\-]{16,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d/.\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/\-]|\.\d)",
-    "card": r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d)",
-    "phone": r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[\-. ])[2-9]\d{2}[\-. ]\d{4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
 }
-PATTERN = "|".join(_PATTERNS.values())
+# a telephone number's digits after its country's, from and to, for countries where they are known; elsewhere 8 to 15 digits in all
+_PHONE_DIGITS = {(10, 10): "1|7|52|63|90|91|92", (9, 10): "44|81|84", (10, 11): "55|86", (9, 9): "27|33|34|31|40|41|48|61|212|213|351|380|420|421|966", (8, 9): "32|36|66|886|971|972", (8, 8): "45|47|65|216|371|370|502|503|504|505|506|507|852", (7, 9): "46|353"}
+_PHONE = r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
+
+
+def _some_digits(least: int, most: int) -> str:
+    """A pattern of digits with little between them, written out, as looking behind allows no repeated groups."""
+    one = r"[ .\-()]{0,2}\d"
+    return one * least + f"(?:{one}" * (most - least) + ")?" * (most - least)
+
+
+_OF_COUNTRIES = "|".join(rf"\+(?:{countries}){_some_digits(*n)}" for n, countries in _PHONE_DIGITS.items())
+_PATTERNS["phone"] = rf"{_PHONE}(?<={_OF_COUNTRIES})|{_PHONE}(?<=\+\d{_some_digits(7, 14)})|(?<!\d)(?:\([2-9]\d{{2}}\) ?|[2-9]\d{{2}}[\-. ])[2-9]\d{{2}}[\-. ]\d{{4}}(?!\d)"
+
+# places where an account or card number can begin, with the longest one from there as the first group
+_IBANS = r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
+_CARDS = r"(?<!\d)(?=(\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{5}|\d{13,19})(?!\d))"
+_IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
 
 
 def _quoted(s: str) -> str:
@@ -106,7 +123,7 @@ def pseudonym(m: str, key: str) -> str:
     own = _digits(account)
     other = f"if(length({own}) between 2 and 30, {_let(_refilled(account, _permuted_digits(key, chr(39) + 'iban' + chr(39), own)), 'g', 'concat(substr(w, 1, 2), lpad(cast(98 - ' + _mod97('concat(g, substr(w, 1, 2), ' + chr(39) + '00' + chr(39) + ')') + ' as string), 2, ' + chr(39) + '0' + chr(39) + '), g)')}, w)"
     blanks = f"aggregate(split({m}, ''), named_struct('o', '', 'k', 1), (z, c) -> if(c = ' ', named_struct('o', concat(z.o, c), 'k', z.k), named_struct('o', concat(z.o, substr(y, z.k, 1)), 'k', z.k + 1)), z -> z.o)"
-    iban = _let(f"replace({m}, ' ', '')", "w", f"if({_mod97('concat(substr(w, 5), substr(w, 1, 4))')} = 1, {_let(other, 'y', blanks)}, {m})")
+    iban = _let(f"replace({m}, ' ', '')", "w", f"if({_is_iban('w')}, {_let(other, 'y', blanks)}, {m})")
     return f"""case
       when contains({m}, '@') then {email}
       when {m} rlike '^(?i:token|secret|api|access|password|passwd)' then {secret}
@@ -119,6 +136,33 @@ def pseudonym(m: str, key: str) -> str:
       else {m} end"""
 
 
+def _is_iban(w: str) -> str:
+    return f"{_mod97(f'concat(substr({w}, 5), substr({w}, 1, 4))')} = 1"
+
+
+def _iban_in(m: str) -> str:
+    """SQL: the account number that m begins with, or null: of its country's length, else all of m (where the country is unknown the longest beginning) that checks."""
+    lengths = ", ".join(f"'{c}', {n}" for n, countries in _IBAN_LENGTHS.items() for c in countries.split())
+    ends = f"transform(sequence(1, size(split({m}, ' '))), k -> array_join(slice(split({m}, ' '), 1, k), ' '))"
+    size = "length(replace(v, ' ', ''))"
+    likely = f"{size} >= 12 and (v = {m} or coalesce({size} = n, true))"
+    checks = _let("replace(v, ' ', '')", "w", _is_iban("w"))
+    best = f"array_max(transform(filter({ends}, v -> {likely} and {checks}), v -> named_struct('known', coalesce({size} = n, false), 'size', {size}, 'v', v))).v"
+    return _let(f"try_element_at(map({lengths}), substr({m}, 1, 2))", "n", best)
+
+
+def text_pattern(text: str) -> str:
+    """SQL for the pattern of a text's values: fixed ones, and the account and card numbers in it that check, longest first."""
+    # blanks, letters, digits and hyphens stand for themselves
+    named = lambda values: f"array_join(array_sort(array_distinct({values}), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), '|')"
+    ibans = f"filter(transform(regexp_extract_all({text}, {_quoted(_IBANS)}, 1), m -> {_iban_in('m')}), v -> v is not null)"
+    cards = f"filter(regexp_extract_all({text}, {_quoted(_CARDS)}, 1), m -> {_let(_digits('m'), 'd', _luhn('d') + ' % 10 = 0 and not d rlike ' + _quoted('^0+$'))})"
+    iban = _let(named(ibans), "x", f"if(x = '', '', concat({_quoted('(?<![A-Za-z0-9])(?:')}, x, {_quoted(')(?![A-Za-z0-9])|')}))")
+    card = _let(named(cards), "x", f"if(x = '', '', concat({_quoted('(?<![0-9])(?:')}, x, {_quoted(')(?![0-9])|')}))")
+    fixed = lambda *names: _quoted("".join(_PATTERNS[n] + "|" for n in names))
+    return f"concat({fixed('email', 'secret')}, {iban}, {fixed('ip', 'date')}, {card}, {_quoted(_PATTERNS['phone'] + '|' + _PATTERNS['ssn'])})"
+
+
 def _worth_a_look(text: Column) -> Column:
     """Whether a text can hold a value at all; a cheap test for the many that can't."""
     return text.rlike(r"[0-9]|@") | text.rlike(r"(?i)(?:token|secret|key|passw)")
@@ -135,14 +179,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     names = docs.columns
     text = F.col(f"`{text_col}`")
-    pattern = _quoted(PATTERN)
+    pattern = "__pattern_of_values"
     quoted = f"`{text_col}`"
     matches = f"regexp_extract_all({quoted}, {pattern}, 0)"
     # one array of struct(what was there, what stands there now), computed once for a text
     pairs = F.expr(f"transform({matches}, m -> named_struct('m', m, 'p', {pseudonym('m', _quoted(key))}))")
     none = F.expr("cast(array() as array<struct<m:string,p:string>>)")
     place, gaps = "__pairs_of_values", "__texts_between"
-    out = docs.withColumn(place, F.when(_worth_a_look(text), pairs).otherwise(none))
+    out = docs.withColumn(pattern, F.when(_worth_a_look(text), F.expr(text_pattern(quoted))))
+    out = out.withColumn(place, F.when(_worth_a_look(text), pairs).otherwise(none))
     out = out.withColumn(gaps, F.when(F.size(place) > 0, F.expr(f"split({quoted}, {pattern}, -1)")))
     new = F.when(F.size(place) > 0, F.expr(f"array_join(transform(sequence(0, size({gaps}) - 1), k -> concat({gaps}[k], coalesce(get({place}, k).p, ''))), '')")).otherwise(text)
     columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]

@@ -95,6 +95,22 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(d.limit(0), "key").count() == 0
 
 
+def test_pseudonyms_beside_words_and_numbers(spark):
+    es, se, card, phone = "ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466", "4485 2757 4230 8327", "+1 (743) 555-3824"
+    cases = [(f"{es} NOW", es), (f"{es} BIC", es), (f"{se} 2024", se), (f"AB12 CDEF {se} NOWHERE", se), (f"ID42 {card}", card), (f"1111 {card}", card), (f"{phone} 12", phone), ("+33 1 23 45 67 89 12", "+33 1 23 45 67 89"), ("+49 30 1234 5678 9012", "+49 30 1234 5678"), ("AB12 ABCD 2021-03-04", "2021-03-04"), ("1111 2222 3333 2021-03-04", "2021-03-04"), (f"{es} {se} {card}", es)]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(d, "key", count_col="n").collect()}
+    for k, (text, value) in enumerate(cases[:-1]):
+        before, after = text.split(value)
+        new = out[k].text
+        assert out[k].n == 1 and len(new) == len(text) and value not in new and new.startswith(before) and new.endswith(after), (text, new)
+    w = out[1].text[:24]
+    assert w[:2] == "ES" and int("".join(str(int(c, 36)) for c in w[4:] + w[:4])) % 97 == 1
+    assert out[11].n == 3 and out[11].text[:24] == w and luhn(out[11].text[-19:].replace(" ", ""))
+    same = spark.createDataFrame([(0, "DE89 3704 0044 0532 0130 01 NOW"), (1, "1111 2222 3333 4445 12")], "doc_id long, text string")
+    assert [(r.text, r.n) for r in pseudonyms.pseudonymise(same, "key", count_col="n").orderBy("doc_id").collect()] == [("DE89 3704 0044 0532 0130 01 NOW", 0), ("1111 2222 3333 4445 12", 0)]
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(189 * 11).select(F.expr(pseudonyms.feistel("'k'", "'t'", "id div 11", "id % 11", "189L", "11L")).alias("q"))
     assert d.select(F.expr("q.l * 11 + q.r")).distinct().count() == 189 * 11
