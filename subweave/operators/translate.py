@@ -198,44 +198,66 @@ def fallback_plan(batches: DataFrame, parsed: DataFrame, attempt: int, retries:
     return again.unionByName(row(odd, F.col("cue_index"), F.col("cue_index") + 1, 0, "line"))
 
 
-def translate_to_bilingual(cues: DataFrame, target: str, fn: Callable[[list[str]], list[str]], params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def translate_to_bilingual(cues: DataFrame, target: str, fn: Callable[[list[str]], list[str]], params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None, line_fn: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """cues + source_text and translated_text, by rounds of batches, answers and what is left.
 
     fn: a list of prompts -> a list of answers, called on the executors. checkpoint: keeps a round's answers (default: DataFrame.checkpoint),
-    so that no model call is repeated. Rounds end when nothing is left, after retries + log2(batch) + 2 at most; then the source text stands.
+    so that no model call is repeated. line_fn: the same for prompts of line_prompts, whose answers are the bare translation; without it
+    single lines are asked of fn, as batches of one. A single line that fails is asked again while retries are left, and one that
+    still fails or is suspicious once more with the strict prompt; then the source text stands. Rounds end when nothing is left.
     """
     p = params or Params()
     keep = checkpoint or DataFrame.checkpoint
+    alone = F.col("how").isin("line", "strict")
 
     def ask(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in rows:
-            yield part.assign(content=fn(part["prompt"].tolist()))
-
-    todo = plan_batches(cues, p.batch_items, p.char_budget()).select("track_id", "start", "end", F.lit(0).alias("attempt"), F.lit("batch").alias("how"))
+            content = pd.Series([None] * len(part), index=part.index, dtype=object)
+            single = part["how"].isin(["line", "strict"]) & (line_fn is not None)
+            for chosen, model in ((~single, fn), (single, line_fn)):
+                if chosen.any():
+                    content[chosen] = pd.Series(list(model(part["prompt"][chosen].tolist())), index=part.index[chosen], dtype=object)
+            yield part.assign(content=content)
+
+    def prompts(batches: DataFrame) -> DataFrame:
+        strict = F.col("how") == "strict"
+        b = batches.withColumn("text", F.get("current", F.lit(0))["text"])
+        for name, made in (("usual", lambda d: translation_prompts(d, target)), ("again", lambda d: translation_prompts(d, target, strict=True)), ("line", lambda d: line_prompts(d, target)), ("line_again", lambda d: line_prompts(d, target, strict=True))):
+            b = made(b).withColumnRenamed("prompt", name)
+        of_batch, of_line = F.when(strict, F.col("again")).otherwise(F.col("usual")), F.when(strict, F.col("line_again")).otherwise(F.col("line"))
+        return b.withColumn("prompt", F.when(alone & F.lit(line_fn is not None), of_line).otherwise(of_batch))
+
+    how = F.when(F.col("end") - F.col("start") == 1, "line").otherwise("batch")
+    todo = plan_batches(cues, p.batch_items, p.char_budget()).select("track_id", "start", "end", F.lit(0).alias("attempt"), how.alias("how"))
+    texts = cues.select("track_id", "cue_index", F.col("text").alias("source_text"))
     answered = None
-    for _ in range(p.retries + p.batch_items.bit_length() + 2):
+    for _ in range((p.retries + 1) * (p.batch_items.bit_length() + 1) + 1):  # each size with its retries, then the strict prompt
         numbered = todo.withColumn("batch_no", F.col("start"))
-        asked = translation_prompts(context_lines(cues, numbered, p.before, p.after), target).select("track_id", "batch_no", "start", "end", "attempt", "prompt", F.size("current").alias("expected"))
+        asked = prompts(context_lines(cues, numbered, p.before, p.after)).select("track_id", "batch_no", "start", "end", "attempt", "how", "prompt", F.size("current").alias("expected"))
         kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
         spread = asked.repartition(cues.sparkSession.sparkContext.defaultParallelism, "track_id", "batch_no")
         got = keep(spread.mapInPandas(ask, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", content string"))
-        parsed = parse_answers(got)
-        texts = cues.select("track_id", "cue_index", F.col("text").alias("source_text"))
-        parsed = parsed.join(texts, ["track_id", "cue_index"], "left")
-        good = parsed.where(F.col("error").isNull() & F.col("source_text").isNotNull() & ~is_suspicious(F.col("source_text"), F.col("text"))).select("track_id", "cue_index", "text")
+        if line_fn is None:
+            parsed = parse_answers(got)
+        else:
+            said = trimmed(F.coalesce("content", F.lit("")))
+            error = F.when(said == "", "text")
+            bare = got.where(alone).select("track_id", "batch_no", F.when(error.isNull(), F.col("start").cast("int")).alias("cue_index"), F.when(error.isNull(), said).alias("text"), error.alias("error"))
+            parsed = parse_answers(got.where(~alone)).unionByName(bare)
+        parsed = parsed.join(texts, ["track_id", "cue_index"], "left").join(got.select("track_id", "batch_no", "attempt", "how"), ["track_id", "batch_no"])
+        doubtful = F.when(alone, is_suspicious(F.col("source_text"), F.col("text"), in_context=False)).otherwise(is_suspicious(F.col("source_text"), F.col("text")))
+        good = parsed.where(F.col("error").isNull() & F.col("source_text").isNotNull() & ~doubtful).select("track_id", "cue_index", "text")
         answered = good if answered is None else answered.unionByName(good)
-        steps = [fallback_plan(got.where(F.col("attempt") == a), parsed.join(got.where(F.col("attempt") == a).select("track_id", "batch_no"), ["track_id", "batch_no"], "left_semi"), a, p.retries) for a in range(p.retries + 1)]
-        todo = keep(_union(steps).where("how <> 'line' or end - start = 1").join(_asked_alone(got), ["track_id", "start", "end"], "left_anti"))
+        steps = [fallback_plan(got.where(~alone & (F.col("attempt") == a)), parsed.where(~alone & (F.col("attempt") == a)), a, p.retries) for a in range(p.retries + 1)]
+        once_more = F.col("error").isNotNull() & (F.col("attempt") < p.retries)
+        bad = parsed.where((F.col("how") == "line") & (F.col("error").isNotNull() | doubtful)).select("track_id", F.col("batch_no").cast("int").alias("start"), (F.col("batch_no") + 1).cast("int").alias("end"), F.when(once_more, F.col("attempt") + 1).otherwise(0).alias("attempt"), F.when(once_more, "line").otherwise("strict").alias("how"))
+        halves = _union(steps).withColumn("how", F.when(F.col("end") - F.col("start") == 1, "line").otherwise(F.col("how")))
+        todo = keep(halves.unionByName(bad))
         if todo.isEmpty():
             break
     return apply_answers(cues, answered).withColumnRenamed("text", "source_text")
 
 
-def _asked_alone(got: DataFrame) -> DataFrame:
-    """Single lines that were asked already; they keep their source text."""
-    return got.where("end - start = 1").select("track_id", F.col("start").cast("int"), F.col("end").cast("int"))
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

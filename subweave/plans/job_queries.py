@@ -279,9 +279,14 @@ def _lower_model(prompts: list[str]) -> list[str]:
     return out
 
 
+def _lower_line(prompts: list[str]) -> list[str]:
+    """The same for prompts of one line alone."""
+    return [p.split("\n\nText: ", 1)[1].lower() for p in prompts]
+
+
 @query(_sql(r"select track_id, cue_index, case when regexp_full_match(trim(text), '[\p{P}\p{S}\s]+') then text else lower(trim(text)) end as translated_text from cues", CUES))
 def translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep)
+    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep, line_fn=_lower_line)
     return out.select("track_id", "cue_index", "translated_text")
 
 

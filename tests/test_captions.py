@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from subweave.functions import text as T
 from subweave.operators import folds, jobs, segments, timing, translate
+from subweave.params import Params
 from subweave.sources import sinks, timedtext
 from subweave.streaming import requests as streams
 
@@ -111,6 +113,40 @@ def test_translation_rounds(spark, tmp_path):
     assert [r.translated_text for r in got.orderBy("cue_index").collect()] == [f"LINE NUMBER {k} OF THE TALK" for k in range(5)]
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_single_lines_are_asked_again(spark, tmp_path, bare):
+    # one-cue tracks: a model that fails on the first prompt of "no answer", and is suspicious on "dots" unless asked strictly
+    c = spark.createDataFrame([("a", 0, 0.0, 1.0, "no answer at first"), ("b", 0, 0.0, 1.0, "dots at first")], CUE)
+
+    def said(text, strict, count):
+        return ("" if count == 1 else text.upper()) if text.startswith("no") else text.upper() if strict else "..."
+
+    def count(text):
+        with open(tmp_path / text.split()[0], "a+") as f:
+            f.write("x")
+            return f.tell()
+
+    def model(prompts):
+        import json as j
+        import re as r
+
+        lines = [r.findall(r"^\[(\d+)\] (.*)$", p.split("Lines to work on:")[1], r.M)[0] for p in prompts]
+        return [j.dumps([{"id": int(i), "translation": said(t, "Leave nothing out" in p, count(t))}]) for p, (i, t) in zip(prompts, lines, strict=True)]
+
+    def line_model(prompts):
+        return [said(p.split("Text: ")[1], "Leave nothing out" in p, count(p.split("Text: ")[1])) for p in prompts]
+
+    kept = []
+
+    def keep(df):
+        kept.append(str(tmp_path / f"kept{len(kept)}"))
+        df.write.parquet(kept[-1])
+        return spark.read.schema(df.schema).parquet(kept[-1])
+
+    got = translate.translate_to_bilingual(c, "fr", model, params=Params(retries=1), checkpoint=keep, line_fn=line_model if bare else None)
+    assert [r.translated_text for r in got.orderBy("track_id").collect()] == ["NO ANSWER AT FIRST", "DOTS AT FIRST"]
+
+
 def test_jobs_upsert_and_lookup(spark):
     from subweave.schemas import JOB
 
