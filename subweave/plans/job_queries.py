@@ -305,22 +305,42 @@ def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gap_sessions(c).select("track_id", F.unix_millis("session_start").alias("session_start"), F.unix_millis("session_end").alias("session_end"), "n")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, make, mode: str = "append") -> DataFrame:  # noqa: ANN001
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, whether the table is one file or a folder of files."""
+    reader = spark.readStream.schema(A.table(spark, sf_dir, "events").schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:  # noqa: ANN001
     """Runs a streaming query over the events until it has read them all, and returns what it wrote."""
     folder = _folder(spark, "stream")
-    schema = A.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    out = make(stream)
-    q = out.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").outputMode(mode).trigger(availableNow=True).start()
+    out = make(_events(spark, sf_dir))
+    q = out.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(folder + "/out")
 
 
 @query()
 def streaming_daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that the watermark has closed; the last one stays open."""
+    """All days with all their rows: no row is late within the table's own span, and each window's last update counts, so open ones do too."""
     calls = lambda e: e.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, "alpha").otherwise("beta").alias("provider"), F.col("event_type").alias("endpoint"), F.floor(F.col("value") * 10).cast("long").alias("token_count"), (F.col("value") / 1000).alias("cost_usd"))
-    return _streamed(spark, sf_dir, lambda e: R.windowed_counters(calls(e)))
+    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = A.table(spark, sf_dir, "events").agg((F.max(ts) - F.min(ts)).alias("s")).first().s or 0
+    folder = _folder(spark, "stream")
+    out = R.windowed_counters(calls(_events(spark, sf_dir)), delay=f"{span + 2 * 86_400} seconds")
+    schema = out.schema.add("epoch", "long")
+
+    def update(rows: DataFrame, epoch: int) -> None:
+        rows.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
+
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/out/none")
+    out.writeStream.foreachBatch(update).option("checkpointLocation", folder + "/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    key = ["window_start", "provider", "endpoint"]
+    last = F.max_by(F.struct("calls", "tokens", "cost_usd"), "epoch").alias("x")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder + "/out").groupBy(*key).agg(last).select(*key, "x.*")
 
 
 @query(_sql(f"select request_id, case when bilingual_json is not null then 'hit' when b.id is not null then 'in-progress' else 'new' end as state from valid v left join done d using ({KEY}) left join (select id, {KEY}, source_hash from newest where status in ('pending', 'translating')) b on " + " and ".join(f"b.{c} = v.{c}" for c in J.NATURAL_KEY), JOBS, REQUESTS))

@@ -184,3 +184,14 @@ def test_streamed_requests_and_sessions(spark, tmp_path):
     assert sorted(x.source_hash for x in spark.table("once").collect()) == ["h", "i"]
     c = spark.createDataFrame([("t", "2024-01-01 10:00:00", 1000), ("t", "2024-01-01 10:00:02", 1000), ("t", "2024-01-01 10:00:10", 500)], "track_id string, ts string, duration_ms long").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(x.n for x in streams.gap_sessions(c).collect()) == [1, 2]
+
+
+def test_streams_read_folders_whole(spark, tmp_path):
+    from subweave.plans import job_queries
+
+    # files of a folder, out of time order by days; an event on the newest day
+    for day in (9, 1, 30):
+        e = spark.createDataFrame([(2 * day, f"2024-01-{day:02d} 10:00:00", "view", 1.5), (2 * day + 2, f"2024-01-{day:02d} 11:00:00", "view", 1.5)], "event_id long, ts string, event_type string, value double")
+        e.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = job_queries.streaming_daily_counters(spark, str(tmp_path)).orderBy("window_start").collect()
+    assert [(r.window_start.day, r.calls, r.tokens) for r in got] == [(1, 2, 30), (9, 2, 30), (30, 2, 30)]
