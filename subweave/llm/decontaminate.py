@@ -1,10 +1,10 @@
 """Benchmark decontamination: item-sized windows compared by SimHash, verified by weighted shingles.
 
-For each benchmark item, windows of the item's own number of words slide over a document, one word at a time. A
-window's SimHash meets the item's in a multi-index of blocks: two fingerprints within the radius differ in some block
-by at most radius // blocks bits, so looking up each block with so many bits changed finds all of them. Candidates are
-verified by the exact weighted similarity of their word shingles. Windows without a single shingle of an item have
-similarity 0 with it and are passed over, which loses nothing and leaves few fingerprints to make.
+For each benchmark item, windows of the item's own number of words slide over a document, one word at a time. An exact
+inverted index of the items' shingles proposes windows: those without a single shingle of an item have similarity 0 with it
+and are passed over, which loses nothing and leaves few fingerprints to make. SimHash only filters what is proposed, by its
+distance to the item's; a distance within the radius always leaves a block within radius // blocks bits, so the blocks'
+table removes nothing more. What remains is verified by the exact weighted similarity of the word shingles.
 """
 
 from __future__ import annotations
