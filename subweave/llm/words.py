@@ -77,6 +77,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: tuple[np.ndarra
     shifted = starts - starts[0]
     at = np.arange(len(data)) - np.repeat(shifted, np.diff(shifted, append=len(data)))
     terms = byte_terms[data] * _POWER[at & 4095]
+    far = np.flatnonzero(at >> 12)  # in very long words the powers of each further 4096 bytes differ
+    if len(far):
+        terms[far] *= mixed((at[far] >> 12).astype(np.uint64)) | np.uint64(1)
     return mixed(np.add.reduceat(terms, shifted)), np.searchsorted(starts, offsets)
 
 
