@@ -11,16 +11,18 @@ import functools
 import json
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subweave.llm.shared import new_path, partitions, written
+from subweave.llm.shared import column, new_path, partitions, written
+from subweave.llm.words import runs, text_bytes
 
 MAGIC = b"PLANES01"
 PLANES = {"byte": 4, "bit": 32}
@@ -52,8 +54,9 @@ class FileWriter:
         self.held: list[np.ndarray] = []
         self.n_held, self.chunks, self.docs = 0, [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+    def add(self, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in order: their names, how many ids each has, and all their ids."""
+        self.docs.extend((k or 0, k is None, n) for k, n in zip(doc_ids, sizes.tolist(), strict=True))
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.block:
@@ -134,11 +137,16 @@ class Remembered:
         return out
 
 
+# fixed values: how the files that PieceEncoder can read prepare a text
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer file that drops white space, each distinct piece between blanks and each of its words once.
 
     No token of such a tokenizer spans a blank, a line feed or a match of the file's own splitting pattern, so a text's ids are those of
-    its words in order. Memories are bounded, which changes no result.
+    its words in order. Pieces are numbered and their ids put together column by column. Memories are bounded, which changes no result.
+    Files with another normaliser or splitter are refused.
     """
 
     def __init__(self, path: str, most: int = 250_000) -> None:
@@ -147,9 +155,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        if [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"]:
-            raise ValueError("only for files that split by a pattern and then map bytes to letters")
+            file = json.load(f)
+        parts = file["pre_tokenizer"]["pretokenizers"]
+        if [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"] or file["normalizer"].get("normalizers") != _NORMALIZERS:
+            raise ValueError("only for files that compose, lower-case, split by a pattern and then map bytes to letters")
         self.split = regex.compile(parts[0]["pattern"]["Regex"]).findall
         # byte-level letters: visible Latin characters stand for themselves, all other bytes for those from 256 on, in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -170,21 +179,31 @@ class PieceEncoder:
             out.append(pack[len(ids)](*ids) if len(ids) < len(pack) else np.array(ids, "<u4").tobytes())
         return out
 
-    def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = self.pieces.missing(set().union(*split))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         plain, other = [], []
-        for p in fresh:
-            # Latin letters alone: lower case is the same for a word and letter by letter, and nothing combines
-            (other if p and (max(p) > "\xff" or any(m in p for m in self.marks)) else plain).append(p)
+        for p in self.pieces.missing(set(pieces)):
+            # visible Latin characters alone: lower case is the same for a word and letter by letter, nothing combines or is white space
+            (plain if p.isprintable() and (not p or max(p) <= "\xff") and not any(m in p for m in self.marks) else other).append(p)
         found = [self.split(p.lower()) for p in plain]
         unknown = self.words.missing({w for ws in found for w in ws})
         self.words.new.update(zip(unknown, self._words(unknown), strict=True))
         known = self.words.new.__getitem__
         self.pieces.new.update(zip(plain, [b"".join(map(known, ws)) for ws in found], strict=True))
         self.pieces.new.update(zip(other, self._library(other), strict=True))
-        get = self.pieces.new.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in split]
+        return list(map(self.pieces.new.__getitem__, pieces))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (one more than texts); null is as empty."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        pieces = split.flatten().dictionary_encode()
+        ids = self._pieces(pieces.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, number = np.frombuffer(b"".join(ids), "<u4"), pieces.indices.to_numpy()
+        n = size[number]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[number] - (ends - n), n) + np.arange(int(n.sum()))
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        return flat[at], np.concatenate([[0], ends])[bounds - bounds[0]]
 
 
 @functools.cache
@@ -202,21 +221,22 @@ def _write(folder: str, tokenizer: str, end_id: int | None, kind: str, block: in
         writer = name = None
         shard = n_docs = n_ids = 0
         encode = _encoder(tokenizer)
-        end = np.array([] if end_id is None else [end_id], "<u4")
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo, hi in runs(text_bytes(whole.column(1))[1], 4 << 20):
+                batch = whole.slice(lo, hi - lo)
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     shard = batch.column(2)[0].as_py()
                     name = f"{base}/tokens-{shard:06d}-{uuid.uuid4().hex}.bin"  # each attempt has its own; only a committed one is listed
                     stream = fs.open_output_stream(name)
                     writer = FileWriter(stream, kind, block)
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    ids = np.concatenate([ids, end])
-                    writer.add(doc_id, ids)
-                    n_docs += 1
-                    n_ids += len(ids)
+                ids, first = encode(batch.column(1))
+                sizes = np.diff(first)
+                if end_id is not None:
+                    ids, sizes = np.insert(ids, first[1:], end_id), sizes + 1
+                writer.add(batch.column(0).to_pylist(), sizes, ids)
+                n_docs += len(sizes)
+                n_ids += len(ids)
         if writer is not None:
             writer.close()
             stream.close()
@@ -236,7 +256,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     ordered = rows.repartitionByRange(shards or partitions(spark), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     files = ordered.select("id", "text", F.spark_partition_id().alias("shard")).mapInArrow(_write(folder, tokenizer, end_id, kind, block), "shard int, path string, n_docs long, n_tokens long")
     files = written(files, "manifest")
