@@ -1,16 +1,18 @@
 """Benchmark decontamination: item-sized windows compared by SimHash, verified by weighted shingles.
 
-For each benchmark item, windows of the item's own number of words slide over a document, one word at a time. An exact
-inverted index of the items' shingles proposes windows: those without a single shingle of an item have similarity 0 with it
-and are passed over, which loses nothing and leaves few fingerprints to make. SimHash only filters what is proposed, by its
-distance to the item's; a distance within the radius always leaves a block within radius // blocks bits, so the blocks'
-table removes nothing more. What remains is verified by the exact weighted similarity of the word shingles.
+For each benchmark item, windows of the item's own number of words slide over a document, one word at a time. Windows whose
+shingles of the benchmark weigh too little for any item of that length are passed over, which loses nothing. The others
+get fingerprints of 256 bits. A multi-index of 16 blocks proposes the items: fingerprints within the radius agree in some
+block up to radius // 16 bits, so all of them are found. What it proposes is compared by its distance, and what is
+within the radius is verified by the exact weighted similarity of the bags of word shingles.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import defaultdict
+import itertools
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,110 +22,191 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subweave.llm.words import PUNCTUATION, runs, shingle_hashes, text_bytes, word_hashes
+from subweave.llm.shared import column
+from subweave.llm.words import PUNCTUATION, mixed, runs, shingle_hashes, text_bytes, word_hashes
 
-BLOCKS = 8  # of 8 bits
+BITS, BLOCKS = 256, 16  # blocks of 16 bits
+UNIT = 1 << 16  # weight of a shingle of one item; weights are whole numbers, so that running sums are exact
 NO_HOLDERS = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_SALTS = np.random.default_rng(41).integers(1, 2**63, BITS // 64, dtype=np.uint64)
+_ONES = np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1).sum(1).astype(np.uint8)
 HITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
 
+def radius_of(percent: int) -> int:
+    """The most bits in which fingerprints of windows and items of this similarity differ, but for a chance of 1e-5."""
+    same = percent / 100
+    apart = math.acos(2 * same / (1 + same)) / math.pi
+    return int(BITS * apart + 4.2 * math.sqrt(BITS * apart * (1 - apart)))
+
+
 def simhashes(features: np.ndarray, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Fingerprints (rows of 8 bytes) of the windows [lo, hi) over weighted feature hashes, from running sums."""
-    bits = np.unpackbits(features.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) * 2 - 1
-    sums = np.vstack([np.zeros((1, 64)), np.cumsum(bits * weights[:, None], axis=0)])
-    return np.packbits(sums[hi] - sums[lo] > 0, axis=1)
+    """Fingerprints (rows of 16 numbers of 16 bits) of the windows [lo, hi) over weighted feature hashes, from running sums."""
+    bits = np.concatenate([np.unpackbits(mixed(features ^ s).view(np.uint8).reshape(-1, 8), axis=1) for s in _SALTS], axis=1)
+    sums = np.zeros((len(features) + 1, BITS), np.int64)
+    np.cumsum((bits.astype(np.int64) * 2 - 1) * weights[:, None], axis=0, out=sums[1:])
+    return np.packbits(sums[hi] - sums[lo] > 0, axis=1).view("<u2")
+
+
+def _flips(most: int) -> np.ndarray:
+    """All numbers of 16 bits of which at most so many are set."""
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(16), k)], np.uint16)
+
+
+class MultiIndex:
+    """Items by the values of their fingerprints' blocks; finds all within the radius of a fingerprint, and others."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        within = radius // BLOCKS
+        self.asked = _flips(within // 3)  # a query flips some bits, the table holds the other flips
+        held = _flips(within - within // 3)
+        keys = (prints[:, :, None] ^ held).astype(np.uint32) | (np.arange(BLOCKS, dtype=np.uint32) << 16)[None, :, None]
+        flat = keys.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+        self.owners = (order // (BLOCKS * len(held))).astype(np.int32)
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of a row of prints and an item."""
+        wanted = ((prints[:, :, None] ^ self.asked).astype(np.uint32) | (np.arange(BLOCKS, dtype=np.uint32) << 16)[None, :, None]).reshape(len(prints), -1)
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        row, at = np.nonzero(self.keys[place] == wanted)
+        place = place[row, at]
+        n = self.first[place + 1] - self.first[place]
+        ends = np.cumsum(n)
+        item = self.owners[np.repeat(self.first[place] - (ends - n), n) + np.arange(int(n.sum()))]
+        pairs = np.unique(np.repeat(row, n) * np.int64(len(self.owners)) + item)
+        return pairs // len(self.owners), pairs % len(self.owners)
+
+
+class _SameLength:
+    """The items of one number of words."""
+
+    def __init__(self, n_words: int, size: int, radius: int) -> None:
+        self.n_words, self.size, self.width, self.radius = n_words, size, n_words - size + 1, radius
+        self.ids: list[int] = []
+        self.bags: list[Counter] = []
+        self.totals: list[int] = []
+        self.rows: list[np.ndarray] = []
+
+    def add(self, item_id: int, grams: np.ndarray, weight: np.ndarray) -> None:
+        self.ids.append(item_id)
+        self.bags.append(Counter(grams.tolist()))
+        self.totals.append(int(weight.sum()))
+        self.rows.append(simhashes(grams, weight, np.array([0]), np.array([len(grams)]))[0])
+
+    @functools.cached_property
+    def least(self) -> int:
+        return min(self.totals)
+
+    @functools.cached_property
+    def prints(self) -> np.ndarray:
+        return np.array(self.rows)
+
+    @functools.cached_property
+    def index(self) -> MultiIndex:  # made by the task that needs it first
+        return MultiIndex(self.prints, self.radius)
 
 
 class BenchmarkIndex:
-    """A slice of the benchmark: each item's words, weighted shingles, fingerprint and place in the multi-index.
+    """A slice of the benchmark: each item's weighted shingles and fingerprint, and a multi-index for each number of words.
 
     A shingle's weight is 1 / (1 + ln n), n being the number of items of the whole benchmark, not of the slice, that hold it.
     holders: the sorted shingles that several items hold and their numbers of items; empty if there are none.
     """
 
     def __init__(self, items: list[tuple[int, str]], holders: tuple[np.ndarray, np.ndarray] | dict, shingle: int, radius: int) -> None:
-        self.shingle, self.radius = shingle, radius
-        self.items = []
         words, first = _words([t for _, t in items])
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        prints = []
         self.shared, self.holders = holders or NO_HOLDERS
+        lengths: dict[int, _SameLength] = {}
+        grams_of: dict[int, list[np.ndarray]] = defaultdict(list)
         for r, (item_id, _) in enumerate(items):
             own = words[first[r] : first[r + 1]]
-            if not len(own):
-                continue
-            size = min(shingle, len(own))
-            grams, _ = shingle_hashes(own, np.array([0, len(own)]), size)
-            weight = self.weights(grams)
-            prints.append(simhashes(grams, weight, np.array([0]), np.array([len(grams)]))[0])
-            k = len(self.items)
-            self.items.append((item_id, len(own), size, grams, weight))
-            for g in set(grams.tolist()):
-                at[size][g].append(k)
+            if len(own):
+                size = min(shingle, len(own))
+                grams, _ = shingle_hashes(own, np.array([0, len(own)]), size)
+                lengths.setdefault(len(own), _SameLength(len(own), size, radius)).add(item_id, grams, self.weights(grams))
+                grams_of[size].append(grams)
+        self.empty = not lengths
+        # for each size of shingles all of them, a filter, and the items by number of words
         self.sizes = {}
-        for size, found in at.items():
-            keys = np.array(sorted(found), np.uint64)
-            self.sizes[size] = (keys, [found[int(x)] for x in keys], _filter(keys))
-        self.prints = np.array(prints, np.uint8).reshape(-1, 8)
-        # for each block and value the items whose block is within radius // BLOCKS bits of it
-        differ = _BITS[np.arange(256, dtype=np.uint8)[None, :, None] ^ self.prints.T[:, None, :]]
-        self.near = differ <= radius // BLOCKS
+        for size, found in grams_of.items():
+            keys = np.unique(np.concatenate(found))
+            self.sizes[size] = keys, _filter(keys), [x for x in lengths.values() if x.size == size]
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
         n = np.ones(len(grams))
         if len(self.shared):
             place = np.minimum(np.searchsorted(self.shared, grams), len(self.shared) - 1)
             n = np.where(self.shared[place] == grams, self.holders[place], 1)
-        return 1.0 / (1.0 + np.log(n))
+        return np.rint(UNIT / (1.0 + np.log(n))).astype(np.int64)
 
     def hits(self, words: np.ndarray, first: np.ndarray, percent: int) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item, similarity, Hamming distance, first word, words) of each row's best window for each item that it holds."""
-        for size, (keys, owners, present) in self.sizes.items():
+        counts = np.diff(first)
+        for size, (keys, present, lengths) in self.sizes.items():
             grams, bounds = shingle_hashes(words, first, size)
-            counts = np.diff(first)
             maybe = np.flatnonzero(present[(grams >> np.uint64(44)).astype(np.int64)])
-            place = np.searchsorted(keys, grams[maybe])
-            place[place == len(keys)] = 0
-            maybe, place = maybe[keys[place] == grams[maybe]], place[keys[place] == grams[maybe]]
-            if not len(maybe):
-                continue
+            place = np.minimum(np.searchsorted(keys, grams[maybe]), len(keys) - 1)
+            maybe = maybe[keys[place] == grams[maybe]]
             rows = np.searchsorted(bounds, maybe, "right") - 1
-            found: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for pos, p, row in zip(maybe.tolist(), place.tolist(), rows.tolist(), strict=True):
-                if counts[row] >= size:
-                    for k in owners[p]:
-                        found[row, k].append(pos - int(bounds[row]))
-            for (row, k), where in found.items():
-                best = self._best(grams[bounds[row] : bounds[row + 1]], k, np.array(where), percent)
-                if best is not None:
-                    yield row, self.items[k][0], *best
-
-    def _best(self, grams: np.ndarray, k: int, where: np.ndarray, percent: int) -> tuple[float, int, int, int] | None:
-        _, n_words, size, item, item_weight = self.items[k]
-        width = n_words - size + 1  # shingles in a window
-        last = max(len(grams) - width, 0)
-        starts = np.unique(np.clip(where[:, None] - np.arange(width)[None, :], 0, last)) if len(where) * width < 200_000 else np.arange(last + 1)
-        lo, hi = int(starts[0]), min(int(starts[-1]) + width, len(grams))
-        part = grams[lo:hi]
-        weight = self.weights(part)
-        ends = np.minimum(starts + width, len(grams))
-        prints = simhashes(part, weight, starts - lo, ends - lo)
-        candidate = self.near[np.arange(BLOCKS)[None, :], prints, k].any(1)
-        distance = _BITS[prints ^ self.prints[k]].sum(1)
-        best = None
-        for i in np.flatnonzero(candidate & (distance <= self.radius)).tolist():
-            score = weighted_similarity(part[starts[i] - lo : ends[i] - lo], weight[starts[i] - lo : ends[i] - lo], item, item_weight)
-            if 100 * score >= percent - 1e-9 and (best is None or score > best[0]):
-                best = score, int(distance[i]), int(starts[i]), min(n_words, len(grams) + size - 1 - int(starts[i]))
+            maybe, rows = maybe[counts[rows] >= size], rows[counts[rows] >= size]
+            cuts = np.flatnonzero(np.diff(rows)) + 1
+            for where, row in zip(np.split(maybe, cuts), rows[np.concatenate([[0], cuts])] if len(rows) else (), strict=False):
+                for (c, item), best in self._in_row(grams[bounds[row] : bounds[row + 1]], where - bounds[row], lengths, percent).items():
+                    score, distance, start, n_words = best
+                    yield int(row), lengths[c].ids[item], score, distance, start, n_words
+
+    def _in_row(self, grams: np.ndarray, where: np.ndarray, lengths: list[_SameLength], percent: int, step: int = 8192) -> dict:
+        """The best window of one text for each item that it holds. where: places of shingles of the benchmark."""
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        weight, reach = self.weights(grams[where]), max(x.width for x in lengths)
+        cuts = np.flatnonzero(np.diff(where) >= reach) + 1
+        for near, own in zip(np.split(where, cuts), np.split(weight, cuts), strict=True):
+            total = int(own.sum())
+            fit = [c for c, x in enumerate(lengths) if 100 * total >= percent * x.least]
+            if not fit:
+                continue
+            lo, hi = max(0, int(near[0]) - reach + 1), min(len(grams), int(near[-1]) + reach)
+            sums = np.zeros(hi - lo + 1, np.int64)
+            sums[near - lo + 1] = own
+            np.cumsum(sums, out=sums)
+            for c in fit:
+                x = lengths[c]
+                # places from the first window that holds a shingle of the benchmark to the last one; a shorter text is a window
+                starts = np.arange(max(0, int(near[0]) - x.width + 1), max(0, min(int(near[-1]), len(grams) - x.width)) + 1)
+                inside = sums[np.minimum(starts + x.width, hi) - lo] - sums[starts - lo]
+                starts = starts[100 * inside >= percent * x.least]
+                for k in range(0, len(starts), step):
+                    self._compare(best, c, x, grams, starts[k : k + step], percent)
         return best
 
-
-def weighted_similarity(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray) -> float:
-    """Weighted similarity of two sets of shingles: weight in both over weight in either."""
-    a, b = dict(zip(x.tolist(), xw.tolist(), strict=True)), dict(zip(y.tolist(), yw.tolist(), strict=True))
-    shared = sum(w for g, w in a.items() if g in b)
-    return shared / max(sum(a.values()) + sum(b.values()) - shared, 1e-12)
+    def _compare(self, best: dict, c: int, x: _SameLength, grams: np.ndarray, starts: np.ndarray, percent: int) -> None:
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > x.width) + 1):
+            lo, hi = int(run[0]), min(int(run[-1]) + x.width, len(grams))
+            part = grams[lo:hi]
+            weight = self.weights(part)
+            ends = np.minimum(run + x.width, hi)
+            prints = simhashes(part, weight, run - lo, ends - lo)
+            row, item = x.index.candidates(prints)
+            distance = _ONES[prints[row] ^ x.prints[item]].sum(1, dtype=np.int64)
+            close = distance <= x.radius
+            for r, i, d in zip(row[close].tolist(), item[close].tolist(), distance[close].tolist(), strict=True):
+                a, b = int(run[r]) - lo, int(ends[r]) - lo
+                score = weighted_similarity(part[a:b], weight[a:b], x.bags[i], x.totals[i])
+                if 100 * score >= percent - 1e-9 and ((c, i) not in best or score > best[c, i][0]):
+                    best[c, i] = score, d, int(run[r]), min(x.n_words, len(grams) + x.size - 1 - int(run[r]))
+
+
+def weighted_similarity(grams: np.ndarray, weights: np.ndarray, bag: Counter, total: int) -> float:
+    """Weight in both over weight in either of a window's shingles and an item's; each counts as often as it occurs."""
+    left, shared = dict(bag), 0
+    for g, w in zip(grams.tolist(), weights.tolist(), strict=True):
+        if left.get(g, 0) > 0:
+            left[g] -= 1
+            shared += w
+    return shared / max(int(weights.sum()) + total - shared, 1)
 
 
 def _words(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +220,7 @@ def _filter(keys: np.ndarray) -> np.ndarray:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
+    return benchmark.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).where("id is not null and text is not null").distinct()
 
 
 def shared_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,15 +256,16 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, radi
     for k in range(parts):
         items = [(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id", "text").collect()]
         index = BenchmarkIndex(items, holders, shingle, radius)
-        if index.items:
+        if not index.empty:
             yield index
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 23, slice_chars: int = 4_000_000) -> DataFrame:
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int | None = None, slice_chars: int = 2_000_000) -> DataFrame:
     """Documents that hold benchmark items, one row for each document and item.
 
     Texts are lower-cased; words are runs of ASCII letters and digits and of characters beyond ASCII; items shorter than `shingle` words are one
-    shingle of all their words. An item is found if a window of its length has 100 * similarity >= percent.
+    shingle of all their words. An item is found if a window of its length has 100 * similarity >= percent; a text of fewer words is
+    one window. radius: bits of 256 in which the fingerprints may differ; it follows from percent where none is given.
     The benchmark is taken in slices of about slice_chars characters, one pass over the documents for each, so what
     every task holds of texts is bounded whatever the benchmark's size. Shingle weights count the items of the whole
     benchmark, so results don't depend on slice_chars; for them a task holds 12 bytes for each shingle of several items.
@@ -191,9 +275,9 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     same id each text counts. Other columns are ignored; either table may be empty.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     parts = [spark.createDataFrame([], HITS)]
-    for index in _slices(benchmark, item_id_col, item_text_col, shingle, radius, slice_chars):
+    for index in _slices(benchmark, item_id_col, item_text_col, shingle, radius or radius_of(percent), slice_chars):
         parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(index), percent), HITS))
     out = functools.reduce(DataFrame.union, parts)
     return out.select(F.col("id").alias(id_col), "item_id", "score", "distance", "first_word", "n_words")
@@ -222,9 +306,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     names = docs.columns
     spark = docs.sparkSession
     out = docs
-    o = {"shingle": 5, "percent": 80, "radius": 23, "slice_chars": 4_000_000, "item_id_col": "item_id", "item_text_col": "text"} | options
+    o = {"shingle": 5, "percent": 80, "radius": None, "slice_chars": 2_000_000, "item_id_col": "item_id", "item_text_col": "text"} | options
     at = names.index(text_col)
-    for index in _slices(benchmark, o["item_id_col"], o["item_text_col"], o["shingle"], o["radius"], o["slice_chars"]):
+    for index in _slices(benchmark, o["item_id_col"], o["item_text_col"], o["shingle"], o["radius"] or radius_of(o["percent"]), o["slice_chars"]):
         shared, percent = spark.sparkContext.broadcast(index), o["percent"]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, percent=percent) -> Iterator[pa.RecordBatch]:
