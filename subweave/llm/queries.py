@@ -79,7 +79,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_quality(docs, _table(spark, sf_dir, "labels"), folds=5, held_out=0)
     out = quality_scores(docs, model, threshold=0.3)
-    return out.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @_query
@@ -112,7 +112,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_languages(docs, folds=3, held_out=1)
-    return predict_languages(docs, model).select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return predict_languages(docs, model).select("doc_id", F.coalesce(bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @_query
