@@ -3,7 +3,8 @@
 A shard's graph grows in batches: greedy beam searches from the entry propose neighbours of the new nodes, pruning with
 a relaxed distance keeps diverse ones, and reverse edges are pruned the same way. A query's beam search runs in
 every shard; what it finds is scored exactly, in double precision, and the best over all shards are kept.
-Equal vectors are one node, so a vector that very many rows hold doesn't fill the graph.
+Equal vectors are one node, so a vector that very many rows hold doesn't fill the graph. Shards grow with the square root
+of the number of vectors: a search reads a share of a shard that falls with its size, and there are fewer to search.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subweave.llm.shared import partitions, written
+from subweave.llm.shared import column, partitions, written
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and similarities (queries x beam, best first; -1 and -inf where fewer) that beam searches from the entry find, all queries at once.
 
     x: normalised vectors; edges: nodes x degree, -1 where fewer; wide: nodes expanded in a step.
@@ -77,7 +78,7 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degre
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, relax: float = 1.2, seed: int = 11) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, degree: int = 40, beam: int = 96, relax: float = 1.08, seed: int = 11) -> tuple[np.ndarray, int]:
     """Edges (nodes x degree, -1 where fewer) and the entry of the graph over normalised vectors."""
     n = len(x)
     edges = np.full((n, degree), -1, np.int64)
@@ -89,8 +90,6 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, relax: float =
         hi = min(n, lo + max(1, min(lo, 512)))
         batch = order[lo:hi]
         found, _ = beam_search(x, edges, entry, x[batch], beam)
-        if lo < 4 * degree:  # while the graph is small, all that came before
-            found = np.concatenate([found, np.tile(order[:hi], (len(batch), 1))], axis=1)
         edges[batch] = robust_prune(x, batch, found, degree, relax)
         source = np.repeat(batch, degree)
         target = edges[batch].reshape(-1)
@@ -122,9 +121,15 @@ def _normalised(v: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: exact, and squares neither overflow nor vanish."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0.0, keepdims=True))[1])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of rows in double precision."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = _scaled(a), _scaled(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
@@ -147,15 +152,16 @@ def _build(degree: int, beam: int, relax: float):
     return run
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard_size: int = 2048, degree: int = 32, beam: int = 64, relax: float = 1.2) -> DataFrame:
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, growth: float = 64, degree: int = 40, beam: int = 96, relax: float = 1.08) -> DataFrame:
     """The index as a written table: dim, shard, node, edges, entry, ids (the k + 1 smallest of the rows with this vector), vector.
 
-    Vectors are dealt to shards by hash, about shard_size to each. Rows with a null id and vectors that are null, empty, zero or hold null
+    Vectors are dealt to shards by hash: about growth * sqrt(n) of n distinct ones to each, so sqrt(n) / growth shards, and more where
+    a shard would hold more than 2 ** 26 components, which a task has in memory. Rows with a null id and vectors that are null, empty, zero or hold null
     or non-finite components are left out; equal vectors are one node; rows repeated as a whole count once.
     """
     ranked = usable_vectors(vectors, id_col, vector_col).distinct().withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("r") <= k + 1)
     nodes = written(ranked.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    dims = nodes.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / shard_size).alias("shards"))
+    dims = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.greatest(F.sqrt("n") / growth, F.col("n") * F.col("dim") / 2**26)).alias("shards"))
     nodes = nodes.withColumn("dim", F.size("vector")).join(dims, "dim")
     nodes = nodes.select("dim", F.pmod(F.xxhash64("vector"), "shards").cast("int").alias("shard"), "ids", "vector")
     spark = vectors.sparkSession
@@ -165,12 +171,12 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    v = vectors.select(column(id_col).cast("long").alias("id"), column(vector_col).alias("vector"))
     finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return v.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(finite & F.exists("vector", lambda c: c != 0))
 
 
-def _search(k: int, beam: int):
+def _search(k: int, effort: float):
     def run(nodes: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if nodes.num_rows and queries.num_rows:
@@ -184,9 +190,10 @@ def _search(k: int, beam: int):
             x, wanted = _normalised(raw), _matrix(queries.column("vector"), dim)
             names = queries.column("id").to_pylist()
             q = _normalised(wanted)
-            for lo in range(0, len(q), 256):
-                part = q[lo : lo + 256]
-                near = np.tile(np.arange(len(x)), (len(part), 1)) if len(x) <= 2 * beam else beam_search(x, edges, entry, part, beam)[0]
+            beam = max(4 * k, int(effort * len(x) ** 0.5))
+            step = max(16, min(512, (1 << 25) // len(x)))  # a search marks the nodes it has seen: step x nodes bytes
+            for lo in range(0, len(q), step):
+                near = beam_search(x, edges, entry, q[lo : lo + step], beam)[0]
                 for i, row in enumerate(near):
                     row = row[row >= 0]
                     score = cosines(raw[row], np.broadcast_to(wanted[lo + i], (len(row), dim)))
@@ -199,12 +206,12 @@ def _search(k: int, beam: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, beam: int = 192, block: int = 1024) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, effort: float = 0.5, block: int = 65_536) -> DataFrame:
     """The k nearest rows of each query by cosine, its own id excepted: query_id, rank int from 1, vec_id, score double.
 
     Ties go to the smaller id; fewer rows where the index holds fewer candidates. Unusable queries (see build_index) and those of a
-    dimension that the index doesn't hold give no rows; queries with the same id must have the same vector. The queries
-    are cut into blocks of about `block`; every block meets every shard of its dimension, one such pair in a task.
+    dimension that the index doesn't hold give no rows; the vectors of queries with the same id are searched together, each row
+    by the nearest of them. A search keeps a beam of effort * sqrt(nodes of the shard) nodes (4 * k at least). A shard's task takes about `block` queries, a few hundred at a time; the index is dealt once for every block.
     """
     asked = written(usable_vectors(queries, id_col, vector_col).distinct(), "queries")
     blocks = max(1, -(-asked.count() // block))
@@ -212,6 +219,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     asked = asked.withColumn("dim", F.size("vector")).join(shards, "dim").select("id", "vector", "dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "shard", "block"]
-    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k, effort), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
