@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subweave.llm.shared import column
+
 # fixed values: names of elements
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -24,12 +27,17 @@ _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot
 _SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|popup|modal|cookie\w*|consent|gdpr|notice|newsletter|subscribe|signup|comments?|disqus|replies|respond|sidebar|side|related|recommend\w*|share|sharing|social|menu|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|pagination|pager|widget|login|search|skip|hidden|byline-share|tags?)(?:$|[\s_-])", re.I)
+# words of class names and ids of what isn't the article; names like `has-sidebar` and `no-comments` only say what a wrapper holds
+_UNWANTED = re.compile(r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|popup|modal|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|comments?|disqus|replies|respond|sidebar|side|related|recommend\w*|share|sharing|social|menu|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|pagination|pager|widgets?|login|search|skip|hidden|tags?)", re.I)
+_SAYS_ONLY = frozenset("has have with without no not hide is".split())
+_GENERIC = frozenset("wrap wrapper container area section block list box inner outer items group row bar panel holder region".split())
+_SITE_HEADER = re.compile(r"(?:(?:site|page|top|global|main|blog|web)[-_]?)?header", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|story|text|blog", re.I)
 _KEEP_NAMES = frozenset(("html", "body", "article", "main"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?>\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)))?)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class _Node:
@@ -42,6 +50,18 @@ class _Node:
         self.size = self.linked = 0
 
 
+def _unwanted_name(name: str) -> bool:
+    """Whether a class name or id names what isn't the article: its first or last word does, generic last words aside."""
+    if _SITE_HEADER.fullmatch(name):
+        return True
+    words = _WORDS.findall(name)
+    if any(w.lower() in _SAYS_ONLY for w in words):
+        return False
+    while len(words) > 1 and words[-1].lower() in _GENERIC:
+        words.pop()
+    return bool(words) and (_UNWANTED.fullmatch(words[-1]) is not None or _UNWANTED.fullmatch(words[0]) is not None)
+
+
 def _unwanted(name: str, attributes: str) -> bool:
     if name in _DROP:
         return True
@@ -49,7 +69,7 @@ def _unwanted(name: str, attributes: str) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
-        if key in ("class", "id") and _UNWANTED.search(value) and not re.search(r"article|content|main", value, re.I):
+        if key in ("class", "id") and any(map(_unwanted_name, value.split())):
             return True
         if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"):
             return True
@@ -58,16 +78,62 @@ def _unwanted(name: str, attributes: str) -> bool:
     return False
 
 
-def parse(page: str) -> _Node:
-    """A tolerant tree: unclosed paragraphs, items and cells end where the next begins, stray end tags are skipped, unwanted elements are left out."""
-    root = top = _Node("html", "", None)
+class _Tree:
+    """The element that is open, and how often each name is open around it, so that most questions need no walk."""
+
+    def __init__(self) -> None:
+        self.top = _Node("html", "", None)
+        self.nodes = [self.top]  # parents before children
+        self.open: Counter = Counter()
+
+    def add(self, name: str, attributes: str, stay: bool = True) -> None:
+        node = _Node(name, attributes, self.top)
+        self.top.children.append(node)
+        self.nodes.append(node)
+        if stay:
+            self.top = node
+            self.open[name] += 1
+
+    def find(self, names: frozenset | set, stop: frozenset | set = frozenset()) -> _Node | None:
+        """The innermost open element of these names, if none of the stops is nearer."""
+        if not any(self.open[n] for n in names):
+            return None
+        node: _Node | None = self.top
+        while node is not None:
+            if node.name in names:
+                return node
+            if node.name in stop:
+                return None
+            node = node.parent
+        return None
+
+    def close(self, node: _Node | None) -> bool:
+        """Ends a node and all that is open in it."""
+        if node is None or node.parent is None:
+            return False
+        while True:
+            top = self.top
+            self.open[top.name] -= 1
+            self.top = top.parent
+            if top is node:
+                return True
+
+
+def parse(page: str, forms: bool = False) -> list[_Node]:
+    """A tolerant tree, its nodes with the root first and parents before children.
+
+    Unclosed paragraphs, items and cells end where the next begins, stray end tags are skipped, unwanted elements are left
+    out. forms: keep forms and what they hold, for pages that are one form as a whole.
+    """
+    tree = _Tree()
     skip: list[str] = []  # open elements below an unwanted one
+    skipped: Counter = Counter()
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
         if text and not skip:
-            top.children.append(html.unescape(text) if "&" in text else text)
+            tree.top.children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -77,22 +143,21 @@ def parse(page: str) -> _Node:
         name = name.lower()
         if m[1]:
             if skip:
-                if name in skip:
-                    while skip.pop() != name:
-                        pass
+                if skipped[name]:
+                    while True:
+                        gone = skip.pop()
+                        skipped[gone] -= 1
+                        if gone == name:
+                            break
                     continue
                 # the end of something around the unwanted element also ends that one, unless it is inline
-                if name in _BLOCK and _open(top, name):
+                if name in _BLOCK and tree.open[name]:
                     skip.clear()
+                    skipped.clear()
                 else:
                     continue
-            node = _open(top, name)
-            if node is not None and node.parent is not None:
-                top = node.parent
-            elif name == "p":
-                top.children.append(_Node("p", "", top))
-            elif name == "br":
-                top.children.append(_Node("br", "", top))
+            if not tree.close(tree.find({name})) and name in ("p", "br"):
+                tree.add(name, "", False)
             continue
         attributes = m[3] or ""
         void = name in _VOID or attributes.endswith("/") and name in ("svg", "path", "use")
@@ -101,55 +166,33 @@ def parse(page: str) -> _Node:
             at = end.end() if end else n
             continue
         if skip:
-            if not void:
-                if name == "p" and "p" in skip and skip[-1] == "p" or name == "li" and skip[-1] == "li":
-                    continue
+            if not void and not (name == skip[-1] and name in ("p", "li")):
                 skip.append(name)
+                skipped[name] += 1
             continue
         if name in ("html", "body"):
-            if name == "body" and not _open(top, "body"):
-                node = _Node("body", attributes, top)
-                top.children.append(node)
-                top = node
+            if name == "body" and not tree.open["body"]:
+                tree.add("body", attributes)
             continue
         if name in _CLOSES_P:
-            p = _open(top, "p", _STOP_P)
-            if p is not None:
-                top = p.parent
+            tree.close(tree.find({"p"}, _STOP_P))
         if name in _SAME:
-            node = top
-            while node.parent is not None and node.name not in _STOP[name]:
-                if node.name in _SAME[name]:
-                    top = node.parent
-                    break
-                node = node.parent
-        if _unwanted(name, attributes):
+            tree.close(tree.find(_SAME[name], _STOP[name]))
+        site_header = name == "header" and not tree.open["article"] and not tree.open["main"]
+        if site_header or _unwanted(name, attributes) and not (forms and name == "form"):
             if not void:
                 skip.append(name)
+                skipped[name] += 1
             elif name in _BLOCK:
-                top.children.append(_Node(name, "", top))
+                tree.add(name, "", False)
             continue
-        node = _Node(name, attributes, top)
-        top.children.append(node)
-        if not void:
-            top = node
-    return root
+        tree.add(name, attributes, not void)
+    return tree.nodes
 
 
 _STOP_P = frozenset(("table", "td", "th", "caption", "button", "object"))
 
 
-def _open(top: _Node, name: str, stop: frozenset = frozenset()) -> _Node | None:
-    node: _Node | None = top
-    while node is not None:
-        if node.name == name:
-            return node
-        if node.name in stop:
-            return None
-        node = node.parent
-    return None
-
-
 def blocks(node: _Node) -> list[tuple[_Node, str, int]]:
     """The text blocks below a node in page order: innermost block element, text, length of its links."""
     out: list[tuple[_Node, str, int]] = []
@@ -190,20 +233,30 @@ def blocks(node: _Node) -> list[tuple[_Node, str, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, one line for each block. Null, empty and pages without text give ''."""
+    """The article of a page, one line for each block. Null, empty and pages without text give ''.
+
+    A page whose article stands in a form as a whole is read again with its forms, if 250 characters come of it.
+    """
     if not page:
         return ""
-    root = parse(page)
-    found = blocks(root)
+    text = _best(parse(page))
+    if not text and _FORM.search(page):
+        text = _best(parse(page, forms=True))
+        text = text if len(text) >= 250 else ""
+    return text
+
+
+_FORM = re.compile(r"<form[\s>]", re.I)
+
+
+def _best(nodes: list[_Node]) -> str:
+    found = blocks(nodes[0])
     if not found:
         return ""
     scored: dict[int, _Node] = {}
     for owner, text, linked in found:
-        up: _Node | None = owner
-        while up is not None:
-            up.size += len(text)
-            up.linked += linked
-            up = up.parent
+        owner.size += len(text)
+        owner.linked += linked
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         container = owner.parent if owner.name in _SCORED and owner.parent is not None else owner
         for k, up in ((1.0, container), (0.5, container.parent)):
@@ -212,6 +265,10 @@ def main_text(page: str | None) -> str:
                     scored[id(up)] = up
                     up.score += _prior(up)
                 up.score += points * k
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.size += x.size
+            x.parent.linked += x.linked
     for x in scored.values():
         x.score *= 1 - x.linked / max(x.size, 1)
     best = max(scored.values(), key=lambda x: x.score)
@@ -258,6 +315,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     order by one line feed. Null and empty pages and pages without an article give ''. Null ids and urls are kept;
     repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(column(id_col).cast("long").alias("id"), column(url_col).alias("url"), column(html_col).alias("html"))
     out = rows.mapInArrow(_extract, "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
