@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subweave.llm.shared import column
+
 ROUNDS = 8
 
 # what may be a value; each is validated before it is replaced. Account, card and telephone numbers: below
@@ -38,6 +40,9 @@ def _some_digits(least: int, most: int) -> str:
 _OF_COUNTRIES = "|".join(rf"\+(?:{countries}){_some_digits(*n)}" for n, countries in _PHONE_DIGITS.items())
 _PATTERNS["phone"] = rf"{_PHONE}(?<={_OF_COUNTRIES})|{_PHONE}(?<=\+\d{_some_digits(7, 14)})|(?<!\d)(?:\([2-9]\d{{2}}\) ?|[2-9]\d{{2}}[\-. ])[2-9]\d{{2}}[\-. ]\d{{4}}(?!\d)"
 
+# fixed values: the country codes of one and of two digits; all others have three
+_ONE_DIGIT, _TWO_DIGITS = "^[17]", "^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
 # places where an account or card number can begin, with the longest one from there as the first group
 _IBANS = r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
 _CARDS = r"(?<!\d)(?=(\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{5}|\d{13,19})(?!\d))"
@@ -72,6 +77,19 @@ def _permuted_digits(key: str, tag: str, d: str) -> str:
     return f"element_at(transform(array({pair}), q -> concat(lpad(cast(q.l as string), {h}, '0'), lpad(cast(q.r as string), {rest}, '0'))), 1)"
 
 
+def _permuted_number(key: str, tag: str, d: str) -> str:
+    """SQL: a string of digits permuted among those of its length that begin with 0, or among those that don't."""
+    h = f"(length({d}) div 2)"
+    some = f"cast(power(10, {h} - 1) as bigint)"
+    zero = f"startswith({d}, '0')"
+    left, a, b = f"cast(substr({d}, 1, {h}) as bigint) - if({zero}, 0, {some})", f"(if({zero}, 1, 9) * {some})", f"cast(power(10, length({d}) - {h}) as bigint)"
+    pair = feistel(key, f"concat_ws(':', {tag}, length({d}), {zero})", left, f"substr({d}, {h} + 1)", a, b)
+    return f"if(length({d}) < 2, {d}, {_let(pair, 'q', f'concat(lpad(cast(q.l + if({zero}, 0, {some}) as string), {h}, {_ZERO}), lpad(cast(q.r as string), length({d}) - {h}, {_ZERO}))')})"
+
+
+_ZERO = "'0'"
+
+
 def _refilled(m: str, d: str) -> str:
     """SQL: m with its digits replaced by those of d, in order."""
     return f"aggregate(split({m}, ''), named_struct('o', '', 'k', 1, 'd', {d}), (z, c) -> if(c rlike '^[0-9]$', named_struct('o', concat(z.o, substr(z.d, z.k, 1)), 'k', z.k + 1, 'd', z.d), named_struct('o', concat(z.o, c), 'k', z.k, 'd', z.d)), z -> z.o)"
@@ -109,12 +127,19 @@ def pseudonym(m: str, key: str) -> str:
     day = f"datediff(case when {first} then {iso} when {dmy} is not null then {dmy} when contains({m}, '/') then {mdy} end, date'1700-01-01')"
     moved = _let(feistel(key, "'date'", "n div 773", "n % 773", "189L", "773L"), "q", "date_add(date'1700-01-01', cast(q.l * 773 + q.r as int))")
     sep = f"substr(regexp_extract({m}, '[/.-]', 0), 1, 1)"
-    shown = f"case f when 'Y' then concat_ws({sep}, date_format(t, 'yyyy'), date_format(t, 'MM'), date_format(t, 'dd')) when 'D' then concat_ws({sep}, date_format(t, 'dd'), date_format(t, 'MM'), date_format(t, 'yyyy')) else concat_ws({sep}, date_format(t, 'MM'), date_format(t, 'dd'), date_format(t, 'yyyy')) end"
+    # days and months have two digits, unless one of them stands there with a single digit
+    short = "exists(p, x -> length(x) = 1)"
+    month, date_day = f"if({short}, cast(month(t) as string), date_format(t, 'MM'))", f"if({short}, cast(day(t) as string), date_format(t, 'dd'))"
+    shown = f"case f when 'Y' then concat_ws({sep}, year(t), {month}, {date_day}) when 'D' then concat_ws({sep}, {date_day}, {month}, year(t)) else concat_ws({sep}, {month}, {date_day}, year(t)) end"
     date = _let(parts, "p", _let(form, "f", _let(day, "n", f"if(n between 0 and 146096, {_let(moved, 't', shown)}, {m})")))
     body = _permuted_digits(key, "'card'", "substr(d, 1, length(d) - 1)")
     card = _let(_digits(m), "d", f"if({_luhn('d')} % 10 = 0 and not d rlike '^0+$', {_refilled(m, _let(body, 'e', _let(_luhn("concat(e, '0')"), 'u', 'concat(e, cast(pmod(10 - u % 10, 10) as string))')))}, {m})")
-    kept = f"if(substr({m}, 1, 1) = '+', greatest(length(d) - 10, 1), 0)"
-    phone = _let(_digits(m), "d", f"if(length(d) between 8 and 15, {_refilled(m, 'concat(substr(d, 1, ' + kept + '), ' + _permuted_digits(key, chr(39) + 'phone' + chr(39), 'substr(d, ' + kept + ' + 1)') + ')')}, {m})")
+    # the country's code stays; a North American number, with or without it, is permuted among such numbers
+    kept = f"if(startswith({m}, '+'), case when d rlike '{_ONE_DIGIT}' then 1 when d rlike '{_TWO_DIGITS}' then 2 else 3 end, 0)"
+    american = feistel(key, "'american'", "(cast(substr(e, 1, 3) as bigint) - 200) * 800 + cast(substr(e, 4, 3) as bigint) - 200", "substr(e, 7)", "640000L", "10000L")
+    american = _let(american, "q", "concat(q.l div 800 + 200, q.l % 800 + 200, lpad(cast(q.r as string), 4, '0'))")
+    national = f"if(substr(d, 1, k) in ('', '1') and e rlike '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$', {american}, {_permuted_number(key, "concat('phone:', substr(d, 1, k))", 'e')})"
+    phone = _let(_digits(m), "d", f"if(length(d) between 8 and 15, {_let(kept, 'k', _let('substr(d, k + 1)', 'e', _refilled(m, f'concat(substr(d, 1, k), {national})')))}, {m})")
     area = "cast(substr(d, 1, 3) as bigint)"
     ssn_pair = feistel(key, "'ssn'", f"if({area} > 666, {area} - 2, {area} - 1)", "(cast(substr(d, 4, 2) as bigint) - 1) * 9999 + cast(substr(d, 6, 4) as bigint) - 1", "898L", "989901L")
     ssn_text = "concat(lpad(cast(if(q.l >= 665, q.l + 2, q.l + 1) as string), 3, '0'), '-', lpad(cast(q.r div 9999 + 1 as string), 2, '0'), '-', lpad(cast(q.r % 9999 + 1 as string), 4, '0'))"
@@ -174,23 +199,26 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     Replaced are: card numbers that pass their check digit, telephone numbers (with a leading + or of North American form),
     IPv4 addresses, dates of the years 1700 to 2099, social security and bank account numbers that are valid, e-mail
     addresses, and secrets after a word such as `token =`. Numbers that aren't valid stay as they are.
-    key: secret text; the same key gives the same pseudonyms. count_col: also add the number of values replaced, int.
+    key: secret text; the same key gives the same pseudonyms. It reaches the tasks as a scalar subquery's value, so it
+    stands in no plan or log. count_col: also the number of values replaced, int; it takes the place of a column of that name.
     Null texts stay null (count 0), empty ones empty; rows are neither dropped nor merged.
     """
     names = docs.columns
-    text = F.col(f"`{text_col}`")
+    text = column(text_col)
     pattern = "__pattern_of_values"
-    quoted = f"`{text_col}`"
+    quoted = "`" + text_col.replace("`", "``") + "`"
     matches = f"regexp_extract_all({quoted}, {pattern}, 0)"
     # one array of struct(what was there, what stands there now), computed once for a text
-    pairs = F.expr(f"transform({matches}, m -> named_struct('m', m, 'p', {pseudonym('m', _quoted(key))}))")
+    held = "__key_of_values"
+    pairs = F.expr(f"transform({matches}, m -> named_struct('m', m, 'p', {pseudonym('m', held)}))")
     none = F.expr("cast(array() as array<struct<m:string,p:string>>)")
     place, gaps = "__pairs_of_values", "__texts_between"
-    out = docs.withColumn(pattern, F.when(_worth_a_look(text), F.expr(text_pattern(quoted))))
+    out = docs.withColumn(held, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    out = out.withColumn(pattern, F.when(_worth_a_look(text), F.expr(text_pattern(quoted))))
     out = out.withColumn(place, F.when(_worth_a_look(text), pairs).otherwise(none))
     out = out.withColumn(gaps, F.when(F.size(place) > 0, F.expr(f"split({quoted}, {pattern}, -1)")))
     new = F.when(F.size(place) > 0, F.expr(f"array_join(transform(sequence(0, size({gaps}) - 1), k -> concat({gaps}[k], coalesce(get({place}, k).p, ''))), '')")).otherwise(text)
-    columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    columns = [new.alias(c) if c == text_col else column(c) for c in names if not count_col or c.lower() != count_col.lower()]
     if count_col:
         columns.append(F.coalesce(F.size(F.filter(place, lambda x: x["m"] != x["p"])), F.lit(0)).alias(count_col))
     return out.select(*columns)
