@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subweave.llm.shared import new_path, partitions
+from subweave.llm.shared import column, new_path, partitions
 
 BLOCK_BYTES = 12 << 20  # text of a block of documents
 
@@ -73,6 +73,18 @@ _PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.l
 _PIECES_DDL = "block long, bucket int, ids array<long>, sizes array<int>, body binary"
 
 
+@functools.cache
+def breaks_at_blanks(pattern: str) -> bool:
+    """Whether a stretch from a blank or line feed to the next has the same matches wherever it stands, judged by all short combinations of kinds of characters."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    kinds = ["a", "Z", "7", "'", "'s", "-", "é", "東", "😀"]
+    stretches = [" " + x + y for x in kinds for y in ["", *kinds]] + ["\n" + x for x in kinds]
+    before = {x: find("x" + x)[1:] for x in stretches}
+    return all(find(start + x + y) == find(start) + before[x] + before[y] for start in ("x", "it's", "3,", "") for x in stretches[:: len(kinds)] for y in stretches)
+
+
 class _Block:
     """The words of a block in order of their first use, and what text between blanks they make up."""
 
@@ -80,6 +92,7 @@ class _Block:
         import regex
 
         self.find = regex.compile(pattern).findall
+        self.local = breaks_at_blanks(pattern)
         self.number: dict[str, int] = {}
         self.chunks: dict[str, bytes | None] = {}
 
@@ -87,8 +100,11 @@ class _Block:
         """The numbers of the text's pre-tokens.
 
         A stretch from a blank or line feed up to the next, with no other white space at its ends, has the same
-        pre-tokens wherever it stands; these are remembered. Texts with other runs of white space are cut as a whole.
+        pre-tokens wherever it stands; these are remembered. Texts with other runs of white space, and all texts if the
+        pattern has matches across blanks, are cut as a whole.
         """
+        if not self.local:
+            return self.plain(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         known = self.chunks
         try:
@@ -170,29 +186,48 @@ def hash_of(word: bytes) -> int:
 
 
 def _encode(ranks: str, pattern: str):
-    def run(table: pa.Table) -> pa.Table:
-        """All words of a bucket: each distinct one is encoded once, and its ids go to every block that has it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket: each distinct word of a bucket is encoded once, and its ids go to every block that has it."""
         encode = _encoding(ranks, pattern).encode_ordinary
         vocabulary = token_bytes(ranks)
         known: dict[bytes, bytes] = {}
-        bodies = []
-        for body in table.column("body"):
-            words = zstandard.decompress(body.as_py()).split(b"\xff")
-            for w in words:
-                if w not in known:
-                    known[w] = np.array([vocabulary[w]] if w in vocabulary else encode(w.decode()), "<u4").tobytes()
-            found = [known[w] for w in words]
-            counts = np.fromiter(map(len, found), "<u4", len(found)) // 4
-            bodies.append(zstandard.compress(_planes(counts) + _planes(np.frombuffer(b"".join(found), "<u4")), 3))
-        return pa.table([table.column("block"), table.column("bucket"), table.column("ids"), table.column("sizes"), pa.array(bodies, pa.binary())], schema=_PIECES)
+        current = None
+        for batch in batches:
+            bodies = []
+            for bucket, body in zip(batch.column(1).to_pylist(), batch.column(4), strict=True):
+                if bucket != current:
+                    known, current = {}, bucket
+                words = zstandard.decompress(body.as_py()).split(b"\xff")
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array([vocabulary[w]] if w in vocabulary else encode(w.decode()), "<u4").tobytes()
+                found = [known[w] for w in words]
+                counts = np.fromiter(map(len, found), "<u4", len(found)) // 4
+                bodies.append(zstandard.compress(_planes(counts) + _planes(np.frombuffer(b"".join(found), "<u4")), 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bodies, pa.binary())], schema=_PIECES)
 
     return run
 
 
+@functools.cache
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The table that decoding joins by id: all tokens' bytes, and where each id's begin (one more than ids)."""
+    by_id = {i: w for w, i in token_bytes(path).items()}
+    rows = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
+def joined_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in order, and where each id's end."""
+    data, first = table
+    size = first[ids + 1] - first[ids]
+    ends = np.cumsum(size)
+    return data[np.repeat(first[ids] - (ends - size), size) + np.arange(int(size.sum()))], ends
+
+
 def _assembled(ranks: str):
     def run(pieces: pa.Table, encoded: pa.Table) -> pa.Table:
         """One block: the ids of its words, then its documents by position."""
-        token = {i: w for w, i in token_bytes(ranks).items()}
         order = next(r["body"] for r in pieces.to_pylist() if r["bucket"] == _ORDER) if pieces.num_rows else zstandard.compress(b"")
         order = zstandard.decompress(order)
         order = _unplaned(order, 0, len(order) // 4)[0].tolist()
@@ -206,7 +241,12 @@ def _assembled(ranks: str):
             for number, lo, hi in zip(order[at : at + n], [0, *ends], ends, strict=False):
                 ids_of[number] = flat[lo:hi]
             at += n
-        raw = [b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids_of]
+        # the block's distinct words are decoded once: their ids joined with the token-byte table
+        counts = np.array([len(x) // 4 for x in ids_of], np.int64)
+        flat, ends = joined_bytes(np.frombuffer(b"".join(ids_of), "<u4").astype(np.int64), token_table(ranks))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        flat = flat.tobytes()
+        raw = [flat[lo:hi] for lo, hi in zip(bounds, bounds[1:], strict=False)]
         names, ids, decoded = [], [], []
         for r in pieces.to_pylist():
             if r["bucket"] == _POSITIONS:
@@ -232,13 +272,13 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "
     Ids may be null or repeat; each row follows its own text. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     buckets = buckets or 4 * partitions(spark)
     # written once, as blocks are named by task; bucketed by block, so that documents aren't shuffled again
     name = "pretokens_" + uuid.uuid4().hex
     pieces = rows.mapInArrow(_pretokens(pattern, buckets), _PIECES_DDL)
     pieces.write.format("parquet").bucketBy(partitions(spark), "block").option("path", new_path(spark, "pretokens")).saveAsTable(name)
     pieces = spark.table(name)
-    encoded = pieces.where("bucket >= 0").repartition(partitions(spark), "bucket").groupBy("bucket").applyInArrow(_encode(ranks, pattern), _PIECES_DDL)
+    encoded = pieces.where("bucket >= 0").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(ranks, pattern), _PIECES_DDL)
     whole = pieces.where("bucket < 0").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assembled(ranks), "id long, ids array<int>, decoded binary")
     return whole.withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ from subweave.llm.quality_crf import bucket
 from subweave.llm.shared import column
 from subweave.llm.words import runs, text_bytes
 
-WINDOW, OVERLAP = 512, 32  # bytes that a window labels, and bytes read before and after them
+WINDOW, OVERLAP = 512, 48  # bytes that a window labels, and bytes read before and after them
 MOST = 32_768  # windows times languages that are read at once
 
 

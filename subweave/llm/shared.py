@@ -12,9 +12,11 @@ _OWN: dict[str, str] = {}  # of applications without the setting
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         name = spark.sparkContext.applicationId
         path = _OWN.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="subweave-")
         _OWN[name] = path

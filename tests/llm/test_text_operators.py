@@ -1,14 +1,19 @@
 """Token files, byte-level BPE, pages, quality, languages, contamination and near-duplicates against plain versions."""
 
+import json
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from subweave.llm import byte_bpe, decontaminate, html_text, language_gru, near_dedup, quality_crf, shared, token_files
+from subweave.llm.words import shingle_hashes
 
 P = pytest.importorskip("public_tokenizers")
 SPECIAL = [None, "", " ", "\n", "  two  blanks ", "a\tb c", "x\n\ny \n z", "l'été it's I'LL 3½ 東京 😀", "<|endoftext|>ok", "ΑΣ J̌ İ ﬁ", "word " * 3000, "a" * 5000, "same", "same"]
@@ -42,6 +47,33 @@ def test_token_files(spark, kind, block):
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0), path)).count() == 0
 
 
+def test_pieces_as_the_library_encodes_them():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, encode = Tokenizer.from_file(path), token_files.PieceEncoder(path, most=3000)
+    r = random.Random(3)
+    letters = [*"abcABC '’.,!?019\t\n\r  <|>/", "it's", "I'LL", "<|endoftext|>", "<|startoftext|>", "é", "É", "ß", "ﬁ", "İ", "Σ", "ς", "\u0301", "東", "😀", "\xa0", "\x85", "\u2009", "\u3000", "½", "\x1c", "\x00", "\x7f"]
+    texts = [f"a{chr(c)}b" for c in range(256)] + [chr(c) for c in range(256)] + ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(6000)]
+    for lo in range(0, len(texts), 700):
+        part = texts[lo : lo + 700]
+        ids, first = encode(pa.array(part, pa.string()))
+        for k, x in enumerate(part):
+            assert ids[first[k] : first[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    other = json.load(open(path, encoding="utf-8"))
+    assert other["normalizer"]["normalizers"] == token_files._NORMALIZERS
+
+
+def test_patterns_that_match_across_blanks(spark):
+    assert byte_bpe.breaks_at_blanks(P.PATTERN) and not byte_bpe.breaks_at_blanks(r"\w+ \w+|\S+|\s+")
+    path, across = P.path("byte_bpe_multi_50k.tiktoken"), r"\w+ \w+|\S+|\s+"
+    out = byte_bpe.encode_and_decode(table(spark, SPECIAL), path, across, buckets=3).collect()
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=across, mergeable_ranks=byte_bpe.token_bytes(path), special_tokens={})
+    assert all(list(r.ids) == e.encode_ordinary(bytes(r.decoded).decode()) for r in out) and len(out) == len(SPECIAL) + 1
+
+
 def test_byte_bpe(spark):
     import tiktoken
 
@@ -72,6 +104,55 @@ def test_pages(spark):
     assert [out[k].text for k in (2, 3, 4)] == ["", "", ""] and out[5].text == "deep, text" and out[6].text == "plain text <only>"
 
 
+ONE = "This is the first paragraph, long enough to count, with commas, and words that go on for a while."
+TWO = "And this is the second one, also long, with commas, which ends the article here for good, yes."
+BODY = f"<p>{ONE}</p><p>{TWO}</p>"
+JUNK = "<p>Home, about, contact, imprint, reader says, and so on, and so forth, for quite a while indeed.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><header>Site name, slogan, and more</header>{BODY}</body>",
+        f"<div class='site-header'>{JUNK}</div><div>{BODY}</div>",
+        f"<div class=content>{BODY}<div class='main-menu'>{JUNK}</div></div>",
+        f"<article>{BODY}<div class='article-comments'>{JUNK}</div></article>",
+        f"<article>{BODY}<section id=reader-comments>{JUNK}</section></article>",
+        f"<div>{BODY}</div><div class='content-sidebar'>{JUNK}</div>",
+        f"<div>{BODY}</div><div class='socialShare'>{JUNK}</div>",
+        f"<div>{BODY}<div class='comments-area'>{JUNK}</div></div>",
+        f"<div class='has-sidebar no-comments'>{BODY}</div>",
+        f"<div class='content-with-sidebar'>{BODY}</div>",
+        f"<div><a href=foo'bar></a>{BODY}</div>",
+        f"<div><a title='a > b' href=\"x>y\"></a>{BODY}</div>",
+        f"<div data-class='menu'>{BODY}</div>",
+        f"<nav><ul><li>a<li>b</ul></nav><main>{BODY}</main><aside>{JUNK}</aside>",
+        f"<div>{BODY}</div><form>{JUNK}</form><footer>{JUNK}</footer>",
+        f"<div role=navigation>{JUNK}</div><div>{BODY}</div>",
+        f"<div style='display: none'>{JUNK}</div><div>{BODY}</div>",
+        f"<div hidden>{JUNK}</div><div>{BODY}</div>",
+        f"<script>'<p>{ONE}</p>'</script><style>p {{}}</style><div>{BODY}</div><!-- {JUNK} -->",
+        f"<div><p>{ONE}<p>{TWO}</div>",
+        f"<div><p>{ONE.replace('first', '<b>first</b>')}</p></i></section><p>{TWO}</p></div>",
+        f"<div><p>{ONE.replace(' with', '&#32;with')}</p><p>{TWO.replace(' one', chr(10) + ' one')}</p></div>",
+        f"<table><tr><td>{BODY}</td></tr></table>",
+        f"<div class='cookie-notice'>{JUNK}</div><div class='newsletter signup'>{JUNK}</div><div>{BODY}</div>",
+    ],
+)
+def test_hand_made_pages(page):
+    assert html_text.main_text(page) == f"{ONE}\n{TWO}"
+
+
+def test_pages_in_one_form_headers_of_articles_and_deep_pages():
+    assert html_text.main_text(f"<form id=all><div>{BODY}{BODY}</div></form>").count(ONE) == 2
+    assert html_text.main_text(f"<article><header><h1>Title</h1></header>{BODY}</article>") == f"Title\n{ONE}\n{TWO}"
+    assert html_text.main_text("<form><p>Sign up</p></form>") == ""
+    began = time.process_time()
+    assert html_text.main_text("<div>" * 20_000 + "deep, text" + "</div>" * 20_000) == "deep, text"
+    assert html_text.main_text("<p><span>" * 20_000 + "deep, text") == "deep, text"
+    assert time.process_time() - began < 10
+
+
 def _words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -125,6 +206,49 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {x.doc_id for x in kept.collect()} == {k for k in range(len(texts)) if want[k] == k} | {None}
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_near_duplicates_at_other_similarities(spark, percent):
+    r = random.Random(percent)
+    vocabulary = [f"w{k}" for k in range(300)]
+    base = [r.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randrange(12)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        texts.append(" ".join(w))
+    sets = _sets(texts, 5)
+    up = {k: k for k in range(len(texts))}
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                lo, hi = sorted((up[a], up[b]))
+                up = {k: lo if v == hi else v for k, v in up.items()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(table(spark, texts), percent=percent, few=4).collect()}
+    assert [got[k] for k in range(len(texts))] == [up[k] for k in range(len(texts))]
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.forest_shape(20)
+
+
+def test_odd_column_names_and_very_long_words(spark):
+    long = ["x" * 4107, "x" * 4107, "y" + "x" * 4095 + "z" + "x" * 10, "z" + "x" * 4095 + "y" + "x" * 10]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(long)], "`a b.c` long, `te``xt` string")
+    got = {r[0]: r.component_id for r in near_dedup.near_duplicates(d, "a b.c", "te`xt").collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert near_dedup.without_near_duplicates(d, "a b.c", "te`xt").columns == ["a b.c", "te`xt"]
+
+
+def test_spanning_forest():
+    r = np.random.default_rng(1)
+    linked = r.random((60, 60)) < 0.02
+    linked |= linked.T
+    found = near_dedup.spanning_forest(linked)
+    reach = lambda edges: np.linalg.matrix_power(np.eye(60) + sum((np.eye(60)[[a]].T @ np.eye(60)[[b]] + np.eye(60)[[b]].T @ np.eye(60)[[a]]) for a, b in edges), 60) > 0
+    every = [(a, b) for a, b in zip(*np.nonzero(linked), strict=True) if a < b]
+    assert (reach(found) == reach(every)).all() and len(found) == 60 - len(np.unique(reach(every), axis=0))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, []).limit(0)).count() == 0
     assert near_dedup.near_duplicates(table(spark, [None, "", "x"])).count() == 4
@@ -167,12 +291,77 @@ def test_scores_do_not_depend_on_slices(spark):
 
 def test_hamming_blocks_miss_nothing():
     r = np.random.default_rng(4)
-    index = decontaminate.BenchmarkIndex([(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(30)], {}, 5, 23)
-    for _ in range(300):
-        bits = np.unpackbits(index.prints[0])
-        bits[r.choice(64, r.integers(0, 24), replace=False)] ^= 1
-        near = np.packbits(bits)
-        assert index.near[np.arange(8), near, 0].any()
+    prints = r.integers(0, 1 << 16, (40, decontaminate.BLOCKS)).astype("<u2")
+    radius = decontaminate.radius_of(80)
+    index = decontaminate.MultiIndex(prints, radius)
+    for k in range(200):
+        bits = np.unpackbits(prints[k % 40].view(np.uint8))
+        bits[r.choice(decontaminate.BITS, r.integers(0, radius + 1), replace=False)] ^= 1
+        row, item = index.candidates(np.packbits(bits).view("<u2")[None, :])
+        assert k % 40 in item.tolist()
+
+
+def _index_and_brute_force(items, docs, percent):
+    words, first = decontaminate._words([t for _, t in items])
+    held = Counter()
+    grams = []
+    for k in range(len(items)):
+        own = words[first[k] : first[k + 1]]
+        grams.append(shingle_hashes(own, np.array([0, len(own)]), min(5, len(own)))[0])
+        held.update(set(grams[-1].tolist()))
+    shared_grams = np.array(sorted(g for g, n in held.items() if n > 1), np.uint64)
+    index = decontaminate.BenchmarkIndex(items, (shared_grams, np.array([held[int(g)] for g in shared_grams], np.int32)), 5, decontaminate.radius_of(percent))
+    w, f = decontaminate._words(docs)
+    want = {}
+    for d in range(len(docs)):
+        for k, (item_id, _) in enumerate(items):
+            n = first[k + 1] - first[k]
+            size = min(5, n)
+            if f[d + 1] - f[d] >= size:
+                g, _ = shingle_hashes(w[f[d] : f[d + 1]], np.array([0, f[d + 1] - f[d]]), size)
+                weight, own = index.weights(g), index.weights(grams[k])
+                width, best = n - size + 1, 0.0
+                for start in range(max(1, len(g) - width + 1)):
+                    a, b = Counter(g[start : start + width].tolist()), Counter(grams[k].tolist())
+                    value = dict(zip(g.tolist() + grams[k].tolist(), weight.tolist() + own.tolist(), strict=True))
+                    best = max(best, sum(value[x] * c for x, c in (a & b).items()) / sum(value[x] * c for x, c in (a | b).items()))
+                if 100 * best >= percent - 1e-9:
+                    want[d, item_id] = best
+    return index, w, f, want
+
+
+def test_contamination_against_all_windows():
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    stem = some(12)
+    items = [(k, " ".join(stem + some(r.choice([8, 9, 20, 30])))) for k in range(25)] + [(100, "only three words"), (101, "a " * 20), (102, " ".join(some(300)))]
+    docs = ["", "a " * 300, items[-1][1] + " x", items[3][1], " ".join(stem)]
+    for _ in range(120):
+        w = some(r.randrange(80))
+        for _ in range(r.randrange(3)):
+            own = [x if r.random() > r.choice([0, 0.02, 0.04]) else "zz" for x in r.choice(items)[1].split()]
+            at = r.randrange(len(w) + 1)
+            w[at:at] = own[: int(len(own) * r.choice([1, 1, 0.95, 0.85]))]
+        docs.append(" ".join(w))
+    index, w, f, want = _index_and_brute_force(items, docs, 80)
+    got = {(d, i): s for d, i, s, *_ in index.hits(w, f, 80)}
+    assert len(want) > 40 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    # the multi-index decides: without its tables nothing is found
+    for _, _, lengths in index.sizes.values():
+        for x in lengths:
+            x.index.keys = np.full_like(x.index.keys, 0xFFFFFFFF)
+    assert not list(index.hits(w, f, 80))
+
+
+def test_contamination_of_a_very_long_text():
+    r = random.Random(6)
+    some = lambda n: " ".join(r.choice("bcdfgh") * 3 + str(r.randrange(300)) for _ in range(n))
+    stem = some(12)
+    items = [(k, f"{stem} {some(8)}") for k in range(20)]
+    index = decontaminate.BenchmarkIndex(items, {}, 5, decontaminate.radius_of(80))
+    w, f = decontaminate._words([" ".join(f"{stem} {some(8)}" for _ in range(10_000)) + " " + items[7][1]])
+    assert [(i, s) for _, i, s, *_ in index.hits(w, f, 80)] == [(7, 1.0)]
 
 
 def test_quality(spark):
@@ -226,10 +415,54 @@ def test_languages(spark):
     assert {x.lang_pred for x in language_gru.predict_languages(d, none).collect()} == {"und"}
 
 
+def _plain_network(g, raw):
+    h, w = g.hidden, g.w
+    soft = lambda v: v / (1 + np.abs(v))
+
+    def one_way(d, sequence):
+        state, out = np.zeros(h), []
+        for byte in sequence:
+            a, x = state @ w[d + "g"], w[d + "x"][byte]
+            z, reset = 0.5 + 0.5 * soft(x[:h] + a[:h]), 0.5 + 0.5 * soft(x[h : 2 * h] + a[h : 2 * h])
+            state = z * state + (1 - z) * soft(x[2 * h :] + reset * a[2 * h :])
+            out.append(state)
+        return np.array(out)
+
+    logits = one_way("f", raw) @ w["fo"] + one_way("b", raw[::-1])[::-1] @ w["bo"] + w["bias"]
+    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+
+
+def test_network_reads_whole_texts():
+    g = language_gru.ByteGRU(["a", "b", "c"], 4)
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(32, 127, n, dtype=np.uint8)) for n in (1, 5, 511, 512, 513, 540, 1100, 3000)] + ["東京に行きます".encode() * 60]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    labels = np.zeros((len(data), 3), np.float32)
+    sums = g.pooled(data, np.concatenate([[0], ends[:-1]]), ends, labels)
+    for k, t in enumerate(texts):  # windows read OVERLAP bytes around them, a plain loop all of them
+        want = _plain_network(g, t)
+        assert np.abs(labels[ends[k] - len(t) : ends[k]] - want).max() < 1e-4 and np.abs(sums[k] - want.sum(0)).max() < 1e-2
+    langs, scores = language_gru.predict_texts(g, pa.array(["ab cd ef", "cd ab ef", "東京", None, "12", ""]))
+    assert scores[0] != scores[1] and langs[3:] == ["und"] * 3
+
+
+def test_trained_network_hardly_depends_on_windows():
+    r = random.Random(8)
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(n)).encode()
+    kinds = [["tha", "ing", "wh", "sh"], ["eau", "oux", "é", "ç"]]
+    g = language_gru.ByteGRU(["a", "b"]).fit([make(kinds[k % 2], 40) for k in range(100)], np.arange(100) % 2, rounds=60)
+    t = make(kinds[0] + kinds[1], 700)
+    labels = np.zeros((len(t), 2), np.float32)
+    g.pooled(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), labels)
+    gap = labels - _plain_network(g, t)
+    assert np.abs(gap).mean() < 1e-3 and np.abs(gap.mean(0)).max() < 1e-3 and np.quantile(np.abs(gap), 0.99) < 0.01
+
+
 def test_backpropagation_through_time():
     g = language_gru.ByteGRU(["a", "b", "c"], 4)
     g.w = {k: v.astype("float64") for k, v in g.w.items()}
-    data, sizes, _ = language_gru.piece_bytes(["hello", "weltß", "x"])
+    data = np.frombuffer(b"".join(t.encode().ljust(6, b"\0") for t in ("hello", "weltß", "x")), np.uint8).reshape(3, 6)
+    sizes = np.array([5, 6, 1])
     y = np.array([0, 1, 2])
     _, grads = g.step(data, sizes, y)
     for n, w in g.w.items():
