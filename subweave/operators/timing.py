@@ -31,16 +31,22 @@ def event_end_hint(events: DataFrame) -> DataFrame:
 
 
 def build_atoms(events: DataFrame) -> DataFrame:
+    """Words with times; see _atoms."""
+    return _atoms(events).drop("event_end")
+
+
+def _atoms(events: DataFrame) -> DataFrame:
     """Words with times: segments with text of events that don't append. A word ends where the next begins or after 1.6 s, the last of an event at its hint; after 220 ms at least."""
-    e = event_end_hint(events).where(~F.coalesce(F.col("a_append") == 1, F.lit(False)))
-    s = e.select("track_id", "event_index", "t_start_ms", "end_hint_ms", F.posexplode("segs").alias("segment_index", "seg"))
+    own = F.col("t_start_ms") + F.coalesce("d_duration_ms", F.lit(0.0))
+    e = event_end_hint(events).withColumn("event_end", own).where(~F.coalesce(F.col("a_append") == 1, F.lit(False)))
+    s = e.select("track_id", "event_index", "t_start_ms", "end_hint_ms", "event_end", F.posexplode("segs").alias("segment_index", "seg"))
     s = s.where(F.length(F.trim(F.regexp_replace(F.coalesce("seg.utf8", F.lit("")), r"\s+", " "))) > 0)
-    s = s.select("track_id", "event_index", "segment_index", (F.col("t_start_ms") + F.coalesce("seg.t_offset_ms", F.lit(0.0))).alias("start_ms"), "end_hint_ms", F.col("seg.utf8").alias("text"))
+    s = s.select("track_id", "event_index", "segment_index", (F.col("t_start_ms") + F.coalesce("seg.t_offset_ms", F.lit(0.0))).alias("start_ms"), "end_hint_ms", "event_end", F.col("seg.utf8").alias("text"))
     order = Window.partitionBy("track_id").orderBy("start_ms", "event_index", "segment_index")
     following = F.lead("start_ms").over(order)
     same = F.coalesce(F.lead("event_index").over(order) == F.col("event_index"), F.lit(False))
     end = F.when(same, F.least(following, F.col("start_ms") + ATOM_MS)).otherwise(F.col("end_hint_ms"))
-    return s.select("track_id", "event_index", "segment_index", "start_ms", F.greatest(end, F.col("start_ms") + HINT_MS).alias("end_ms"), "text")
+    return s.select("track_id", "event_index", "segment_index", "start_ms", F.greatest(end, F.col("start_ms") + HINT_MS).alias("end_ms"), "text", "event_end")
 
 
 def combined_atoms(texts: Column) -> Column:
@@ -52,11 +58,8 @@ def combined_atoms(texts: Column) -> Column:
 
 def scrolling_rows(events: DataFrame) -> DataFrame:
     """One cue for each event with words: their text, from the first word's start to the later of the last word's end and the event's."""
-    atoms = build_atoms(events)
     words = F.array_sort(F.collect_list(F.struct("start_ms", "segment_index", "text", "end_ms")))
-    rows = atoms.groupBy("track_id", "event_index").agg(words.alias("w"))
-    ends = events.select("track_id", "event_index", (F.col("t_start_ms") + F.coalesce("d_duration_ms", F.lit(0.0))).alias("event_end"))
-    rows = rows.join(ends, ["track_id", "event_index"])
+    rows = _atoms(events).groupBy("track_id", "event_index").agg(words.alias("w"), F.max("event_end").alias("event_end"))
     rows = rows.select("track_id", "event_index", F.get("w", 0)["start_ms"].alias("start_ms"), F.greatest(F.element_at("w", -1)["end_ms"], "event_end").alias("end_ms"), combined_atoms(F.transform("w", lambda w: w["text"])).alias("text")).where("text <> ''")
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "event_index")) - 1
     return rows.select("track_id", number.alias("cue_index"), "start_ms", "end_ms", "text")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subweave.functions.text import is_suspicious, language_name, trimmed
+from subweave.functions.text import LANGUAGES, is_suspicious, language_name, trimmed
 from subweave.params import Params
 
 
@@ -57,12 +57,17 @@ def plan_batches(cues: DataFrame, max_items: int = 12, max_chars: int = 900) ->
 
 
 def context_lines(cues: DataFrame, batches: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
-    """batches + preceding, current and following lines, cut from each track's array of lines: no range join."""
-    line = F.struct("cue_index", F.col("text"))
-    tracks = cues.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["cue_index"].alias("index"), x["text"].alias("text"))).alias("lines"))
-    b = batches.join(tracks, "track_id")
-    cut = lambda lo, hi: F.filter("lines", lambda x: (x["index"] >= lo) & (x["index"] < hi))
+    """batches + preceding, current and following lines.
+
+    Each batch names the numbers of its lines and their neighbours, which meet the cues by an equal join, so that the work
+    grows with the lines and not with a track's length. Batches without any line give no row.
+    """
     start, end = F.col("start"), F.col("end")
+    wanted = batches.select(*batches.columns, F.explode(F.sequence(start - before, end + (after - 1))).alias("cue_index"))
+    found = wanted.join(cues.select("track_id", "cue_index", "text"), ["track_id", "cue_index"])
+    line = F.struct(F.col("cue_index").alias("index"), F.col("text").alias("text"))
+    b = found.groupBy(*batches.columns).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    cut = lambda lo, hi: F.filter("lines", lambda x: (x["index"] >= lo) & (x["index"] < hi))
     return b.select(*batches.columns, cut(start - before, start).alias("preceding"), cut(start, end).alias("current"), cut(end, end + after).alias("following"))
 
 
@@ -159,8 +164,8 @@ def parse_answers(answers: DataFrame, kind: str = "translation") -> DataFrame:
     whole = F.forall("items", lambda x: x["id"].isNotNull() & (x["id"] == F.floor(x["id"])))
     error = F.when(F.col("items").isNull(), "no array").when(F.size("items") != F.col("expected"), "count").when(~F.coalesce(whole, F.lit(False)), "id").when(~F.coalesce(F.forall("items", lambda x: F.coalesce(x["text"] != "", F.lit(False))), F.lit(False)), "text")
     a = a.withColumn("error", error)
-    good = a.where("error is null").select("track_id", "batch_no", F.explode("items").alias("x"), "error").select("track_id", "batch_no", F.col("x.id").cast("int").alias("cue_index"), F.col("x.text").alias("text"), "error")
-    return good.unionByName(a.where("error is not null").select("track_id", "batch_no", F.lit(None).cast("int").alias("cue_index"), F.lit(None).cast("string").alias("text"), "error"))
+    out = a.select("track_id", "batch_no", F.explode_outer(F.when(F.col("error").isNull(), F.col("items"))).alias("x"), "error").where("x is not null or error is not null")
+    return out.select("track_id", "batch_no", F.col("x.id").cast("int").alias("cue_index"), F.col("x.text").alias("text"), "error")
 
 
 def apply_answers(cues: DataFrame, answers: DataFrame) -> DataFrame:
@@ -198,16 +203,83 @@ def fallback_plan(batches: DataFrame, parsed: DataFrame, attempt: int, retries:
     return again.unionByName(row(odd, F.col("cue_index"), F.col("cue_index") + 1, 0, "line"))
 
 
-def translate_to_bilingual(cues: DataFrame, target: str, fn: Callable[[list[str]], list[str]], params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None, line_fn: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+Model = Callable[[list[str]], list[str]]
+
+
+def _asked(rows: DataFrame, fn: Model, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with a prompt + content: the model's answers, kept so that no call is repeated. A call that fails leaves its content null."""
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            try:
+                content = list(fn(part["prompt"].tolist()))
+            except Exception:  # noqa: BLE001  the caller's model may fail in any way
+                content = [None] * len(part)
+            yield part.assign(content=pd.Series(content, index=part.index, dtype=object))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return keep(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(ask, kind + ", content string"))
+
+
+def restore_cues(cues: DataFrame, fn: Model, params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """cues with texts as the model repairs them; a batch whose answer has a fault keeps its texts."""
+    p, keep = params or Params(), checkpoint or DataFrame.checkpoint
+    items, before, after, chars = restore_limits(p)
+    asked = restore_prompts(context_lines(cues, plan_batches(cues, items, chars), before, after))
+    got = _asked(asked.select("track_id", "batch_no", "prompt", F.size("current").alias("expected")), fn, keep)
+    return apply_answers(cues, parse_answers(got, "restore")).withColumn("text", F.col("translated_text")).drop("translated_text")
+
+
+def guidance(cues: DataFrame, target: str, kinds: list[str], fn: Model, params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(track_id, one column for each kind): a prompt for each chunk of a track's transcript, then one that combines the answers.
+
+    kinds: of summary and glossary. A track of which any call of a kind fails or answers nothing has no such guidance: null.
+    """
+    p, keep = params or Params(), checkpoint or DataFrame.checkpoint
+    line = F.struct("cue_index", trimmed(F.col("text")).alias("t"))
+    texts = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"])
+    tracks = cues.groupBy("track_id").agg(F.array_join(F.filter(texts, lambda t: t != ""), "\n").alias("text"))
+    out = tracks.select("track_id")
+    chunks = chunk_transcripts(tracks, p.chunk_chars)
+    answer = F.nullif(trimmed(F.col("content")), F.lit(""))
+    for kind in kinds:
+        parts = _asked(guidance_prompts(chunks, kind, "map", language_name_of(target)).select("track_id", "chunk_no", "prompt"), fn, keep).select("track_id", "chunk_no", answer.alias("text"))
+        whole = parts.groupBy("track_id").agg(F.bool_and(F.col("text").isNotNull()).alias("whole")).where("whole").select("track_id")
+        combined = _asked(guidance_prompts(parts.join(whole, "track_id", "left_semi"), kind, "reduce", language_name_of(target)), fn, keep)
+        out = out.join(combined.select("track_id", answer.alias(kind)), "track_id", "left")
+    return keep(out)
+
+
+def language_name_of(code: str) -> str:
+    return LANGUAGES.get(code, code)
+
+
+def translate_to_bilingual(
+    cues: DataFrame,
+    target: str,
+    fn: Model,
+    params: Params | None = None,
+    checkpoint: Callable[[DataFrame], DataFrame] | None = None,
+    line_fn: Model | None = None,
+    restore_fn: Model | None = None,
+    guidance_fn: Model | None = None,
+    guidance_kinds: tuple[str, ...] = ("summary", "glossary"),
+) -> DataFrame:
     """cues + source_text and translated_text, by rounds of batches, answers and what is left.
 
     fn: a list of prompts -> a list of answers, called on the executors. checkpoint: keeps a round's answers (default: DataFrame.checkpoint),
     so that no model call is repeated. line_fn: the same for prompts of line_prompts, whose answers are the bare translation; without it
     single lines are asked of fn, as batches of one. A single line that fails is asked again while retries are left, and one that
     still fails or is suspicious once more with the strict prompt; then the source text stands. Rounds end when nothing is left.
+    restore_fn: first has the source lines repaired (see restore_cues); what comes out is paired with the lines as they were.
+    guidance_fn: first has a summary and a glossary of each track made (see guidance), which go into the batches' prompts.
     """
     p = params or Params()
     keep = checkpoint or DataFrame.checkpoint
+    original = cues
+    if restore_fn is not None:
+        cues = restore_cues(cues, restore_fn, p, keep)
+    advice = None if guidance_fn is None else guidance(cues, target, list(guidance_kinds), guidance_fn, p, keep)
     alone = F.col("how").isin("line", "strict")
 
     def ask(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +305,8 @@ def translate_to_bilingual(cues: DataFrame, target: str, fn: Callable[[list[str]
     answered = None
     for _ in range((p.retries + 1) * (p.batch_items.bit_length() + 1) + 1):  # each size with its retries, then the strict prompt
         numbered = todo.withColumn("batch_no", F.col("start"))
-        asked = prompts(context_lines(cues, numbered, p.before, p.after)).select("track_id", "batch_no", "start", "end", "attempt", "how", "prompt", F.size("current").alias("expected"))
+        lines = context_lines(cues, numbered, p.before, p.after)
+        asked = prompts(lines if advice is None else lines.join(advice, "track_id", "left")).select("track_id", "batch_no", "start", "end", "attempt", "how", "prompt", F.size("current").alias("expected"))
         kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
         spread = asked.repartition(cues.sparkSession.sparkContext.defaultParallelism, "track_id", "batch_no")
         got = keep(spread.mapInPandas(ask, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", content string"))
@@ -255,7 +328,10 @@ def translate_to_bilingual(cues: DataFrame, target: str, fn: Callable[[list[str]
         todo = keep(halves.unionByName(bad))
         if todo.isEmpty():
             break
-    return apply_answers(cues, answered).withColumnRenamed("text", "source_text")
+    out = apply_answers(cues, answered)
+    if restore_fn is None:
+        return out.withColumnRenamed("text", "source_text")
+    return original.withColumnRenamed("text", "source_text").join(out.select("track_id", "cue_index", "translated_text"), ["track_id", "cue_index"])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

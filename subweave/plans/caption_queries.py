@@ -115,9 +115,10 @@ def sort_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timing.sort_cues(cues_from_documents(spark, sf_dir)).select("track_id", "cue_index", "start_ms", "end_ms")
 
 
-@query(_sql("select track_id, count(*) as n, sum(start_ms) as starts from (select distinct track_id, start_ms, end_ms, text from cues) group by track_id"))
+@query(_sql("""select track_id, cast(row_number() over (partition by track_id order by cue_index) - 1 as integer) as cue_index, start_ms, end_ms, text
+from (select track_id, min(cue_index) as cue_index, start_ms, end_ms, text from cues group by track_id, start_ms, end_ms, text)"""))
 def deduplicate_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.deduplicate_cues(cues_from_documents(spark, sf_dir)).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_ms").alias("starts"))
+    return timing.deduplicate_cues(cues_from_documents(spark, sf_dir)).select("track_id", "cue_index", "start_ms", "end_ms", "text")
 
 
 @query(_sql(r"select track_id, cue_index, false as is_cjk, cast(len(regexp_split_to_array(trim(text), '\s+')) as integer) as length, cast(length(regexp_replace(text, '\s', '', 'g')) as integer) as visible, cast(greatest(1, length(regexp_replace(text, '\s', '', 'g'))) as integer) as weight from cues"))
@@ -161,10 +162,10 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the 31 * h + c hash by a fold over the characters, all of which are single UTF-16 units here
 @query("""select track_id, cast(case when h >= 2147483648 then 4294967296 - h else h end as bigint) as h from (
-select cast(doc_id as varchar) as track_id, list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(text, ''), lambda c: cast(ord(c) as bigint))), lambda a, c: (a * 31 + c) % 4294967296) as h from documents where length(text) > 0)""")
+select cast(doc_id as varchar) as track_id, list_reduce(list_prepend(cast(0 as bigint), list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: cast(ord(c) as bigint))), lambda a, c: (a * 31 + c) % 4294967296) as h from documents)""")
 def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    h = F.conv(T.source_hash(F.col("text")), 36, 10).cast("long")
+    d = table(spark, sf_dir, "documents")
+    h = F.conv(T.source_hash(F.coalesce("text", F.lit(""))), 36, 10).cast("long")
     return d.select(F.col("doc_id").cast("string").alias("track_id"), h.alias("h"))
 
 
@@ -252,16 +253,18 @@ def split_long_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # numeric folds as recursive SQL; folds over text have no SQL and are held against invariants and cases in tests
-@query("with recursive " + CUES + r""", t as (select track_id, cue_index, start_ms, end_ms, length(text) as chars, len(regexp_split_to_array(text, '\s+')) as words, regexp_matches(text, '[.!?…]\z') as stop from (select track_id, cue_index, start_ms, end_ms, """ + NORMAL + r""" as text from cues)),
+@query("with recursive " + CUES + r""", t as (select track_id, cue_index, start_ms, end_ms, text, length(text) as chars, len(regexp_split_to_array(text, '\s+')) as words, regexp_matches(text, '[.!?…]\z') as stop from (select track_id, cue_index, start_ms, end_ms, """ + NORMAL + r""" as text from cues)),
 r as (select track_id, cue_index, 0 as g, start_ms as gs, end_ms as le, chars, words, true as open from t where cue_index = 0 union all
   select n.track_id, n.cue_index, n.g, n.gs, n.end_ms, n.chars, n.words, not (not n.fresh and n.end_ms - n.gs >= 3000 and (n.stop or n.chars >= 160 or n.words >= 30)) from (
     select t.track_id, t.cue_index, t.end_ms, t.stop, not r.open or t.end_ms - r.gs >= 7000 or t.start_ms - r.le > 1200 as fresh, case when fresh then r.g + 1 else r.g end as g, case when fresh then t.start_ms else r.gs end as gs,
       case when fresh then t.chars else r.chars + t.chars + 1 end as chars, case when fresh then t.words else r.words + t.words end as words from r join t on t.track_id = r.track_id and t.cue_index = r.cue_index + 1) n),
-p as (select track_id, g, min(gs) as start_ms, arg_max(le, cue_index) as end_ms, arg_max(open, cue_index) as open from r group by track_id, g),
+p as (select r.track_id, g, min(gs) as start_ms, arg_max(le, cue_index) as end_ms, arg_max(open, cue_index) as open, string_agg(t.text, ' ' order by cue_index) as text from r join t using (track_id, cue_index) group by r.track_id, g),
 q as (select *, lead(g) over (partition by track_id order by g) is null and open and end_ms - start_ms < 3000 and g > 0 as tail from p)
-select track_id, cast(g as integer) as cue_index, min(start_ms) as start_ms, max(end_ms) as end_ms from (select track_id, case when tail then g - 1 else g end as g, start_ms, end_ms from q) group by track_id, g""")
+select track_id, cast(g as integer) as cue_index, min(start_ms) as start_ms, max(end_ms) as end_ms,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_agg(text, ' ' order by k), '\s+([,.;:!?])', '\1', 'g'), '([(\[{“‘])\s+', '\1', 'g'), '\s+([)\]}\'"”’])', '\1', 'g'), '\s{2,}', ' ', 'g')) as text
+from (select track_id, case when tail then g - 1 else g end as g, g as k, start_ms, end_ms, text from q) group by track_id, g""".replace("\\'", "''"))
 def merge_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.merge_cues(cues_from_documents(spark, sf_dir)).select("track_id", "cue_index", "start_ms", "end_ms")
+    return segments.merge_cues(cues_from_documents(spark, sf_dir)).select("track_id", "cue_index", "start_ms", "end_ms", "text")
 
 
 @query()

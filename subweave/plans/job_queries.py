@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from subweave.functions import text as T
 from subweave.operators import jobs as J
 from subweave.operators import translate as X
+from subweave.operators.pipeline import caption_files
 from subweave.operators.quality import transcripts
 from subweave.operators.segments import optimize_bilingual_cues
 from subweave.plans.caption_queries import CUES
@@ -170,7 +171,23 @@ def suspicious_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("track_id", "cue_index", T.is_suspicious(F.col("source_text"), F.col("translated_text")).alias("suspicious"))
 
 
-@query()
+_PARTS_OF = r"list_filter(list_transform(regexp_extract_all(trim(regexp_replace(regexp_replace(regexp_replace({x}, '^>>\s*', ''), '>>', ' ', 'g'), '\s+', ' ', 'g')), '.*?[,.;:!?]\s+|.+\z'), lambda x: trim(x)), lambda x: x <> '')"
+_N_WORDS = r"case when trim({x}) = '' then 0 else len(regexp_split_to_array(trim({x}), '\s+')) end"
+
+
+@query(_sql(rf"""select track_id, cue_index, start_ms, end_ms, source_text, translated_text from (
+select track_id, cue_index, start_ms, case when n is not null then least(n - 50, greatest(e2, start_ms + 500)) else greatest(e2, start_ms + 500) end as end_ms, source_text, translated_text from (
+  select *, case when e1 - start_ms < 1000 then case when n is not null and start_ms + 1000 > n then n - 100 else start_ms + 1000 end else e1 end as e2 from (
+    select *, case when n is not null and end_ms > n - 100 then n - 100 else end_ms end as e1 from (select *, lead(start_ms) over (partition by track_id order by cue_index) as n from numbered)))) where end_ms > start_ms""", TURNS, rf"""
+b0 as (select *, {_PARTS_OF.format(x="source_text")} as ps, {_PARTS_OF.format(x="translated_text")} as pt from pairs),
+b1 as (select *, trim(translated_text) <> '' and ({_N_WORDS.format(x="source_text")} > 14 or {_N_WORDS.format(x="translated_text")} > 14) and end_ms - start_ms >= 2400 and greatest(len(ps), len(pt)) > 1 as cut from b0),
+b2 as (select track_id, cue_index, start_ms, end_ms, i as part, case when cut then coalesce(ps[i + 1], '') else source_text end as source_text, case when cut then coalesce(pt[i + 1], '') else translated_text end as translated_text
+  from b1, unnest(range(case when cut then greatest(len(ps), len(pt)) else 1 end)) as u(i)),
+b3 as (select *, greatest(1, {_N_WORDS.format(x="source_text")} + {_N_WORDS.format(x="translated_text")}) as weight from b2),
+b4 as (select *, greatest(500.0, floor(weight / sum(weight) over (partition by track_id, cue_index) * (end_ms - start_ms) + 0.5)) as share, lead(part) over (partition by track_id, cue_index order by part) as more from b3),
+b5 as (select *, case when more is null then end_ms else least(end_ms, start_ms + sum(share) over (partition by track_id, cue_index order by part rows unbounded preceding)) end as stop from b4),
+b6 as (select *, coalesce(lag(stop) over (partition by track_id, cue_index order by part), start_ms) as begin from b5),
+numbered as (select track_id, cast(row_number() over (partition by track_id order by cue_index, part) - 1 as integer) as cue_index, begin as start_ms, stop as end_ms, source_text, translated_text from b6 where stop > begin)"""))
 def optimize_bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimize_bilingual_cues(X.bilingual_join(*A.bilingual_from_conversations(spark, sf_dir)))
 
@@ -200,12 +217,22 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, sf_dir).select("track_id", "batch_no", F.size("preceding").alias("n_before"), F.size("current").alias("n_current"), F.size("following").alias("n_after"), lines.alias("lines"))
 
 
-@query()
+def _prompt_sql(head: str, ask: str) -> str:
+    """The SQL of a prompt with context: batches of plan_batches with two lines before and one after."""
+    lines = lambda where: f"coalesce(string_agg(case when {where} then '[' || c.cue_index || '] ' || c.text end, chr(10) order by c.cue_index), '(none)')"
+    nl = "chr(10)"
+    parts = [f"'{head}'", nl, nl, "'Context'", nl, nl, "'Lines before:'", nl, "p", nl, nl, "'Lines after:'", nl, "f", nl, nl, "'Lines to work on:'", nl, "c", nl, nl, f"'Answer with a JSON array of exactly ' || n || ' items, each {ask}.'"]
+    return "with recursive " + CUES + "," + BATCHES + f""" select track_id, batch_no, {' || '.join(parts)} as prompt from (select b.track_id, b.batch_no, count_if(c.cue_index >= start and c.cue_index < stop) as n,
+  {lines("c.cue_index < start")} as p, {lines("c.cue_index >= start and c.cue_index < stop")} as c, {lines("c.cue_index >= stop")} as f
+  from batches b join cues c on c.track_id = b.track_id and c.cue_index >= start - 2 and c.cue_index < stop + 1 group by 1, 2)"""
+
+
+@query(_prompt_sql("Translate subtitles to French. Translate each line by itself and keep its number. Don''t merge, move or leave out lines. Use the lines around only to understand.", '{"id": number, "translation": text}'))
 def translation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.translation_prompts(_batches(spark, sf_dir), "fr").select("track_id", "batch_no", "prompt")
 
 
-@query()
+@query(_prompt_sql("Repair punctuation, case and broken sentences of these subtitle lines in their own language. Keep each number; add and leave out nothing.", '{"id": number, "restored": text}'))
 def restore_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.restore_prompts(_batches(spark, sf_dir)).select("track_id", "batch_no", "prompt")
 
@@ -248,7 +275,13 @@ def fallback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fallback_plan(a, parsed, 0).select("track_id", "start", "end", "how")
 
 
-@query()
+@query("with recursive " + CUES + """,
+x as (select track_id, string_agg(trim(text), chr(10) order by cue_index) as text from cues group by track_id),
+k as (select track_id, 0 as pos, 0 as stop, text from x union all select track_id, stop, case when far < length(text) and nl > stop + 6000 then nl else far end, text from (
+  select track_id, text, stop, far, case when contains(sub, chr(10)) then stop + length(sub) - strpos(reverse(sub), chr(10)) else -1 end as nl from (
+    select track_id, text, stop, least(stop + 12000, length(text)) as far, substr(text, stop + 1, 12001) as sub from k where stop < length(text)))),
+y as (select track_id, pos, trim(substr(text, pos + 1, stop - pos), ' ' || chr(10)) as text from k where stop > pos)
+select track_id, cast(row_number() over (partition by track_id order by pos) - 1 as integer) as chunk_no, text from y where text <> ''""")
 def transcript_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunk_transcripts(transcripts(A.cues_from_documents(spark, sf_dir)), 12_000)
 
@@ -261,7 +294,10 @@ def guidance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="subweave-")).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or "file://" + tempfile.mkdtemp(prefix="subweave-")).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
 
 
 def _keep(df: DataFrame) -> DataFrame:
@@ -290,6 +326,32 @@ def translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track_id", "cue_index", "translated_text")
 
 
+def _upper_model(prompts: list[str]) -> list[str]:
+    """A stand-in for the model that repairs lines: upper-cases them."""
+    out = []
+    for p in prompts:
+        lines = re.findall(r"^\[(\d+)\] (.*)$", p.split("Lines to work on:")[1].split("\n\nAnswer with")[0], re.M)
+        out.append(json.dumps([{"id": int(k), "restored": t.upper()} for k, t in lines]))
+    return out
+
+
+def _advice_model(prompts: list[str]) -> list[str]:
+    return [str(len(p)) for p in prompts]
+
+
+@query(_sql(r"select track_id, cue_index, text as source_text, case when regexp_full_match(trim(text), '[\p{P}\p{S}\s]+') then upper(trim(text)) else lower(replace(trim(text), 'ß', 'ss')) end as translated_text from cues", CUES))
+def translate_with_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds with repaired lines, summaries and glossaries; the source texts stay as they were."""
+    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep, line_fn=_lower_line, restore_fn=_upper_model, guidance_fn=_advice_model)
+    return out.select("track_id", "cue_index", "source_text", "translated_text")
+
+
+@query()
+def caption_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to rendered translations in one chain; see operators/pipeline.py."""
+    return caption_files(A.events_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep, line_fn=_lower_line)
+
+
 @query(_sql("select id, lang, status, created_at from jobs", JOBS))
 def job_table_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "jobs")
@@ -323,7 +385,8 @@ def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:  # noqa: ANN
     return spark.read.schema(out.schema).parquet(folder + "/out")
 
 
-@query()
+@query("""select epoch_us(date_trunc('day', cast(ts as timestamp))) // 1000000 as window_start, case when event_id % 2 = 0 then 'alpha' else 'beta' end as provider, event_type as endpoint, count(*) as calls,
+cast(sum(cast(floor(value * 10) as bigint)) as bigint) as tokens, round(sum(value / 1000), 6) as cost_usd from events group by 1, 2, 3""")
 def streaming_daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All days with all their rows: no row is late within the table's own span, and each window's last update counts, so open ones do too."""
     calls = lambda e: e.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, "alpha").otherwise("beta").alias("provider"), F.col("event_type").alias("endpoint"), F.floor(F.col("value") * 10).cast("long").alias("token_count"), (F.col("value") / 1000).alias("cost_usd"))
@@ -340,7 +403,7 @@ def streaming_daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.writeStream.foreachBatch(update).option("checkpointLocation", folder + "/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     key = ["window_start", "provider", "endpoint"]
     last = F.max_by(F.struct("calls", "tokens", "cost_usd"), "epoch").alias("x")
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder + "/out").groupBy(*key).agg(last).select(*key, "x.*")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder + "/out").groupBy(*key).agg(last).select(F.unix_seconds("window_start").alias("window_start"), *key[1:], "x.calls", "x.tokens", F.round("x.cost_usd", 6).alias("cost_usd"))
 
 
 @query(_sql(f"select request_id, case when bilingual_json is not null then 'hit' when b.id is not null then 'in-progress' else 'new' end as state from valid v left join done d using ({KEY}) left join (select id, {KEY}, source_hash from newest where status in ('pending', 'translating')) b on " + " and ".join(f"b.{c} = v.{c}" for c in J.NATURAL_KEY), JOBS, REQUESTS))

@@ -5,7 +5,7 @@ All are built-in expressions over one row per track; nothing shuffles. Cues are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subweave.functions.text import normalize_event, trimmed
@@ -66,18 +66,14 @@ def _clock(text: Column) -> Column:
 
 def parse_webvtt(raw: DataFrame) -> DataFrame:
     """Blocks between empty lines, each an optional number, a line with -->, and the text; header and notes are skipped."""
-
-    def cue(block: Column) -> Column:
-        lines = F.split(trimmed(block), "\n")
-        at = F.when(F.get(lines, 0).rlike(r"\A\d+\z"), 1).otherwise(0)
-        time = F.coalesce(F.get(lines, at), F.lit(""))
-        text = trimmed(F.array_join(F.slice(lines, at + 2, F.size(lines)), "\n"))
-        ends = F.split(time, "-->")
-        known = ~F.get(lines, 0).rlike(r"\A(?:WEBVTT|NOTE)") & time.contains("-->") & (text != "")
-        return F.when(known, F.struct(_clock(F.get(ends, 0)).alias("start_ms"), _clock(F.get(ends, 1)).alias("end_ms"), text.alias("text")))
-
-    cues = F.filter(F.transform(F.split("payload", "\n\n+"), cue), lambda c: c.isNotNull())
-    return _rows(raw.select("track_id", renumbered(cues).alias("cues")))
+    # one column after the other, as expressions inside a lambda would be computed again wherever they are used
+    b = raw.select("track_id", F.posexplode(F.split("payload", "\n\n+")).alias("block", "b"))
+    b = b.select("track_id", "block", F.split(trimmed(F.col("b")), "\n").alias("lines")).where(~F.get("lines", F.lit(0)).rlike(r"\A(?:WEBVTT|NOTE)"))
+    b = b.withColumn("at", F.when(F.get("lines", F.lit(0)).rlike(r"\A\d+\z"), 1).otherwise(0))
+    b = b.select("track_id", "block", F.get("lines", F.col("at")).alias("time"), trimmed(F.array_join(F.slice("lines", F.col("at") + 2, F.size("lines")), "\n")).alias("text"))
+    b = b.where(F.col("time").contains("-->") & (F.col("text") != "")).withColumn("ends", F.split("time", "-->"))
+    number = F.row_number().over(Window.partitionBy("track_id").orderBy("block")) - 1
+    return b.select("track_id", number.alias("cue_index"), _clock(F.get("ends", F.lit(0))).alias("start_ms"), _clock(F.get("ends", F.lit(1))).alias("end_ms"), "text")
 
 
 def _entities(text: Column) -> Column:
