@@ -78,26 +78,34 @@ def format_conversations(nodes: DataFrame, best: int | None = None) -> DataFrame
     the assistants' texts stand in formatted, in code points from 0. An empty table gives an empty result.
     """
     paths = reply_paths(nodes)
-    scored = paths.join(nodes.select(F.col("conv").alias("nc"), F.col("node").alias("nn"), "role", "text", "score"), F.col("conv").eqNullSafe(F.col("nc")) & (F.col("node") == F.col("nn")))
-    ranked = scored.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("path_score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.col("path_score").desc(), "leaf")))
-    if best is not None:
-        ranked = ranked.where(F.col("rank") <= best)
+    said = nodes.select(F.col("conv").alias("nc"), F.col("node").alias("nn"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
+    match = F.col("conv").eqNullSafe(F.col("nc")) & (F.col("node") == F.col("nn"))
+    best_first = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("path_score").desc(), "leaf"))
+    if best is not None:  # the texts of the other paths are not read
+        scores = paths.join(said.select("nc", "nn", "score"), match).groupBy("conv", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "score"))).alias("turns"))
+        kept = scores.select("conv", "leaf", _path_score("turns").alias("path_score")).withColumn("rank", best_first).where(F.col("rank") <= best)
+        kept = kept.select(F.col("conv").alias("kc"), F.col("leaf").alias("kl"))
+        paths = paths.join(kept, F.col("conv").eqNullSafe(F.col("kc")) & (F.col("leaf") == F.col("kl")), "left_semi")
     role, body = escaped_role(F.col("role")), escaped(F.col("text"))
-    turns = scored.select("conv", "leaf", "up", F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learn"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), body.alias("body"))
+    turns = paths.join(said, match).select("conv", "leaf", "up", "score", F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learn"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), body.alias("body"))
     turns = turns.withColumn("size", (F.length("head") + F.length("body") + len(END)).cast("long"))
     before = Window.partitionBy("conv", "leaf").orderBy(F.col("up").desc()).rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
-    turn = F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"), "learn", (F.col("at") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"))
+    turn = F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"), "learn", (F.col("at") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"), "score")
     whole = turns.groupBy("conv", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     whole = whole.select(
-        F.col("conv").alias("wc"),
-        F.col("leaf").alias("wl"),
+        "conv",
+        "leaf",
+        _path_score("turns").alias("path_score"),
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
         F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss"),
     )
-    out = ranked.join(whole, F.col("conv").eqNullSafe(F.col("wc")) & (F.col("leaf") == F.col("wl")))
-    return out.select("conv", "leaf", "rank", F.col("path_score").alias("score"), "formatted", "loss")
+    return whole.withColumn("rank", best_first).select("conv", "leaf", "rank", F.col("path_score").alias("score"), "formatted", "loss")
+
+
+def _path_score(turns: str) -> Column:
+    """Mean score of a path's turns, added from the root on, so that it doesn't vary with the order in which rows arrive."""
+    return F.aggregate(turns, F.lit(0.0), lambda sum_, t: sum_ + t["score"]) / F.size(turns)
 
 
 def read_back(formatted: Column) -> Column:
