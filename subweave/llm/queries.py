@@ -14,9 +14,12 @@ from subweave.llm.graph_search import build_index, search
 from subweave.llm.html_text import extract_main_text
 from subweave.llm.language_gru import fit_languages, predict_languages
 from subweave.llm.near_dedup import near_duplicates
+from subweave.llm.periodic_runs import periodic_runs
 from subweave.llm.pseudonyms import pseudonymise
 from subweave.llm.quality_crf import bucket, fit_quality, quality_scores
+from subweave.llm.simhash_anchors import simhash_duplicates
 from subweave.llm.token_files import read_token_files, write_token_files
+from subweave.llm.vector_codes import vector_codes
 
 PSEUDONYM_KEY = "replace this key before use"  # of the registered queries; a job passes its own
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +123,46 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, every tenth id by its digest made periodic from a word on: h = crc32(id), g = h // 10; where h % 10 = 0, each
+    word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) // (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    d = docs.select("doc_id", "text", words.alias("words")).withColumn("n", F.size("words"))
+    g = F.expr("crc32(cast(doc_id as string)) div 10")
+    d = d.withColumn("a", F.when(F.col("n") > 0, g % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + (crc32(cast(doc_id as string)) div 10) % 8)"))
+    moved = F.expr("transform(words, (w, i) -> if(i < a, w, words[cast(a + pmod(i - a, p) as int)]))")
+    return d.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_planted_periods(_table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    out = out.withColumn("best", longest)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(-best.less * 1000) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"), parts=4, size=256, rounds=4, scale=1024)
+
+
 ORACLES["op10_near_dedup"] = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') ws from documents),
 s as (select distinct doc_id, case when len(ws)>=4 then array_to_string(ws[i:i+3],' ') else '#'||array_to_string(ws,' ') end sh from w, lateral unnest(range(1, greatest(len(ws)-3,1)+1)) t(i) where len(ws)>0),
