@@ -5,6 +5,13 @@ shingles of the benchmark weigh too little for any item of that length are passe
 get fingerprints of 256 bits. A multi-index of 16 blocks proposes the items: fingerprints within the radius agree in some
 block up to radius // 16 bits, so all of them are found. What it proposes is compared by its distance, and what is
 within the radius is verified by the exact weighted similarity of the bags of word shingles.
+
+A fingerprint's bit is the sign of a sum of normal values, one for each occurrence of a shingle in the window (the second of one
+shingle has another value than its first) times the square root of its weight. The cosine of two such sums is then the weight of
+what both bags hold over the root of the product of their weights, so similarity bounds the angle whatever the weights are.
+
+The benchmark is written to the shared folder in slices; a task reads one after the other, so it holds one slice at a time, and
+the documents are read once.
 """
 
 from __future__ import annotations
@@ -14,38 +21,92 @@ import itertools
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subweave.llm.shared import column
+from subweave.llm.shared import column, new_path, written
 from subweave.llm.words import PUNCTUATION, mixed, runs, shingle_hashes, text_bytes, word_hashes
 
 BITS, BLOCKS = 256, 16  # blocks of 16 bits
 UNIT = 1 << 16  # weight of a shingle of one item; weights are whole numbers, so that running sums are exact
 NO_HOLDERS = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-_SALTS = np.random.default_rng(41).integers(1, 2**63, BITS // 64, dtype=np.uint64)
+_SALTS = np.random.default_rng(41).integers(1, 2**63, BITS // 8, dtype=np.uint64)
+_AGAIN = np.uint64(0xD6E8FEB86659FD93)  # moves a shingle's further occurrences apart
+_NORMAL = np.array([round(100 * NormalDist().inv_cdf((k + 0.5) / 256)) for k in range(256)], np.int32)
 _ONES = np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1).sum(1).astype(np.uint8)
 HITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
 
 def radius_of(percent: int) -> int:
-    """The most bits in which fingerprints of windows and items of this similarity differ, but for a chance of 1e-5."""
+    """The most bits in which fingerprints of windows and items of this similarity differ, but for a chance of about 3e-5.
+
+    Similarity s means a cosine of 2 s / (1 + s) at least, and each bit differs with the chance angle / pi.
+    """
     same = percent / 100
     apart = math.acos(2 * same / (1 + same)) / math.pi
-    return int(BITS * apart + 4.2 * math.sqrt(BITS * apart * (1 - apart)))
+    return int(BITS * apart + 4.3 * math.sqrt(BITS * apart * (1 - apart)))
+
+
+def numbered(grams: np.ndarray) -> np.ndarray:
+    """How many equal shingles stand before each."""
+    order = np.argsort(grams, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1]]))[: len(grams)]
+    out = np.zeros(len(grams), np.int64)
+    out[order] = np.arange(len(grams)) - np.repeat(head, np.diff(head, append=len(grams)))
+    return out
+
+
+def normals(grams: np.ndarray, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each of the numbered shingles 256 normal values times the square root of its weight, as whole numbers."""
+    features = grams + number.astype(np.uint64) * _AGAIN
+    out = np.empty((len(grams), BITS), np.int32)
+    for k, salt in enumerate(_SALTS):
+        out[:, 8 * k : 8 * k + 8] = _NORMAL[mixed(features ^ salt).view(np.uint8).reshape(-1, 8)]
+    out *= np.rint(256 * np.sqrt(weights / UNIT)).astype(np.int32)[:, None]
+    return out
+
+
+def bag_sums(grams: np.ndarray, weights: np.ndarray, step: int = 4096) -> np.ndarray:
+    """The sums of a whole bag, in steps, so that very long ones need little memory."""
+    number, total = numbered(grams), np.zeros(BITS, np.int64)
+    for lo in range(0, len(grams), step):
+        total += normals(grams[lo : lo + step], number[lo : lo + step], weights[lo : lo + step]).sum(0, dtype=np.int64)
+    return total
+
+
+def simhash(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Fingerprint (16 numbers of 16 bits) of a bag of weighted shingles."""
+    return np.packbits(bag_sums(grams, weights) > 0).view("<u2")
+
 
+def window_simhashes(grams: np.ndarray, weights: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Fingerprints of the n windows of `width` shingles that start at 0, 1, ..., each from the one before.
 
-def simhashes(features: np.ndarray, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Fingerprints (rows of 16 numbers of 16 bits) of the windows [lo, hi) over weighted feature hashes, from running sums."""
-    bits = np.concatenate([np.unpackbits(mixed(features ^ s).view(np.uint8).reshape(-1, 8), axis=1) for s in _SALTS], axis=1)
-    sums = np.zeros((len(features) + 1, BITS), np.int64)
-    np.cumsum((bits.astype(np.int64) * 2 - 1) * weights[:, None], axis=0, out=sums[1:])
-    return np.packbits(sums[hi] - sums[lo] > 0, axis=1).view("<u2")
+    A window that moves on loses its last occurrence of the shingle that leaves and gains one more of the one that enters.
+    """
+    sums = np.empty((n, BITS), np.int64)
+    sums[0] = bag_sums(grams[:width], weights[:width])
+    if n > 1:
+        names, place = np.unique(grams, return_inverse=True)
+        key = place * np.int64(len(grams) + 1) + np.arange(len(grams))
+        order = np.sort(key)
+        start, end = np.arange(n - 1), np.arange(n - 1) + width
+        base = place * np.int64(len(grams) + 1)
+        leaving = np.searchsorted(order, base[start] + end) - np.searchsorted(order, key[start]) - 1
+        entering = np.searchsorted(order, key[end]) - np.searchsorted(order, base[end] + start + 1)
+        change = normals(grams[end], entering, weights[end]) - normals(grams[start], leaving, weights[start])
+        np.cumsum(change, axis=0, out=sums[1:])
+        sums[1:] += sums[0]
+    return np.packbits(sums > 0, axis=1).view("<u2")
 
 
 def _flips(most: int) -> np.ndarray:
@@ -94,7 +155,7 @@ class _SameLength:
         self.ids.append(item_id)
         self.bags.append(Counter(grams.tolist()))
         self.totals.append(int(weight.sum()))
-        self.rows.append(simhashes(grams, weight, np.array([0]), np.array([len(grams)]))[0])
+        self.rows.append(simhash(grams, weight))
 
     @functools.cached_property
     def least(self) -> int:
@@ -184,17 +245,16 @@ class BenchmarkIndex:
 
     def _compare(self, best: dict, c: int, x: _SameLength, grams: np.ndarray, starts: np.ndarray, percent: int) -> None:
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > x.width) + 1):
-            lo, hi = int(run[0]), min(int(run[-1]) + x.width, len(grams))
-            part = grams[lo:hi]
+            lo, n = int(run[0]), int(run[-1] - run[0]) + 1
+            part = grams[lo : lo + n - 1 + x.width]
             weight = self.weights(part)
-            ends = np.minimum(run + x.width, hi)
-            prints = simhashes(part, weight, run - lo, ends - lo)
+            prints = window_simhashes(part, weight, n, x.width)[run - lo]
             row, item = x.index.candidates(prints)
             distance = _ONES[prints[row] ^ x.prints[item]].sum(1, dtype=np.int64)
             close = distance <= x.radius
             for r, i, d in zip(row[close].tolist(), item[close].tolist(), distance[close].tolist(), strict=True):
-                a, b = int(run[r]) - lo, int(ends[r]) - lo
-                score = weighted_similarity(part[a:b], weight[a:b], x.bags[i], x.totals[i])
+                a = int(run[r]) - lo
+                score = weighted_similarity(part[a : a + x.width], weight[a : a + x.width], x.bags[i], x.totals[i])
                 if 100 * score >= percent - 1e-9 and ((c, i) not in best or score > best[c, i][0]):
                     best[c, i] = score, d, int(run[r]), min(x.n_words, len(grams) + x.size - 1 - int(run[r]))
 
@@ -223,41 +283,86 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return benchmark.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).where("id is not null and text is not null").distinct()
 
 
-def shared_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted shingles that several of the items (id, text) hold and how many hold each, counted in Spark over all of them.
+def shared_shingles(rows: DataFrame, shingle: int) -> DataFrame:
+    """(shingle long, n int): those that several of the items (id, text) hold and how many hold each, counted over all of them.
 
-    A shingle that isn't among them has one holder or none and weighs 1 either way. 12 bytes each come to the driver.
+    A shingle that isn't among them has one holder or none and weighs 1 either way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = _words(batch.column(0))
-            held = [np.zeros(0, np.uint64)]
             for r in range(batch.num_rows):
                 own = words[first[r] : first[r + 1]]
-                held.append(np.unique(shingle_hashes(own, np.array([0, len(own)]), min(shingle, max(len(own), 1)))[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["shingle"])
+                held = np.unique(shingle_hashes(own, np.array([0, len(own)]), min(shingle, max(len(own), 1)))[0])
+                for lo in range(0, len(held), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(held[lo : lo + (1 << 16)].view(np.int64))], names=["shingle"])
+
+    return rows.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+
+
+class Slices(NamedTuple):
+    """A benchmark as files in the shared folder: items by slice, and the shingles that several items hold."""
+
+    items: list[list[str]]
+    holders: list[str]
+    shingle: int
+    radius: int
+
+
+def _read(files: list[str]) -> pa.Table:
+    return pa.concat_tables([pq.read_table(path, filesystem=fs, partitioning=None) for fs, path in map(FileSystem.from_uri, files)])
+
 
-    found = rows.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1").toArrow()
-    keys, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+@functools.lru_cache(maxsize=1)
+def _holders(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    if not files:
+        return NO_HOLDERS
+    found = _read(list(files))
+    keys, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, most: int) -> Iterator[BenchmarkIndex]:
-    """The items in slices of about `most` characters, each weighed by the numbers of items of the whole benchmark.
+@functools.lru_cache(maxsize=1)
+def _loaded(files: tuple[str, ...], holders: tuple[str, ...], shingle: int, radius: int) -> BenchmarkIndex:
+    """The index of a slice; a worker keeps the last one, so with a single slice it is made once."""
+    items = _read(list(files))
+    rows = sorted(zip(items.column("id").to_pylist(), items.column("text").to_pylist(), strict=True))
+    return BenchmarkIndex(rows, _holders(holders), shingle, radius)
 
-    The benchmark is the query set: its texts are brought to the driver slice by slice, never as a whole.
-    """
+
+def benchmark_slices(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, most: int) -> Slices:
+    """Writes the items in slices of about `most` characters, and the shingles' numbers of items; only file names come to the driver."""
     rows = _items(benchmark, id_col, text_col)
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-size // most))
-    holders = shared_shingles(rows, shingle)
-    for k in range(parts):
-        items = [(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id", "text").collect()]
-        index = BenchmarkIndex(items, holders, shingle, radius)
-        if not index.empty:
-            yield index
+    slice_of = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")
+    path = new_path(benchmark.sparkSession, "benchmark")
+    rows.withColumn("slice", slice_of).repartition("slice").write.partitionBy("slice").parquet(path)
+    read = benchmark.sparkSession.read
+    files: dict[str, list[str]] = defaultdict(list)
+    for f in sorted(read.schema("id long, text string, slice int").parquet(path).inputFiles()):
+        files[f.rsplit("/", 2)[1]].append(f)
+    holders = written(shared_shingles(rows, shingle).coalesce(8), "holders")
+    return Slices(list(files.values()), sorted(holders.inputFiles()), shingle, radius)
+
+
+def _hits(slices: Slices, texts: pa.Array, percent: int) -> Iterator[tuple]:
+    """(row, item, similarity, distance, first word, words) of the texts, slice after slice; their words are hashed once."""
+    data, offsets = text_bytes(pc.utf8_lower(texts))
+    groups = []
+    for lo, hi in runs(offsets):
+        own = offsets[lo : hi + 1]
+        words, first = word_hashes(data[own[0] : own[-1]], own - own[0], PUNCTUATION)
+        if len(words):
+            groups.append((lo, words, first))
+    del data
+    for files in slices.items if groups else []:
+        index = _loaded(tuple(files), tuple(slices.holders), slices.shingle, slices.radius)
+        for lo, words, first in groups:
+            for row, *rest in index.hits(words, first, percent):
+                yield lo + row, *rest
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int | None = None, slice_chars: int = 2_000_000) -> DataFrame:
@@ -266,63 +371,43 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     Texts are lower-cased; words are runs of ASCII letters and digits and of characters beyond ASCII; items shorter than `shingle` words are one
     shingle of all their words. An item is found if a window of its length has 100 * similarity >= percent; a text of fewer words is
     one window. radius: bits of 256 in which the fingerprints may differ; it follows from percent where none is given.
-    The benchmark is taken in slices of about slice_chars characters, one pass over the documents for each, so what
-    every task holds of texts is bounded whatever the benchmark's size. Shingle weights count the items of the whole
-    benchmark, so results don't depend on slice_chars; for them a task holds 12 bytes for each shingle of several items.
+    The benchmark is taken in slices of about slice_chars characters: every task reads them one after the other from the
+    shared folder (file systems that pyarrow opens by their address) and holds one at a time. Shingle weights count the items of the
+    whole benchmark, so results don't depend on slice_chars; for them a task holds 12 bytes for each shingle of several items.
     Returns: id, item_id, score double (best window's weighted similarity), distance int (its SimHash distance),
     first_word and n_words long (the window in the document's words). Null and empty texts hold nothing; items with a
     null id, a null text or no words are nowhere. Repeated rows of documents give repeated results; of items with the
     same id each text counts. Other columns are ignored; either table may be empty.
     """
-    spark = docs.sparkSession
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-    parts = [spark.createDataFrame([], HITS)]
-    for index in _slices(benchmark, item_id_col, item_text_col, shingle, radius or radius_of(percent), slice_chars):
-        parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(index), percent), HITS))
-    out = functools.reduce(DataFrame.union, parts)
-    return out.select(F.col("id").alias(id_col), "item_id", "score", "distance", "first_word", "n_words")
+    slices = benchmark_slices(benchmark, item_id_col, item_text_col, shingle, radius or radius_of(percent), slice_chars)
+    out = rows.mapInArrow(_search(slices, percent), HITS)
+    return out.select(column("id").alias(id_col), "item_id", "score", "distance", "first_word", "n_words")
 
 
-def _search(shared, percent: int):
+def _search(slices: Slices, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            data, offsets = text_bytes(pc.utf8_lower(batch.column(1)))
-            ids, held = batch.column(0).to_pylist(), []
-            for lo, hi in runs(offsets):
-                own = offsets[lo : hi + 1]
-                words, first = word_hashes(data[own[0] : own[-1]], own - own[0], PUNCTUATION)
-                if len(words):
-                    held += [(ids[lo + r], *rest) for r, *rest in index.hits(words, first, percent)]
+            held = list(_hits(slices, batch.column(1), percent))
             if held:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=HITS.names)
+                row, *rest = zip(*held, strict=True)
+                kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]], names=HITS.names)
 
     return run
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a benchmark item; all their columns as they were. Rows with a null id are judged by their own text too."""
-    names = docs.columns
-    spark = docs.sparkSession
-    out = docs
     o = {"shingle": 5, "percent": 80, "radius": None, "slice_chars": 2_000_000, "item_id_col": "item_id", "item_text_col": "text"} | options
-    at = names.index(text_col)
-    for index in _slices(benchmark, o["item_id_col"], o["item_text_col"], o["shingle"], o["radius"] or radius_of(o["percent"]), o["slice_chars"]):
-        shared, percent = spark.sparkContext.broadcast(index), o["percent"]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, percent=percent) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                data, offsets = text_bytes(pc.utf8_lower(batch.column(at)))
-                keep = np.ones(batch.num_rows, bool)
-                for lo, hi in runs(offsets):
-                    own = offsets[lo : hi + 1]
-                    words, first = word_hashes(data[own[0] : own[-1]], own - own[0], PUNCTUATION)
-                    if len(words):
-                        for r, *_ in index.hits(words, first, percent):
-                            keep[lo + r] = False
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    slices = benchmark_slices(benchmark, o["item_id_col"], o["item_text_col"], o["shingle"], o["radius"] or radius_of(o["percent"]), o["slice_chars"])
+    at, percent = docs.columns.index(text_col), o["percent"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, *_ in _hits(slices, batch.column(at), percent):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

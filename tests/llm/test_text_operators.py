@@ -364,6 +364,57 @@ def test_contamination_of_a_very_long_text():
     assert [(i, s) for _, i, s, *_ in index.hits(w, f, 80)] == [(7, 1.0)]
 
 
+@pytest.mark.parametrize("stem", [10, 40, 60, 74, 100])
+@pytest.mark.parametrize("n", [2, 200, 2000])
+def test_items_with_a_common_stem(stem, n):
+    r = random.Random(stem * n)
+    common = [f"s{k}" for k in range(stem)]
+    for own in (1, 2, 5):
+        items = [(k, " ".join(common + [f"i{k}w{j}" for j in range(own)])) for k in range(n)]
+        docs = [" ".join(common + [f"other{j}" for j in range(own)]), "before " + " ".join(["x", *common[1:], *[f"i1w{j}" for j in range(own)]]) + " after", items[-1][1] + " " + items[0][1], " ".join(w if r.random() > 0.03 else "y" for w in items[n // 2][1].split())]
+        if n == 2000:  # too many for all windows: one window, all items
+            index, w, f, _ = _index_and_brute_force(items, [], 80)
+            w, f = decontaminate._words(docs[:1])
+            g, _ = shingle_hashes(w, np.array([0, len(w)]), 5)
+            weight, x = index.weights(g), next(iter(index.sizes.values()))[2][0]
+            scores = [decontaminate.weighted_similarity(g, weight, b, t) for b, t in zip(x.bags, x.totals, strict=True)]
+            want = {(0, k) for k, s in enumerate(scores) if s >= 0.8}
+        else:
+            index, w, f, want = _index_and_brute_force(items, docs, 80)
+        got = {(d, i) for d, i, *_ in index.hits(w, f, 80)}
+        assert got == set(want), (own, len(got), len(want))
+
+
+def test_windows_with_repeated_shingles():
+    r = np.random.default_rng(8)
+    for n, width, letters in ((1, 30, 3), (40, 12, 2), (300, 25, 4), (25, 1, 2)):
+        grams = r.integers(0, letters, n + width - 1).astype(np.uint64)
+        weights = (decontaminate.UNIT / (1 + grams.astype(float))).astype(np.int64)
+        got = decontaminate.window_simhashes(grams, weights, n, width)
+        assert (got == [decontaminate.simhash(grams[k : k + width], weights[k : k + width]) for k in range(n)]).all()
+    # a heavy repeat that one bag lacks doesn't part bags that are similar
+    repeated, single = np.full(18, 7, np.uint64), np.arange(100, 182).astype(np.uint64)
+    one = np.ones(200, np.int64) * decontaminate.UNIT
+    both = np.concatenate([repeated, single])
+    apart = np.unpackbits((decontaminate.simhash(both, one[:100]) ^ decontaminate.simhash(single, one[:82])).view(np.uint8)).sum()
+    assert apart <= decontaminate.radius_of(80)
+
+
+def test_many_slices_are_one_pass(spark):
+    r = random.Random(12)
+    some = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    items = [(k, some(30)) for k in range(60)] + [(99, some(100_000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, [some(20) + " " + items[k][1] + " " + some(9) for k in range(0, 60, 7)] + [some(200), items[-1][1]])
+    out = decontaminate.contaminated_passages(docs, bench, slice_chars=20_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "BroadcastExchange" not in plan
+    assert {(x.doc_id, x.item_id) for x in out.collect()} == {(k // 7, k) for k in range(0, 60, 7)} | {(10, 99)}
+    many = decontaminate.contaminated_passages(docs, bench, slice_chars=12_000).collect()
+    assert sorted(map(tuple, many)) == sorted(map(tuple, out.collect()))
+    assert decontaminate.without_contaminated(docs, bench, slice_chars=20_000)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_quality(spark):
     good = ["This is a normal line of text, with words and an end.\nAnother line follows here, as one would expect it to."] * 1
     docs, labels = [], []
