@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from subweave.functions.text import LANGUAGES, is_suspicious, language_name, trimmed
 from subweave.params import Params
+from subweave.sources.shared import exists, written
 
 
 def bilingual_join(original: DataFrame, translated: DataFrame) -> DataFrame:
@@ -140,6 +141,10 @@ def restore_prompts(batches: DataFrame) -> DataFrame:
     return batches.withColumn("prompt", F.concat(F.lit("Repair punctuation, case and broken sentences of these subtitle lines in their own language. Keep each number; add and leave out nothing.\n\n"), _context("Context"), ask))
 
 
+def _ids() -> Column:
+    return F.transform("current", lambda x: x["index"]).alias("ids")
+
+
 def restore_limits(params: Params) -> tuple[int, int, int, int]:
     """Items, lines before, lines after and characters of a batch to restore."""
     return min(params.batch_items, 12), min(params.before, 2), min(params.after, 2), max(600, int(params.max_tokens * 1.5))
@@ -149,10 +154,12 @@ ANSWER_FIELDS = {"translation": ["translation", "translated_text", "text", "init
 
 
 def parse_answers(answers: DataFrame, kind: str = "translation") -> DataFrame:
-    """answers (track_id, batch_no, content, expected) -> track_id, batch_no, cue_index, text, error.
+    """answers (track_id, batch_no, content, expected; with ids or start and end) -> track_id, batch_no, cue_index, text, error.
 
-    The array between the first [ and the last ] of the content, without code fences. A batch with any fault (no array,
-    wrong number of items, an item without a whole id or without text) gives one row with its error and no lines.
+    The array between the first [ and the last ] of the content, without code fences. A batch with any fault gives one row with
+    its error and no lines: no array, wrong number of items (count), an item without a whole id (id) or without text (text), two
+    items of one id (repeated id), an id that isn't of the batch (unexpected id). As the number of items is right, a missing id
+    comes with one of the last two. ids: array of the batch's line numbers; else start and end, if given, say which are its.
     """
     fields = ANSWER_FIELDS[kind]
     bare = F.regexp_replace(F.regexp_replace(trimmed(F.coalesce("content", F.lit(""))), r"(?i)\A```(?:json)?\s*", ""), r"```\z", "")
@@ -163,14 +170,20 @@ def parse_answers(answers: DataFrame, kind: str = "translation") -> DataFrame:
     a = a.withColumn("items", read)
     whole = F.forall("items", lambda x: x["id"].isNotNull() & (x["id"] == F.floor(x["id"])))
     error = F.when(F.col("items").isNull(), "no array").when(F.size("items") != F.col("expected"), "count").when(~F.coalesce(whole, F.lit(False)), "id").when(~F.coalesce(F.forall("items", lambda x: F.coalesce(x["text"] != "", F.lit(False))), F.lit(False)), "text")
+    said = F.transform("items", lambda x: x["id"].cast("int"))
+    error = error.when(F.size(F.array_distinct(said)) < F.size(said), "repeated id")
+    if "ids" in answers.columns:
+        error = error.when(F.size(F.array_except(said, "ids")) > 0, "unexpected id")
+    elif {"start", "end"} <= set(answers.columns):
+        error = error.when(F.exists(said, lambda k: (k < F.col("start")) | (k >= F.col("end"))), "unexpected id")
     a = a.withColumn("error", error)
     out = a.select("track_id", "batch_no", F.explode_outer(F.when(F.col("error").isNull(), F.col("items"))).alias("x"), "error").where("x is not null or error is not null")
     return out.select("track_id", "batch_no", F.col("x.id").cast("int").alias("cue_index"), F.col("x.text").alias("text"), "error")
 
 
 def apply_answers(cues: DataFrame, answers: DataFrame) -> DataFrame:
-    """cues + translated_text: the answer, else the source text."""
-    a = answers.where("cue_index is not null").select("track_id", "cue_index", F.col("text").alias("answer")).dropDuplicates(["track_id", "cue_index"])
+    """cues + translated_text: the answer (of several the least), else the source text."""
+    a = answers.where("cue_index is not null").groupBy("track_id", "cue_index").agg(F.min("text").alias("answer"))  # of several answers always the same one
     return cues.join(a, ["track_id", "cue_index"], "left").withColumn("translated_text", F.coalesce("answer", "text")).drop("answer")
 
 
@@ -206,36 +219,90 @@ def fallback_plan(batches: DataFrame, parsed: DataFrame, attempt: int, retries:
 Model = Callable[[list[str]], list[str]]
 
 
-def _asked(rows: DataFrame, fn: Model, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows with a prompt + content: the model's answers, kept so that no call is repeated. A call that fails leaves its content null."""
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def answers_of(fn: Model, prompts: list[str]) -> list[str | None]:
+    """The model's answers; where it raises or answers too few or too many, each half is asked by itself, so that one prompt costs no other's answer."""
+    try:
+        out = list(fn(prompts))
+        if len(out) == len(prompts):
+            return out
+    except Exception:  # noqa: BLE001  the caller's model may fail in any way
+        pass
+    if len(prompts) < 2:
+        return [None] * len(prompts)
+    half = len(prompts) // 2
+    return answers_of(fn, prompts[:half]) + answers_of(fn, prompts[half:])
+
+
+class Ledger:
+    """Answers that were paid for, by the hash of model, attempt and prompt, as a table in a folder that outlives the job.
+
+    Each task's answers are committed as the task ends, so a job that is killed and run again asks only for what it hadn't got.
+    """
+
+    SCHEMA = "key string, content string"
+
+    def __init__(self, path: str, model: str) -> None:
+        self.path, self.model = path, model
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        attempt = F.col("attempt") if "attempt" in rows.columns else F.lit(0)
+        return rows.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(self.model), attempt.cast("string"), F.col("prompt")), 256))
+
+    def read(self, rows: DataFrame) -> DataFrame:
+        """(key, content): one answer for each key."""
+        spark = rows.sparkSession
+        held = spark.read.schema(self.SCHEMA).parquet(self.path) if exists(spark, self.path) else spark.createDataFrame([], self.SCHEMA)
+        return held.groupBy("key").agg(F.min("content").alias("content"))
+
+    def answered(self, rows: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """rows + content; each prompt that has no answer yet is asked once, whatever number of rows have it. Failed calls aren't kept."""
+        keyed = self.keyed(rows)
+        ask(keyed.dropDuplicates(["key"]).join(self.read(rows).select("key"), "key", "left_anti")).where("content is not null").select("key", "content").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.path)
+        return keyed.join(self.read(rows), "key", "left").drop("key")
+
+
+def _asked(rows: DataFrame, models: dict[str, Model], keep: Keep, ledger: Ledger | None = None, per_task: int = 64) -> DataFrame:
+    """rows with a prompt (and a model's name in `by`, if there are several models) + content: the answers, kept so that no call is repeated.
+
+    A call that fails leaves its content null. per_task: prompts in a task, so that the number of tasks grows with them.
+    """
+    rows = keep(rows)  # counted and asked, and the prompts of a round are read again by its plan
+    tasks = max(1, -(-rows.count() // per_task))
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            try:
-                content = list(fn(part["prompt"].tolist()))
-            except Exception:  # noqa: BLE001  the caller's model may fail in any way
-                content = [None] * len(part)
-            yield part.assign(content=pd.Series(content, index=part.index, dtype=object))
+            content = pd.Series([None] * len(part), index=part.index, dtype=object)
+            for name, fn in models.items():
+                chosen = part["by"] == name if "by" in part else pd.Series(True, index=part.index)
+                if chosen.any():
+                    content[chosen] = pd.Series(answers_of(fn, part["prompt"][chosen].tolist()), index=part.index[chosen], dtype=object)
+            yield part.assign(content=content)
+
+    def spread(d: DataFrame) -> DataFrame:
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+        return d.repartition(tasks, F.xxhash64("prompt")).mapInPandas(ask, kind + ", content string")
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return keep(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(ask, kind + ", content string"))
+    return keep(spread(rows)) if ledger is None else keep(ledger.answered(rows, spread))
 
 
-def restore_cues(cues: DataFrame, fn: Model, params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def restore_cues(cues: DataFrame, fn: Model, params: Params | None = None, checkpoint: Keep | None = None, ledger: Ledger | None = None) -> DataFrame:
     """cues with texts as the model repairs them; a batch whose answer has a fault keeps its texts."""
-    p, keep = params or Params(), checkpoint or DataFrame.checkpoint
+    p, keep = params or Params(), checkpoint or written
     items, before, after, chars = restore_limits(p)
     asked = restore_prompts(context_lines(cues, plan_batches(cues, items, chars), before, after))
-    got = _asked(asked.select("track_id", "batch_no", "prompt", F.size("current").alias("expected")), fn, keep)
+    got = _asked(asked.select("track_id", "batch_no", "prompt", F.size("current").alias("expected"), _ids()), {"": fn}, keep, ledger)
     return apply_answers(cues, parse_answers(got, "restore")).withColumn("text", F.col("translated_text")).drop("translated_text")
 
 
-def guidance(cues: DataFrame, target: str, kinds: list[str], fn: Model, params: Params | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def guidance(cues: DataFrame, target: str, kinds: list[str], fn: Model, params: Params | None = None, checkpoint: Keep | None = None, ledger: Ledger | None = None) -> DataFrame:
     """(track_id, one column for each kind): a prompt for each chunk of a track's transcript, then one that combines the answers.
 
     kinds: of summary and glossary. A track of which any call of a kind fails or answers nothing has no such guidance: null.
     """
-    p, keep = params or Params(), checkpoint or DataFrame.checkpoint
+    p, keep = params or Params(), checkpoint or written
     line = F.struct("cue_index", trimmed(F.col("text")).alias("t"))
     texts = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"])
     tracks = cues.groupBy("track_id").agg(F.array_join(F.filter(texts, lambda t: t != ""), "\n").alias("text"))
@@ -243,9 +310,9 @@ def guidance(cues: DataFrame, target: str, kinds: list[str], fn: Model, params:
     chunks = chunk_transcripts(tracks, p.chunk_chars)
     answer = F.nullif(trimmed(F.col("content")), F.lit(""))
     for kind in kinds:
-        parts = _asked(guidance_prompts(chunks, kind, "map", language_name_of(target)).select("track_id", "chunk_no", "prompt"), fn, keep).select("track_id", "chunk_no", answer.alias("text"))
+        parts = _asked(guidance_prompts(chunks, kind, "map", language_name_of(target)).select("track_id", "chunk_no", "prompt"), {"": fn}, keep, ledger).select("track_id", "chunk_no", answer.alias("text"))
         whole = parts.groupBy("track_id").agg(F.bool_and(F.col("text").isNotNull()).alias("whole")).where("whole").select("track_id")
-        combined = _asked(guidance_prompts(parts.join(whole, "track_id", "left_semi"), kind, "reduce", language_name_of(target)), fn, keep)
+        combined = _asked(guidance_prompts(parts.join(whole, "track_id", "left_semi"), kind, "reduce", language_name_of(target)), {"": fn}, keep, ledger)
         out = out.join(combined.select("track_id", answer.alias(kind)), "track_id", "left")
     return keep(out)
 
@@ -259,38 +326,31 @@ def translate_to_bilingual(
     target: str,
     fn: Model,
     params: Params | None = None,
-    checkpoint: Callable[[DataFrame], DataFrame] | None = None,
+    checkpoint: Keep | None = None,
     line_fn: Model | None = None,
     restore_fn: Model | None = None,
     guidance_fn: Model | None = None,
     guidance_kinds: tuple[str, ...] = ("summary", "glossary"),
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """cues + source_text and translated_text, by rounds of batches, answers and what is left.
 
-    fn: a list of prompts -> a list of answers, called on the executors. checkpoint: keeps a round's answers (default: DataFrame.checkpoint),
-    so that no model call is repeated. line_fn: the same for prompts of line_prompts, whose answers are the bare translation; without it
+    fn: a list of prompts -> a list of answers, called on the executors; a prompt for which it raises, or answers with numbers other than
+    the batch's, is a failed batch. checkpoint: keeps a round's answers (default: a table in the shared folder), so that no model call
+    is repeated within the job; ledger: also keeps them for the next run of a job that was killed. line_fn: the same for prompts of line_prompts, whose answers are the bare translation; without it
     single lines are asked of fn, as batches of one. A single line that fails is asked again while retries are left, and one that
     still fails or is suspicious once more with the strict prompt; then the source text stands. Rounds end when nothing is left.
     restore_fn: first has the source lines repaired (see restore_cues); what comes out is paired with the lines as they were.
     guidance_fn: first has a summary and a glossary of each track made (see guidance), which go into the batches' prompts.
     """
     p = params or Params()
-    keep = checkpoint or DataFrame.checkpoint
+    keep = checkpoint or written
     original = cues
     if restore_fn is not None:
-        cues = restore_cues(cues, restore_fn, p, keep)
-    advice = None if guidance_fn is None else guidance(cues, target, list(guidance_kinds), guidance_fn, p, keep)
+        cues = restore_cues(cues, restore_fn, p, keep, ledger)
+    advice = None if guidance_fn is None else guidance(cues, target, list(guidance_kinds), guidance_fn, p, keep, ledger)
     alone = F.col("how").isin("line", "strict")
 
-    def ask(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            content = pd.Series([None] * len(part), index=part.index, dtype=object)
-            single = part["how"].isin(["line", "strict"]) & (line_fn is not None)
-            for chosen, model in ((~single, fn), (single, line_fn)):
-                if chosen.any():
-                    content[chosen] = pd.Series(list(model(part["prompt"][chosen].tolist())), index=part.index[chosen], dtype=object)
-            yield part.assign(content=content)
-
     def prompts(batches: DataFrame) -> DataFrame:
         strict = F.col("how") == "strict"
         b = batches.withColumn("text", F.get("current", F.lit(0))["text"])
@@ -306,10 +366,9 @@ def translate_to_bilingual(
     for _ in range((p.retries + 1) * (p.batch_items.bit_length() + 1) + 1):  # each size with its retries, then the strict prompt
         numbered = todo.withColumn("batch_no", F.col("start"))
         lines = context_lines(cues, numbered, p.before, p.after)
-        asked = prompts(lines if advice is None else lines.join(advice, "track_id", "left")).select("track_id", "batch_no", "start", "end", "attempt", "how", "prompt", F.size("current").alias("expected"))
-        kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
-        spread = asked.repartition(cues.sparkSession.sparkContext.defaultParallelism, "track_id", "batch_no")
-        got = keep(spread.mapInPandas(ask, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", content string"))
+        by = F.when(alone & F.lit(line_fn is not None), "line").otherwise("batch").alias("by")
+        asked = prompts(lines if advice is None else lines.join(advice, "track_id", "left")).select("track_id", "batch_no", "start", "end", "attempt", "how", by, "prompt", F.size("current").alias("expected"), _ids())
+        got = _asked(asked, {"batch": fn, "line": line_fn or fn}, keep, ledger)
         if line_fn is None:
             parsed = parse_answers(got)
         else:

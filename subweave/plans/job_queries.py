@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +17,7 @@ from subweave.operators.segments import optimize_bilingual_cues
 from subweave.plans.caption_queries import CUES
 from subweave.plans.registry import query
 from subweave.sources import adapters as A
+from subweave.sources.shared import new_path
 from subweave.sources.sinks import write_jobs
 from subweave.streaming import requests as R
 
@@ -292,20 +291,6 @@ def guidance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.guidance_prompts(chunks, "glossary", "reduce", "French")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (path or "file://" + tempfile.mkdtemp(prefix="subweave-")).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    path = _folder(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _lower_model(prompts: list[str]) -> list[str]:
     """A stand-in for a model: lower-cases the lines of a prompt."""
     out = []
@@ -322,7 +307,35 @@ def _lower_line(prompts: list[str]) -> list[str]:
 
 @query(_sql(r"select track_id, cue_index, case when regexp_full_match(trim(text), '[\p{P}\p{S}\s]+') then text else lower(trim(text)) end as translated_text from cues", CUES))
 def translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep, line_fn=_lower_line)
+    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, line_fn=_lower_line)
+    return out.select("track_id", "cue_index", "translated_text")
+
+
+def _faulty_model(prompts: list[str]) -> list[str]:
+    """A model that gets every batch wrong, by its first line's number: ids moved by one, one id for all, one item twice instead of another, or no answer at all."""
+    out = []
+    for answer in map(json.loads, _lower_model(prompts)):
+        kind = answer[0]["id"] % 4
+        if kind == 3:
+            raise RuntimeError("the model is not there")
+        for k, x in enumerate(answer):
+            x["id"] = x["id"] + 1 if kind == 0 else answer[0]["id"] if kind == 1 else answer[min(k, len(answer) - 2)]["id"]
+        out.append(json.dumps(answer))
+    return out
+
+
+def _faulty_line(prompts: list[str]) -> list[str]:
+    """A model for lines that fails for some of them."""
+    out = _lower_line(prompts)
+    if any(len(x) % 11 == 3 for x in out):
+        raise RuntimeError("a line that the model can't take")
+    return out
+
+
+@query(_sql(r"select track_id, cue_index, case when regexp_full_match(trim(text), '[\p{P}\p{S}\s]+') or length(text) % 11 = 3 then text else lower(trim(text)) end as translated_text from cues", CUES))
+def translate_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds with moved, repeated and missing ids and calls that raise: no line gets another's text, and no call costs other lines theirs."""
+    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _faulty_model, line_fn=_faulty_line, ledger=X.Ledger(new_path(spark, "ledger"), "stand-in"))
     return out.select("track_id", "cue_index", "translated_text")
 
 
@@ -342,19 +355,19 @@ def _advice_model(prompts: list[str]) -> list[str]:
 @query(_sql(r"select track_id, cue_index, text as source_text, case when regexp_full_match(trim(text), '[\p{P}\p{S}\s]+') then upper(trim(text)) else lower(replace(trim(text), 'ß', 'ss')) end as translated_text from cues", CUES))
 def translate_with_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds with repaired lines, summaries and glossaries; the source texts stay as they were."""
-    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep, line_fn=_lower_line, restore_fn=_upper_model, guidance_fn=_advice_model)
+    out = X.translate_to_bilingual(A.cues_from_documents(spark, sf_dir), "fr", _lower_model, line_fn=_lower_line, restore_fn=_upper_model, guidance_fn=_advice_model)
     return out.select("track_id", "cue_index", "source_text", "translated_text")
 
 
 @query()
 def caption_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to rendered translations in one chain; see operators/pipeline.py."""
-    return caption_files(A.events_from_documents(spark, sf_dir), "fr", _lower_model, checkpoint=_keep, line_fn=_lower_line)
+    return caption_files(A.events_from_documents(spark, sf_dir), "fr", _lower_model, line_fn=_lower_line)
 
 
 @query(_sql("select id, lang, status, created_at from jobs", JOBS))
 def job_table_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "jobs")
+    path = new_path(spark, "jobs")
     write_jobs(A.jobs_from_orders(spark, sf_dir), path)
     return spark.read.parquet(path).select("id", "lang", "status", "created_at")
 
@@ -378,7 +391,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:  # noqa: ANN001
     """Runs a streaming query over the events until it has read them all, and returns what it wrote."""
-    folder = _folder(spark, "stream")
+    folder = new_path(spark, "stream")
     out = make(_events(spark, sf_dir))
     q = out.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -392,7 +405,7 @@ def streaming_daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = lambda e: e.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, "alpha").otherwise("beta").alias("provider"), F.col("event_type").alias("endpoint"), F.floor(F.col("value") * 10).cast("long").alias("token_count"), (F.col("value") / 1000).alias("cost_usd"))
     ts = F.unix_seconds(F.col("ts").cast("timestamp"))
     span = A.table(spark, sf_dir, "events").agg((F.max(ts) - F.min(ts)).alias("s")).first().s or 0
-    folder = _folder(spark, "stream")
+    folder = new_path(spark, "stream")
     out = R.windowed_counters(calls(_events(spark, sf_dir)), delay=f"{span + 2 * 86_400} seconds")
     schema = out.schema.add("epoch", "long")
 
