@@ -65,21 +65,23 @@ def numbered(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def normals(grams: np.ndarray, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def normals(grams: np.ndarray, number: np.ndarray | int, weights: np.ndarray) -> np.ndarray:
     """For each of the numbered shingles 256 normal values times the square root of its weight, as whole numbers."""
-    features = grams + number.astype(np.uint64) * _AGAIN
-    out = np.empty((len(grams), BITS), np.int32)
-    for k, salt in enumerate(_SALTS):
-        out[:, 8 * k : 8 * k + 8] = _NORMAL[mixed(features ^ salt).view(np.uint8).reshape(-1, 8)]
+    features = grams + np.uint64(number) * _AGAIN if np.isscalar(number) else grams + number.astype(np.uint64) * _AGAIN
+    out = np.take(_NORMAL, mixed(features[:, None] ^ _SALTS).view(np.uint8))
     out *= np.rint(256 * np.sqrt(weights / UNIT)).astype(np.int32)[:, None]
     return out
 
 
-def bag_sums(grams: np.ndarray, weights: np.ndarray, step: int = 4096) -> np.ndarray:
-    """The sums of a whole bag, in steps, so that very long ones need little memory."""
+def bag_sums(grams: np.ndarray, weights: np.ndarray, values: np.ndarray | None = None, step: int = 4096) -> np.ndarray:
+    """The sums of a whole bag, in steps, so that very long ones need little memory. values: the normals of first occurrences, where they are there."""
     number, total = numbered(grams), np.zeros(BITS, np.int64)
-    for lo in range(0, len(grams), step):
-        total += normals(grams[lo : lo + step], number[lo : lo + step], weights[lo : lo + step]).sum(0, dtype=np.int64)
+    again = np.flatnonzero(number) if values is not None else np.arange(len(grams))
+    if values is not None:
+        total += (values if not len(again) else values[number == 0]).sum(0, dtype=np.int64)
+    for lo in range(0, len(again), step):
+        k = again[lo : lo + step]
+        total += normals(grams[k], number[k], weights[k]).sum(0, dtype=np.int64)
     return total
 
 
@@ -88,22 +90,31 @@ def simhash(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.packbits(bag_sums(grams, weights) > 0).view("<u2")
 
 
-def window_simhashes(grams: np.ndarray, weights: np.ndarray, n: int, width: int) -> np.ndarray:
+def window_simhashes(grams: np.ndarray, weights: np.ndarray, n: int, width: int, values: np.ndarray | None = None) -> np.ndarray:
     """Fingerprints of the n windows of `width` shingles that start at 0, 1, ..., each from the one before.
 
     A window that moves on loses its last occurrence of the shingle that leaves and gains one more of the one that enters.
+    values: the normals of all the shingles as first occurrences, where the caller has them.
     """
     sums = np.empty((n, BITS), np.int64)
-    sums[0] = bag_sums(grams[:width], weights[:width])
+    sums[0] = bag_sums(grams[:width], weights[:width], None if values is None else values[:width])
     if n > 1:
         names, place = np.unique(grams, return_inverse=True)
-        key = place * np.int64(len(grams) + 1) + np.arange(len(grams))
-        order = np.sort(key)
         start, end = np.arange(n - 1), np.arange(n - 1) + width
-        base = place * np.int64(len(grams) + 1)
-        leaving = np.searchsorted(order, base[start] + end) - np.searchsorted(order, key[start]) - 1
-        entering = np.searchsorted(order, key[end]) - np.searchsorted(order, base[end] + start + 1)
-        change = normals(grams[end], entering, weights[end]) - normals(grams[start], leaving, weights[start])
+        leaving = entering = np.zeros(n - 1, np.int64)
+        if len(names) < len(grams):
+            base = place * np.int64(len(grams) + 1)
+            key = base + np.arange(len(grams))
+            order = np.sort(key)
+            leaving = np.searchsorted(order, base[start] + end) - np.searchsorted(order, key[start]) - 1
+            entering = np.searchsorted(order, key[end]) - np.searchsorted(order, base[end] + start + 1)
+        change = np.zeros((n - 1, BITS), np.int32)
+        for sign, at, number in ((1, end, entering), (-1, start, leaving)):
+            own = normals(grams[at], 0, weights[at]) if values is None else values[at]
+            if len(again := np.flatnonzero(number)):
+                own = own.copy()
+                own[again] = normals(grams[at[again]], number[again], weights[at[again]])
+            (np.add if sign > 0 else np.subtract)(change, own, out=change)
         np.cumsum(change, axis=0, out=sums[1:])
         sums[1:] += sums[0]
     return np.packbits(sums > 0, axis=1).view("<u2")
@@ -219,7 +230,7 @@ class BenchmarkIndex:
                     score, distance, start, n_words = best
                     yield int(row), lengths[c].ids[item], score, distance, start, n_words
 
-    def _in_row(self, grams: np.ndarray, where: np.ndarray, lengths: list[_SameLength], percent: int, step: int = 8192) -> dict:
+    def _in_row(self, grams: np.ndarray, where: np.ndarray, lengths: list[_SameLength], percent: int, step: int = 2048) -> dict:
         """The best window of one text for each item that it holds. where: places of shingles of the benchmark."""
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         weight, reach = self.weights(grams[where]), max(x.width for x in lengths)
@@ -233,6 +244,8 @@ class BenchmarkIndex:
             sums = np.zeros(hi - lo + 1, np.int64)
             sums[near - lo + 1] = own
             np.cumsum(sums, out=sums)
+            # shingles' normals serve all lengths, unless the stretch is too long to keep them
+            values = normals(grams[lo:hi], 0, self.weights(grams[lo:hi])) if hi - lo <= 1 << 13 else None
             for c in fit:
                 x = lengths[c]
                 # places from the first window that holds a shingle of the benchmark to the last one; a shorter text is a window
@@ -240,15 +253,17 @@ class BenchmarkIndex:
                 inside = sums[np.minimum(starts + x.width, hi) - lo] - sums[starts - lo]
                 starts = starts[100 * inside >= percent * x.least]
                 for k in range(0, len(starts), step):
-                    self._compare(best, c, x, grams, starts[k : k + step], percent)
+                    self._compare(best, c, x, grams, starts[k : k + step], percent, lo, values)
         return best
 
-    def _compare(self, best: dict, c: int, x: _SameLength, grams: np.ndarray, starts: np.ndarray, percent: int) -> None:
+    def _compare(self, best: dict, c: int, x: _SameLength, grams: np.ndarray, starts: np.ndarray, percent: int, since: int, values: np.ndarray | None) -> None:
+        """values: the normals of the shingles from `since` on."""
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > x.width) + 1):
             lo, n = int(run[0]), int(run[-1] - run[0]) + 1
             part = grams[lo : lo + n - 1 + x.width]
             weight = self.weights(part)
-            prints = window_simhashes(part, weight, n, x.width)[run - lo]
+            own = None if values is None else values[lo - since : lo - since + len(part)]
+            prints = window_simhashes(part, weight, n, x.width, own)[run - lo]
             row, item = x.index.candidates(prints)
             distance = _ONES[prints[row] ^ x.prints[item]].sum(1, dtype=np.int64)
             close = distance <= x.radius

@@ -145,10 +145,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # candidates, level by level
     members = nodes.select("id", F.posexplode("labels").alias("tree", "label"))
-    found, dense = [], None
+    found, dense, spent = [], None, [nodes]
     for level in range(levels):
         counts = members.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")).alias("rep")).where("c > 1")
         shared = written(members.join(counts, "label").select("label", "tree", "id", "c", F.col("rep.id").alias("rep")), "regions")
+        spent.append(shared)
         ids = shared.where(F.col("c") <= few).groupBy("label").agg(F.sort_array(F.collect_set("id")).alias("ids"))
         pairs = F.expr("flatten(transform(ids, x -> transform(filter(ids, y -> y > x), y -> struct(x as a, y as b))))")
         found.append(ids.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
@@ -182,11 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = candidates.select("a", "b").join(closest, ["a", "b"], "left_anti")
     left = written(_across(left, joined).join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("xs")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("ys")), "b").where(apart).select("a", "b"), "left")
     # and what dense regions hold of several components, block against block
-    rest = _between_components(dense, joined, nodes.select("id", "n"), node_texts, shingle, percent)
+    rest = _between_components(dense, joined, nodes.select("id", "n"), node_texts, shingle, percent, spent)
     more = [rest] if left.isEmpty() else [_verified(left, node_texts, shingle, percent), rest]
+    spent += [candidates, closest, links, left, *more[:-1]]
     if any(not m.isEmpty() for m in more):
+        spent.append(joined)
         joined = written(components(functools.reduce(DataFrame.union, [links, *more])), "components")
-    dropped(candidates, nodes)
+    dropped(*spent)
 
     component = classes.join(joined, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     row = rows.select("id", "n", "k1", "k2")
@@ -201,18 +204,19 @@ def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _between_components(dense: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int = 512) -> DataFrame:
+def _between_components(dense: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int, percent: int, spent: list[DataFrame], block: int = 512) -> DataFrame:
     """Links (a, b) between the components of dense regions, each named by its smallest id.
 
     Regions that overlap make up a cluster. Its documents are cut into blocks of much the same set size: a component of at
     least `block` documents into its own, all others together. First each block of several components is compared with
     itself and what links is contracted, then every block with the blocks of sizes that can be similar enough, one such
     pair in a task; blocks of one and the same component are passed over. A task yields a spanning forest of its
-    components, so at most as many links as it has components.
+    components, so at most as many links as it has components. What is written on the way goes to spent.
     """
     placed = dense.join(joined, "id", "left").select("label", "id", F.coalesce("component", "id").alias("component"))
     mixed_regions = placed.groupBy("label").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("label", "lo")
     placed = written(placed.join(mixed_regions, "label").select("id", "component", "lo").distinct(), "mixed")
+    spent.append(placed)
     if placed.isEmpty():
         return placed.select(F.col("id").alias("a"), F.col("id").alias("b"))
     # components that share a region, rather than documents, so a large component is one end of few links
@@ -221,16 +225,17 @@ def _between_components(dense: DataFrame, joined: DataFrame, sizes: DataFrame, t
     own = docs.groupBy("component").agg(F.count(F.lit(1)).alias("c")).select("component", F.when(F.col("c") >= block, F.col("component").cast("string")).otherwise("").alias("own"))
     step = 1.1
     width = F.floor(F.log("n") / F.log(F.lit(step))).cast("int")
-    inside = written(docs.join(cluster.join(own, "component"), "component").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("width", width), "inside")
-    full = inside.groupBy("cluster", "width", "own").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / 2_000_000)).cast("int").alias("parts"))
+    sized = written(docs.join(cluster.join(own, "component"), "component").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("width", width), "inside")
+    full = sized.groupBy("cluster", "width", "own").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / 2_000_000)).cast("int").alias("parts"))
     placing = ["cluster", "width", "own", "part"]
-    inside = written(inside.join(full, ["cluster", "width", "own"]).select("id", "component", *placing[:3], F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")), "blocks")
+    inside = written(sized.join(full, ["cluster", "width", "own"]).select("id", "component", *placing[:3], F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")), "blocks")
     sets = written(texts.join(inside.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, members binary"), "sets")
 
     alone = inside.where("own = ''").join(sets, "id")
     alone = alone.select(*placing, F.lit(-1).alias("side"), "component", "members")
     first = written(alone.groupBy(*placing).applyInArrow(_block_links(percent), "a long, b long"), "links")
     merged = components(first).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    spent += [sized, inside, sets, first]
     inside = written(inside.join(merged, "component", "left").select("id", F.coalesce("now", "component").alias("component"), *placing), "blocks")
 
     blocks = inside.groupBy(*placing).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -244,6 +249,7 @@ def _between_components(dense: DataFrame, joined: DataFrame, sizes: DataFrame, t
     ends = inside.join(sets, "id").select(*placing, "component", "members")
     side = lambda x, k: pairs.join(ends.withColumnsRenamed({c: f"{x}_{c}" for c in placing[1:]}), ["cluster", *[f"{x}_{c}" for c in placing[1:]]]).select(*pairs.columns, F.lit(k).alias("side"), "component", "members")
     second = written(side("a", 0).union(side("b", 1)).groupBy(*pairs.columns).applyInArrow(_block_links(percent), "a long, b long"), "links")
+    spent += [inside, pairs, second]
     return first.union(second)
 
 

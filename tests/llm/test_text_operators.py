@@ -525,3 +525,16 @@ def test_backpropagation_through_time():
         w[at] += 1e-4
         assert abs(grads[n][at] - (up - down) / 2e-4) < 1e-5
 
+
+
+def test_tables_of_near_duplicates_are_dropped(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[: 40 + k % 3], *[f"x{k}y{j}" for j in range(k % 11)]]) for k in range(120)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert out.count() == 120
+    left = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    assert left <= {"fingerprints", "classes", "components", "links"}, left  # what the result is read from, and the last links of components
