@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from subweave.operators.segments import optimize_bilingual_cues
 from subweave.plans.caption_queries import CUES
 from subweave.plans.registry import query
 from subweave.sources import adapters as A
-from subweave.sources.shared import new_path
-from subweave.sources.sinks import write_jobs
+from subweave.sources.job_table import JobTable
+from subweave.sources.shared import new_path, written
+from subweave.sources.sinks import segments, write_jobs
 from subweave.streaming import requests as R
 
 NOW = 870_000_000_000  # a fixed "now" among the dates of orders
@@ -372,9 +374,12 @@ def job_table_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "lang", "status", "created_at")
 
 
-@query(_sql("select track_id, cast(min(start_ms) as bigint) as session_start, cast(max(end_ms) as bigint) + 1200 as session_end, count(*) as n from g group by track_id, k", CUES, """
+QUERY_OF_SESSIONS = _sql("select track_id, cast(min(start_ms) as bigint) as session_start, cast(max(end_ms) as bigint) + 1200 as session_end, count(*) as n from g group by track_id, k", CUES, """
 s as (select track_id, cue_index, start_ms, end_ms, max(end_ms) over (partition by track_id order by start_ms, cue_index rows between unbounded preceding and 1 preceding) as far from cues),
-g as (select *, sum(case when start_ms - far > 1200 then 1 else 0 end) over (partition by track_id order by start_ms, cue_index rows unbounded preceding) as k from s)"""))
+g as (select *, sum(case when start_ms - far > 1200 then 1 else 0 end) over (partition by track_id order by start_ms, cue_index rows unbounded preceding) as k from s)""")
+
+
+@query(QUERY_OF_SESSIONS)
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.cues_from_documents(spark, sf_dir).select("track_id", F.timestamp_millis(F.col("start_ms").cast("long")).alias("ts"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
     return R.gap_sessions(c).select("track_id", F.unix_millis("session_start").alias("session_start"), F.unix_millis("session_end").alias("session_end"), "n")
@@ -436,3 +441,148 @@ def streaming_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
         return R.dedupe_in_flight(r, "3650 days").select(*J.NATURAL_KEY)
 
     return _streamed(spark, sf_dir, once)
+
+
+def _table_of_orders(spark: SparkSession, sf_dir: str) -> JobTable:
+    """The newest job of each natural key of the orders, in cells."""
+    table = JobTable(spark, new_path(spark, "jobs"), buckets=8, days=360)
+    table.upsert(written(J.latest_job(A.jobs_from_orders(spark, sf_dir), J.NATURAL_KEY)), NOW)
+    return table
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fifth customer a result for the newest job of each key, under another id, and a job of a key that isn't there."""
+    held = J.latest_job(A.jobs_from_orders(spark, sf_dir), J.NATURAL_KEY).where(F.substring("video_id", 2, 10).cast("long") % 5 == 0)
+    other = held.withColumns({"source_hash": F.lit("new"), "id": F.concat(F.lit("n"), "id")})
+    other = other.groupBy(*J.NATURAL_KEY).agg(F.min(F.struct(*[F.col(c) for c in other.columns])).alias("x")).select("x.*")
+    changed = held.withColumns({"id": F.concat(F.lit("c"), "id"), "status": F.lit("done"), "bilingual_json": F.lit("made")})
+    return written(changed.unionByName(other.select(changed.columns)))
+
+
+_TABLE = f"""
+f as (select * from newest where cast(substr(video_id, 2) as bigint) % 5 = 0),
+o0 as (select id, video_id, lang, tlang, track, fmt, status, retry_count, bilingual_json, created_at, expires_at, row_number() over (partition by {KEY} order by 'n' || id) as k from f),
+held as (select id, status, bilingual_json, updated_at, retry_count, expires_at from newest where not cast(substr(video_id, 2) as bigint) % 5 = 0
+  union all select id, 'done', 'made', {NOW}, retry_count, expires_at from f
+  union all select 'n' || id, status, bilingual_json, created_at, retry_count, expires_at from o0 where k = 1)"""
+
+
+@query(_sql("select * from held", JOBS, _TABLE))
+def job_table_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert that rewrites only the cells it hits, read by the newest manifest."""
+    table = _table_of_orders(spark, sf_dir)
+    table.upsert(_changes(spark, sf_dir), NOW)
+    return table.jobs().select("id", "status", "bilingual_json", "updated_at", "retry_count", "expires_at")
+
+
+@query(_sql(f"""select id, case when failed then 'failed' else status end as status, case when failed then 'E1' end as error_code, case when failed then {NOW} else updated_at end as updated_at,
+  case when failed then retry_count + 1 else retry_count end as retry_count, case when failed then cast({NOW} + 5000 * power(2, retry_count) as bigint) else next_retry_at end as next_retry_at from (select *, cast(substr(video_id, 2) as bigint) % 3 = 0 as failed from newest)""", JOBS))
+def job_table_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures written to the table and their retries planned, by the cells that hold them."""
+    table = _table_of_orders(spark, sf_dir)
+    failed = written(table.jobs().where(F.substring("video_id", 2, 10).cast("long") % 3 == 0).select(*J.NATURAL_KEY, F.lit("failed").alias("new_status"), F.lit("E1").alias("error_code"), F.lit("failed").alias("error_message"), F.lit(None).cast("string").alias("result")))
+    table.update_status(failed, NOW)
+    table.schedule_retry(failed, NOW)
+    return table.jobs().select("id", "status", "error_code", "updated_at", "retry_count", "next_retry_at")
+
+
+def _lines_as_segments(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """The order lines as segments of the jobs (id, job_key: the order's number)."""
+    l = A.table(spark, sf_dir, "lineitem").join(ids.withColumnRenamed("id", "job_id"), F.col("l_orderkey") == F.col("job_key"))
+    at = F.col("l_linenumber") * 1000.0
+    return segments(l.select("job_id", F.col("l_linenumber").alias("cue_index"), at.alias("start_ms"), (at + 900).alias("end_ms"), F.col("l_returnflag").alias("source_text"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("translated_text")), NOW)
+
+
+@query(_sql("""select n.id || '-' || l_linenumber as id, n.id as job_id, cast(l_linenumber as integer) as segment_index, cast(l_linenumber * 1000 as bigint) as start_ms, l_returnflag as source_text, case when l_linenumber % 2 = 0 and l_linestatus <> '' then 'done' else 'pending' end as status
+  from newest n join lineitem on l_orderkey = cast(n.id as bigint)""", JOBS))
+def job_table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments committed with their jobs; written twice, the second time under other ids, which changes nothing."""
+    table = JobTable(spark, new_path(spark, "jobs"), buckets=8, days=360)
+    newest = written(J.latest_job(A.jobs_from_orders(spark, sf_dir), J.NATURAL_KEY))
+    for prefix in ("", "again"):
+        jobs = newest.withColumn("id", F.concat(F.lit(prefix), "id"))
+        lines = _lines_as_segments(spark, sf_dir, newest.select(F.concat(F.lit(prefix), "id").alias("id"), F.col("id").cast("long").alias("job_key")))
+        table.upsert(jobs, NOW, segments=lines)
+    return table.segments().select("id", "job_id", "segment_index", "start_ms", "source_text", "status")
+
+
+@query(_sql(f"select 'job' as kind, id from newest where expires_at >= {NOW} union all select 'segment', n.id || '-' || l_linenumber from newest n join lineitem on l_orderkey = cast(n.id as bigint) where expires_at >= {NOW}", JOBS))
+def job_table_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expiry by leaving out the cells of past days, with their segments."""
+    table = JobTable(spark, new_path(spark, "jobs"), buckets=8, days=360)
+    newest = written(J.latest_job(A.jobs_from_orders(spark, sf_dir), J.NATURAL_KEY))
+    table.upsert(newest, NOW, segments=_lines_as_segments(spark, sf_dir, newest.select("id", F.col("id").cast("long").alias("job_key"))))
+    table.expire(NOW)
+    return table.jobs().select(F.lit("job").alias("kind"), "id").union(table.segments().select(F.lit("segment"), "id"))
+
+
+def _arriving(rows: DataFrame, chunk: str, n: int, start: Callable[[DataFrame], object]) -> None:
+    """Streams the rows chunk after chunk, each read by a query that is started anew from its checkpoint."""
+    spark = rows.sparkSession
+    rows, source = written(rows), new_path(spark, "arrivals")
+    for k in range(n):
+        rows.where(F.col(chunk) == k).drop(chunk).write.mode("append").parquet(source)
+        start(spark.readStream.schema(rows.drop(chunk).schema).parquet(source)).awaitTermination()
+
+
+def _each(step: Callable[[DataFrame, int], None], state: str) -> Callable[[DataFrame], object]:
+    return lambda stream: stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+_WEEK = "cast(floor((epoch_ms(cast(ts as timestamp)) - 1704067200000) / 604800000) as integer)"
+
+
+def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the week in which they arrive."""
+    e = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.withColumn("week", F.floor((F.unix_millis("ts") - 1_704_067_200_000) / 604_800_000).cast("int"))
+
+
+@query(_sql(f"""select request_id, case when bilingual_json is not null then 'hit' when b.id is not null or w.week > min(w.week) over (partition by {KEY}, v.source_hash) then 'in-progress' else 'new' end as state
+  from valid v join (select event_id as request_id, {_WEEK} as week from events) w using (request_id) left join d0 d using ({KEY}) left join (select id, {KEY}, source_hash from newest where status in ('pending', 'translating')) b on """ + " and ".join(f"b.{c} = v.{c}" for c in J.NATURAL_KEY), JOBS, REQUESTS, f"""
+d0 as (select {KEY}, bilingual_json from (select *, row_number() over (partition by {KEY} order by created_at desc, id desc) as k from newest where status = 'done') where k = 1)""").replace("partition by video_id, lang, tlang, track, fmt, v.source_hash", "partition by v.video_id, v.lang, v.tlang, v.track, v.fmt, v.source_hash"))
+def streaming_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests against the job table as they arrive week by week: what one week's batch adds is in progress for the next."""
+    table, states = _table_of_orders(spark, sf_dir), new_path(spark, "states")
+    e = _weeks(spark, sf_dir)
+    requests = A.requests_of(e).join(e.select(F.col("event_id").alias("request_id"), "week"), "request_id")
+    _arriving(requests, "week", 5, _each(R.job_arrivals(table, "requests", states, lambda: NOW), new_path(spark, "state")))
+    return spark.read.parquet(f"{states}/batch=*").where("state <> 'invalid'").select("request_id", "state")
+
+
+@query(_sql(f"""select {KEY}, source_hash, epoch_us(ts) as since from (select v.*, cast(e.ts as timestamp) as ts, lag(cast(e.ts as timestamp)) over (partition by {KEY}, source_hash order by e.ts, event_id) as before from valid v join events e on event_id = request_id)
+  where before is null or ts > before + interval 1 day""", REQUESTS))
+def streaming_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task a key while it is in flight, a day from its last request; a key that returns later starts anew."""
+    e = _weeks(spark, sf_dir)
+    r = J.validate_requests(A.requests_of(e)).where("error is null").join(e.select(F.col("event_id").alias("request_id"), "week"), "request_id")
+    folder = new_path(spark, "tasks")
+    _arriving(r.select(*J.NATURAL_KEY, "ts", "week"), "week", 5, _each(R.in_flight_batches(folder, "1 day"), new_path(spark, "state")))
+    return spark.read.parquet(f"{folder}/tasks/batch=*").select(*J.NATURAL_KEY, F.unix_micros("since").alias("since"))
+
+
+@query("""select epoch_us(date_trunc('day', cast(ts as timestamp))) // 1000000 as window_start, case when event_id % 2 = 0 then 'alpha' else 'beta' end as provider, event_type as endpoint, count(*) as calls,
+cast(sum(cast(floor(value * 10) as bigint)) as bigint) as tokens, round(sum(value / 1000), 6) as cost_usd from events group by 1, 2, 3""")
+def streaming_counters_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counters from a stream in which every ninth event comes two weeks late: state is bounded by an hour, late rows are counted apart, none is lost."""
+    e = _weeks(spark, sf_dir).withColumn("week", F.when(F.col("event_id") % 9 == 0, F.least(F.lit(4), F.col("week") + 2)).otherwise(F.col("week")))
+    calls = e.select("ts", F.when(F.col("event_id") % 2 == 0, "alpha").otherwise("beta").alias("provider"), F.col("event_type").alias("endpoint"), F.floor(F.col("value") * 10).cast("long").alias("token_count"), (F.col("value") / 1000).alias("cost_usd"), "week")
+    folder = new_path(spark, "counters")
+    _arriving(calls, "week", 5, _each(R.counter_batches(folder, "1 day", "1 hour"), new_path(spark, "state")))
+    return R.counters_of(spark, folder).select(F.unix_seconds("window_start").alias("window_start"), "provider", "endpoint", "calls", "tokens", F.round("cost_usd", 6).alias("cost_usd"))
+
+
+@query(QUERY_OF_SESSIONS)
+def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of cues that arrive in three parts, up to four seconds out of order, with ten seconds of state."""
+    c = A.cues_from_documents(spark, sf_dir).withColumn("at", F.col("start_ms") + F.pmod(F.xxhash64("track_id", "cue_index"), F.lit(5)) * 1000)
+    c = c.select("track_id", F.timestamp_millis(F.col("start_ms").cast("long")).alias("ts"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.when(F.col("at") < 30_000, 0).when(F.col("at") < 120_000, 1).otherwise(2).alias("part"))
+    # a last row of no track moves the watermark past all others
+    last = c.agg(F.max("ts")).select(F.lit("").alias("track_id"), (F.coalesce(F.max("max(ts)"), F.timestamp_millis(F.lit(0))) + F.expr("interval 1 day")).alias("ts"), F.lit(0.0).alias("duration_ms"), F.lit(3).alias("part"))
+    folder, state = new_path(spark, "sessions"), new_path(spark, "state")
+
+    def start(cues: DataFrame):  # noqa: ANN202
+        return R.gap_sessions(cues, delay="10 seconds").writeStream.format("parquet").option("path", folder).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+
+    _arriving(c.unionByName(last), "part", 4, start)
+    return spark.read.parquet(folder).select("track_id", F.unix_millis("session_start").alias("session_start"), F.unix_millis("session_end").alias("session_end"), "n")
