@@ -231,6 +231,19 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timedtext.parse_any(raw)
 
 
+@query("with " + CUES + f""", v as ({FLOORED.replace("trim(text)", "replace(replace(replace(trim(text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")})
+select *, 'vtt' as format from v where track_id::bigint % 3 = 1
+union all select track_id, cue_index, start_ms, end_ms, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g')), 'json3' from cues where track_id::bigint % 3 = 0
+union all select track_id, cue_index, start_ms, start_ms + greatest(0.0, least(end_ms - start_ms, coalesce(n - 100 - start_ms, end_ms - start_ms))), trim(text), 'srv3' from (select *, lead(start_ms) over (partition by track_id order by cue_index) as n from cues) where track_id::bigint % 3 = 2""")
+def parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of three formats in one table, read in one pass."""
+    cues, of = cues_from_documents(spark, sf_dir), lambda k: F.col("track_id").cast("long") % 3 == k
+    raw = [sinks.render_timedtext_json(cues.where(of(0))).withColumnRenamed("json", "payload"), sinks.render_webvtt(cues.where(of(1))).withColumnRenamed("vtt", "payload"), sinks.render_srv3(cues.where(of(2))).withColumnRenamed("xml", "payload")]
+    out = timedtext.parse_any(raw[0].union(raw[1]).union(raw[2]).withColumn("content_type", F.lit(None).cast("string")))
+    floored = {c: F.when(F.col("format") == "vtt", F.floor(F.col(c) + 0.0001).cast("double")).otherwise(F.col(c)) for c in ("start_ms", "end_ms")}
+    return out.withColumns(floored)
+
+
 PARTS = rf"""
 s0 as (select *, list_filter(list_transform(regexp_extract_all({NORMAL}, '.*?[,.;:!?]\s+|.+\z'), lambda x: trim(x)), lambda x: x <> '') as parts from cues),
 s1 as (select track_id, cue_index, start_ms, end_ms, i as part_index, parts[i + 1] as text, greatest(1, len(regexp_split_to_array(parts[i + 1], '\s+'))) as weight from s0, unnest(range(len(parts))) as u(i)),

@@ -165,6 +165,14 @@ def select_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("track_id", "cue_index", F.lit("primary").alias("side"), T.select_output(F.col("source_text"), F.col("translated_text"))["primary"].alias("shown"))
 
 
+@query(_sql("""select track_id, cue_index, 'bilingual' as mode, trim(coalesce(source_text, '')) as shown, trim(coalesce(translated_text, '')) as below from pairs
+union all select track_id, cue_index, 'original-only', trim(coalesce(source_text, '')), '' from pairs""", TURNS))
+def select_output_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = X.bilingual_join(*A.bilingual_from_conversations(spark, sf_dir))
+    of = lambda mode: b.select("track_id", "cue_index", F.lit(mode).alias("mode"), T.select_output(F.col("source_text"), F.col("translated_text"), mode).alias("x"))
+    return of("bilingual").unionByName(of("original-only")).select("track_id", "cue_index", "mode", F.col("x.primary").alias("shown"), F.col("x.secondary").alias("below"))
+
+
 @query(_sql(r"""select track_id, cue_index, nt = 0 or (regexp_matches(translated_text, '\.{3}|…|⋯') and not regexp_matches(source_text, '\.{3}|…|⋯')) or (ns >= 12 and nt <= 2) or (ns >= 18 and nt <= 4) or (ns >= 28 and nt <= 6) or (ns >= 40 and nt <= 8)
   or regexp_full_match(trim(translated_text), '[\p{P}\p{S}\s]+') as suspicious from (select *, length(regexp_replace(source_text, '\s', '', 'g')) as ns, length(regexp_replace(translated_text, '\s', '', 'g')) as nt from pairs)""", TURNS))
 def suspicious_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,21 +284,38 @@ def fallback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fallback_plan(a, parsed, 0).select("track_id", "start", "end", "how")
 
 
-@query("with recursive " + CUES + """,
+CHUNKS = "with recursive " + CUES + """,
 x as (select track_id, string_agg(trim(text), chr(10) order by cue_index) as text from cues group by track_id),
 k as (select track_id, 0 as pos, 0 as stop, text from x union all select track_id, stop, case when far < length(text) and nl > stop + 6000 then nl else far end, text from (
   select track_id, text, stop, far, case when contains(sub, chr(10)) then stop + length(sub) - strpos(reverse(sub), chr(10)) else -1 end as nl from (
     select track_id, text, stop, least(stop + 12000, length(text)) as far, substr(text, stop + 1, 12001) as sub from k where stop < length(text)))),
-y as (select track_id, pos, trim(substr(text, pos + 1, stop - pos), ' ' || chr(10)) as text from k where stop > pos)
+y as (select track_id, pos, trim(substr(text, pos + 1, stop - pos), ' ' || chr(10)) as text from k where stop > pos)"""
+
+
+@query(CHUNKS + """
 select track_id, cast(row_number() over (partition by track_id order by pos) - 1 as integer) as chunk_no, text from y where text <> ''""")
 def transcript_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunk_transcripts(transcripts(A.cues_from_documents(spark, sf_dir)), 12_000)
 
 
-@query()
+_GUIDANCE_SQL = CHUNKS + f""",
+z as (select track_id, cast(row_number() over (partition by track_id order by pos) - 1 as integer) as chunk_no, text from y where text <> '')
+select track_id, 'summary' as kind, chunk_no, '{X.GUIDANCE["summary", "map"]}' || chr(10) || chr(10) || text as prompt from z
+union all select track_id, 'glossary', chunk_no, '{X.GUIDANCE["glossary", "map"]} French.' || chr(10) || chr(10) || text from z
+union all select track_id, 'summary', -1, '{X.GUIDANCE["summary", "reduce"]}' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by chunk_no) from z group by track_id
+union all select track_id, 'glossary', -1, '{X.GUIDANCE["glossary", "reduce"]} French.' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by chunk_no) from z group by track_id"""
+
+
+@query(_GUIDANCE_SQL)
 def guidance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary and glossary prompts: one for each chunk, and one for each track (chunk -1) that combines what the chunks gave (here their texts)."""
     chunks = X.chunk_transcripts(transcripts(A.cues_from_documents(spark, sf_dir)), 12_000)
-    return X.guidance_prompts(chunks, "glossary", "reduce", "French")
+    out = None
+    for kind in ("summary", "glossary"):
+        each = X.guidance_prompts(chunks, kind, "map", "French").select("track_id", F.lit(kind).alias("kind"), "chunk_no", "prompt")
+        whole = X.guidance_prompts(chunks, kind, "reduce", "French").select("track_id", F.lit(kind).alias("kind"), F.lit(-1).alias("chunk_no"), "prompt")
+        out = each.unionByName(whole) if out is None else out.unionByName(each).unionByName(whole)
+    return out
 
 
 def _lower_model(prompts: list[str]) -> list[str]:

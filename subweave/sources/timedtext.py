@@ -5,7 +5,9 @@ All are built-in expressions over one row per track; nothing shuffles. Cues are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subweave.functions.text import normalize_event, trimmed
@@ -112,11 +114,57 @@ def payload_format(payload: Column, content_type: Column) -> Column:
     return F.when(text.rlike(r"\A[{\[]") | F.coalesce(content_type.contains("json"), F.lit(False)), "json3").when(text.startswith("WEBVTT"), "vtt").otherwise("srv3")
 
 
+def _pieces(payload: Column, form: Column) -> Column:
+    """array<struct<a, b, start, duration>>: a document's events (a: text), blocks (a) or paragraph elements (a: attributes, b: body); only its own format is looked at."""
+    none = lambda t: F.lit(None).cast(t)
+    piece = lambda a, b=None, start=None, duration=None: F.struct(a.alias("a"), (none("string") if b is None else b).alias("b"), (none("double") if start is None else start).alias("start"), (none("double") if duration is None else duration).alias("duration"))
+    events = F.filter(F.from_json(payload, DOCUMENT)["events"], lambda e: e.isNotNull())
+    xml, pattern = F.replace(payload, F.lit("\r\n"), F.lit("\n")), r"(?is)<p\b([^>]*)>(.*?)</p>"
+    zipped = F.arrays_zip(F.regexp_extract_all(xml, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(xml, F.lit(pattern), F.lit(2)).alias("b"))
+    of_json = F.transform(events, lambda e: piece(segment_text(e["segs"]), None, e["tStartMs"], e["dDurationMs"]))
+    return F.when(form == "json3", of_json).when(form == "vtt", F.transform(F.split(payload, "\n\n+"), lambda b: piece(b))).otherwise(F.transform(zipped, lambda z: piece(z["a"], z["b"])))
+
+
 def parse_any(raw: DataFrame) -> DataFrame:
-    """raw (track_id, payload, content_type) of mixed formats -> cues and their format."""
-    tagged = raw.withColumn("format", payload_format(F.col("payload"), F.col("content_type")))
-    of = lambda f: tagged.where(F.col("format") == f)
-    parsed = {"json3": standard_cues(read_timedtext_json(of("json3"))), "vtt": parse_webvtt(of("vtt")), "srv3": parse_srv3(of("srv3"))}
-    columns = ["track_id", "cue_index", "start_ms", "end_ms", "text"]
-    out = [d.select(*columns, F.lit(f).alias("format")) for f, d in parsed.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """raw (track_id, payload, content_type) of mixed formats -> cues and their format, in one pass over the payloads.
+
+    Each payload is cut into its pieces by its own format; the pieces of all formats are then rows of one table, whose
+    columns are read by the row's format. Payloads that are null or hold no cue give no row.
+    """
+    form = F.col("format")
+    p = raw.where("payload is not null").select("track_id", "payload", payload_format(F.col("payload"), F.col("content_type")).alias("format"))
+    p = p.select("track_id", "format", F.posexplode(_pieces(F.col("payload"), form)).alias("at", "p")).select("track_id", "format", "at", "p.*")
+    # columns one after the other, so that nothing is computed again where it is used
+    p = p.withColumn("lines", F.when(form == "vtt", F.split(trimmed(F.col("a")), "\n")))
+    p = p.withColumn("number", F.when(F.get("lines", F.lit(0)).rlike(r"\A\d+\z"), 1).otherwise(0))
+    p = p.withColumn("time", F.get("lines", F.col("number")))
+    p = p.where((form != "vtt") | (~F.get("lines", F.lit(0)).rlike(r"\A(?:WEBVTT|NOTE)") & F.col("time").contains("-->")))
+    p = p.withColumn("ends", F.split("time", "-->"))
+    attribute = lambda n: _number(F.regexp_extract("a", f'(?i){n}="([^"]*)"', 1), r"\A\s*([+-]?\d+)")
+    start = F.when(form == "json3", F.coalesce("start", F.lit(0.0))).when(form == "vtt", _clock(F.get("ends", F.lit(0)))).otherwise(attribute("t"))
+    p = p.withColumn("start_ms", start)
+    end = F.when(form == "json3", F.col("start_ms") + F.coalesce("duration", F.lit(0.0))).when(form == "vtt", _clock(F.get("ends", F.lit(1)))).otherwise(F.col("start_ms") + attribute("d"))
+    bare = F.regexp_replace(F.regexp_replace("b", r"(?i)<br\s*/?>", "\n"), "<[^>]+>", "")
+    text = F.when(form == "json3", normalize_event(F.col("a"))).when(form == "vtt", trimmed(F.array_join(F.slice("lines", F.col("number") + 2, F.size("lines")), "\n"))).otherwise(_entities(trimmed(bare)))
+    p = p.withColumns({"end_ms": end, "text": text}).where((F.col("text") != "") & ((form != "srv3") | (F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())))
+    index = F.row_number().over(Window.partitionBy("track_id").orderBy("at")) - 1
+    return p.select("track_id", index.alias("cue_index"), "start_ms", "end_ms", "text", "format")
+
+
+FORMAT_FILES = {"json3": "json,json3", "vtt": "vtt", "srv3": "srv3,xml,ttml"}
+
+
+def read_captions(spark: SparkSession, folder: str, formats: tuple[str, ...] = ("json3", "vtt", "srv3"), tracks: list[str] | None = None) -> DataFrame:
+    """(track_id, payload, content_type) of the caption files below a folder, for parse_any; a file's track is its name without the ending.
+
+    Formats, and tracks if a list of them is given (it becomes part of a file pattern, so thousands at most), choose files before any is opened.
+    Files that aren't UTF-8 have their faulty bytes replaced.
+    """
+    endings = ",".join(FORMAT_FILES[f] for f in formats)
+    escaped = [re.sub(r"([\\*?\[\]{},])", r"\\\1", t) for t in tracks or []]
+    names = "*" if tracks is None else "{" + ",".join(escaped) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{names}.{{{endings}}}").load(folder)
+    name = F.url_decode(F.regexp_replace(F.regexp_extract("path", r"([^/]+)\z", 1), r"\+", "%2B"))
+    ending = F.regexp_extract(name, r"\.([^.]+)\z", 1)
+    kind = F.when(ending.isin("json", "json3"), "application/json").when(ending == "vtt", "text/vtt").otherwise("text/xml")
+    return files.select(F.regexp_extract(name, r"\A(.*)\.[^.]+\z", 1).alias("track_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("payload"), kind.alias("content_type"))
