@@ -15,6 +15,57 @@ def track():  # noqa: ANN201
     return Window.partitionBy("track_id").orderBy("cue_index")
 
 
+def _in_ranges(cues: DataFrame, ranges: int, *edges: Column) -> DataFrame:
+    """cues + part (ranges of so many cue numbers) and edges of each part, computed in a window over its track's parts.
+
+    edges: columns over first and last (the part's first and last row), n (its rows) and total (of the column `step`, if there is one).
+    """
+    p = cues.withColumn("part", F.floor(F.col("cue_index") / ranges))
+    row = F.struct("start_ms", "end_ms")
+    total = F.sum("step") if "step" in cues.columns else F.count(F.lit(1))
+    small = p.groupBy("track_id", "part").agg(F.min_by(row, "cue_index").alias("first"), F.max_by(row, "cue_index").alias("last"), total.alias("total"))
+    return p.join(small.select("track_id", "part", *edges), ["track_id", "part"])
+
+
+def _parts():  # noqa: ANN202
+    return Window.partitionBy("track_id").orderBy("part")
+
+
+def _part():  # noqa: ANN202
+    return Window.partitionBy("track_id", "part").orderBy("cue_index")
+
+
+def _next_start(cues: DataFrame, ranges: int | None) -> DataFrame:
+    """cues + next_ms, the start of the next cue.
+
+    ranges: for tracks too long for one task: cuts them by ranges of so many cue numbers, whose edges pass over a small table; all of
+    a track's ranges are worked on at once, and rows are the same. So for the functions below. Track ids are not null then.
+    """
+    if ranges is None:
+        return cues.withColumn("next_ms", F.lead("start_ms").over(track()))
+    c = _in_ranges(cues, ranges, F.lead("first").over(_parts()).alias("beyond"))
+    own = F.lead(F.struct("start_ms")).over(_part())
+    return c.withColumn("next_ms", F.when(own.isNull(), F.col("beyond.start_ms")).otherwise(own["start_ms"])).drop("part", "beyond")
+
+
+def _end_before(cues: DataFrame, ranges: int | None) -> DataFrame:
+    """cues + before_ms, the end of the cue before."""
+    if ranges is None:
+        return cues.withColumn("before_ms", F.lag("end_ms").over(track()))
+    c = _in_ranges(cues, ranges, F.lag("last").over(_parts()).alias("beyond"))
+    own = F.lag(F.struct("end_ms")).over(_part())
+    return c.withColumn("before_ms", F.when(own.isNull(), F.col("beyond.end_ms")).otherwise(own["end_ms"])).drop("part", "beyond")
+
+
+def _running(cues: DataFrame, ranges: int | None, name: str) -> DataFrame:
+    """cues with the running sum of step, under a name, in its place."""
+    upto = lambda w: F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if ranges is None:
+        return cues.withColumn(name, upto(track())).drop("step")
+    c = _in_ranges(cues, ranges, F.sum("total").over(_parts().rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return c.withColumn(name, upto(_part()) + F.coalesce("carried", F.lit(0))).drop("step", "part", "carried")
+
+
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("double")
 
@@ -65,15 +116,15 @@ def scrolling_rows(events: DataFrame) -> DataFrame:
     return rows.select("track_id", number.alias("cue_index"), "start_ms", "end_ms", "text")
 
 
-def truncate_overlap(cues: DataFrame) -> DataFrame:
+def truncate_overlap(cues: DataFrame, ranges: int | None = None) -> DataFrame:
     """A cue ends no later than the next begins."""
-    return cues.withColumn("end_ms", F.least("end_ms", F.lead("start_ms").over(track())))
+    return _next_start(cues, ranges).withColumn("end_ms", F.least("end_ms", "next_ms")).drop("next_ms")
 
 
-def optimize_timing(cues: DataFrame) -> DataFrame:
+def optimize_timing(cues: DataFrame, ranges: int | None = None) -> DataFrame:
     """Shown for a second where there is room, clear of the next cue; cues without a duration are dropped."""
     start, end = F.col("start_ms"), F.col("end_ms")
-    c = cues.withColumn("next_ms", F.lead("start_ms").over(track()))
+    c = _next_start(cues, ranges)
     following = F.col("next_ms")
     cut = F.when(end > following - 100, following - 100).otherwise(end)
     longer = F.when(cut - start < 1000, F.when(start + 1000 > following, following - 100).otherwise(start + 1000)).otherwise(cut)
@@ -82,25 +133,27 @@ def optimize_timing(cues: DataFrame) -> DataFrame:
     return c.where("end_ms > start_ms").drop("next_ms")
 
 
-def clamp_overlap(cues: DataFrame, gap_ms: int = 100) -> DataFrame:
+def clamp_overlap(cues: DataFrame, gap_ms: int = 100, ranges: int | None = None) -> DataFrame:
     """cues + duration_ms: up to gap_ms before the next cue, 0 at least."""
     own = F.col("end_ms") - F.col("start_ms")
-    return cues.withColumn("duration_ms", F.greatest(F.lit(0.0), F.least(own, F.lead("start_ms").over(track()) - gap_ms - F.col("start_ms"))))
+    return _next_start(cues, ranges).withColumn("duration_ms", F.greatest(F.lit(0.0), F.least(own, F.col("next_ms") - gap_ms - F.col("start_ms")))).drop("next_ms")
 
 
-def number_cues(cues: DataFrame) -> DataFrame:
-    return cues.withColumn("cue_no", F.row_number().over(track()))
+def number_cues(cues: DataFrame, ranges: int | None = None) -> DataFrame:
+    if ranges is None:
+        return cues.withColumn("cue_no", F.row_number().over(track()))
+    return _running(cues.withColumn("step", F.lit(1)), ranges, "cue_no").withColumn("cue_no", F.col("cue_no").cast("int"))
 
 
-def cue_gaps(cues: DataFrame) -> DataFrame:
-    before = F.lag("end_ms").over(track())
-    return cues.withColumn("gap_ms", F.col("start_ms") - before).withColumn("overlaps", F.coalesce(F.col("start_ms") < before, F.lit(False)))
+def cue_gaps(cues: DataFrame, ranges: int | None = None) -> DataFrame:
+    c, before = _end_before(cues, ranges), F.col("before_ms")
+    return c.withColumn("gap_ms", F.col("start_ms") - before).withColumn("overlaps", F.coalesce(F.col("start_ms") < before, F.lit(False))).drop("before_ms")
 
 
-def gap_runs(cues: DataFrame, gap_ms: float) -> DataFrame:
+def gap_runs(cues: DataFrame, gap_ms: float, ranges: int | None = None) -> DataFrame:
     """cues + run_id: a new run begins where the gap to the cue before exceeds gap_ms."""
-    c = cues.withColumn("fresh", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(track()) > gap_ms, F.lit(False)).cast("int"))
-    return c.withColumn("run_id", F.sum("fresh").over(track().rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    fresh = F.coalesce(F.col("start_ms") - F.col("before_ms") > gap_ms, F.lit(False)).cast("int")
+    return _running(_end_before(cues, ranges).withColumn("step", fresh).drop("before_ms"), ranges, "run_id")
 
 
 def spread_duration(parts: DataFrame, floor_ms: float) -> DataFrame:
@@ -118,10 +171,6 @@ def spread_duration(parts: DataFrame, floor_ms: float) -> DataFrame:
     return p.where("end_ms > start_ms").drop("share", "upto", "stop")
 
 
-def weighted(parts: DataFrame) -> DataFrame:
-    return parts.withColumn("weight", cue_weight(F.col("text")))
-
-
 def sort_cues(cues: DataFrame) -> DataFrame:
     """Numbers a track's cues anew by their starts; equal ones keep their order."""
     order = Window.partitionBy("track_id").orderBy("start_ms", "cue_index")
