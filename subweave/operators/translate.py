@@ -57,6 +57,70 @@ def plan_batches(cues: DataFrame, max_items: int = 12, max_chars: int = 900) ->
     return placed.groupBy("track_id", "batch_no").agg(F.min("cue_index").alias("start"), (F.max("cue_index") + 1).alias("end"))
 
 
+_LINES = pa.list_(pa.struct([("index", pa.int32()), ("text", pa.string())]))
+
+
+def _whole_batches(max_items: int, max_chars: int, before: int, after: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines, track by track and in order, to batches with the lines around them; held are the lines of batches that wait for what follows them."""
+    names = ["track_id", "batch_no", "start", "end", "preceding", "current", "following"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, number, items, chars, kind = object(), 0, 0, 0, None
+        lines: list[dict] = []  # of the track, from what the first waiting batch needs
+        waiting: list[list[int]] = []  # number, first and last index
+        out: list[tuple] = []
+
+        def ready(upto: float) -> None:
+            while waiting and waiting[0][2] + after < upto:
+                b, lo, hi = waiting.pop(0)
+                cut = lambda x, y: [line for line in lines if x <= line["index"] < y]
+                out.append((track, b, lo, hi + 1, cut(lo - before, lo), cut(lo, hi + 1), cut(hi + 1, hi + 1 + after)))
+                least = (waiting[0][1] if waiting else hi + 1) - before
+                lines[:] = [line for line in lines if line["index"] >= least]
+
+        def rows() -> pa.RecordBatch:
+            kinds = (kind, pa.int32(), pa.int32(), pa.int32(), _LINES, _LINES, _LINES)
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out.clear()
+            return made
+
+        for part in parts:
+            kind = part.schema.field("track_id").type
+            for t, index, n, text in zip(*[part.column(k).to_pylist() for k in range(4)], strict=True):
+                if t != track:
+                    ready(float("inf"))
+                    lines.clear()
+                    track, number, items, chars = t, 0, 0, 0
+                elif items >= max_items or items and chars + n > max_chars:
+                    number, items, chars = number + 1, 0, 0
+                if items:
+                    waiting[-1][2] = index
+                else:
+                    waiting.append([number, index, index])
+                items, chars = items + 1, chars + n
+                if len(waiting) > 1:
+                    last = waiting.pop()  # still growing
+                    ready(index)
+                    waiting.append(last)
+                lines.append({"index": index, "text": text})
+            if len(out) >= 1000:
+                yield rows()
+        ready(float("inf"))
+        if out:
+            yield rows()
+
+    return run
+
+
+def batches_with_context(cues: DataFrame, max_items: int = 12, max_chars: int = 900, before: int = 2, after: int = 1) -> DataFrame:
+    """What context_lines gives for the batches of plan_batches, in one pass and one shuffle: the fold that cuts the batches puts their lines together too."""
+    n = F.greatest(F.lit(1), F.length(trimmed(F.col("text"))))
+    lines = cues.select("track_id", F.col("cue_index").cast("int").alias("cue_index"), n.alias("n"), "text")
+    line = "array<struct<index: int, text: string>>"
+    kind = f"track_id {lines.schema['track_id'].dataType.simpleString()}, batch_no int, start int, end int, preceding {line}, current {line}, following {line}"
+    return lines.repartition("track_id").sortWithinPartitions("track_id", "cue_index").mapInArrow(_whole_batches(max_items, max_chars, before, after), kind)
+
+
 def context_lines(cues: DataFrame, batches: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
     """batches + preceding, current and following lines.
 

@@ -215,8 +215,7 @@ def plan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.cues_from_documents(spark, sf_dir)
-    return X.context_lines(c, X.plan_batches(c))
+    return X.batches_with_context(A.cues_from_documents(spark, sf_dir))
 
 
 @query("with recursive " + CUES + "," + BATCHES + """ select b.track_id, b.batch_no, cast(count_if(c.cue_index < start) as integer) as n_before, cast(count_if(c.cue_index >= start and c.cue_index < stop) as integer) as n_current, cast(count_if(c.cue_index >= stop) as integer) as n_after,

@@ -120,3 +120,16 @@ def test_tasks_grow_with_prompts(spark):
     rows = spark.range(1000).select(F.concat(F.lit("p"), "id").alias("prompt"))
     out = X._asked(rows, {"": lambda p: p}, lambda d: d, per_task=64)
     assert out.rdd.getNumPartitions() == 16 and out.where("content = prompt").count() == 1000
+
+
+@pytest.mark.parametrize(("items", "chars", "before", "after"), [(12, 900, 2, 1), (3, 40, 2, 1), (1, 900, 3, 3), (4, 30, 0, 0), (2, 15, 5, 4)])
+def test_batches_with_context_in_one_pass(spark, items, chars, before, after):
+    import random
+
+    r = random.Random(items * chars)
+    rows = [(t, k, 0.0, 1.0, r.choice(["", "a", "some words", "a longer line of words"])) for t in ("a", "b", "c") for k in range(r.randrange(1, 30))]
+    cues = spark.createDataFrame(rows, CUES).repartition(3)
+    want = X.context_lines(cues, X.plan_batches(cues, items, chars), before, after)
+    got = X.batches_with_context(cues, items, chars, before, after)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert X.batches_with_context(cues.limit(0)).count() == 0
