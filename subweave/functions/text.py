@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: white space as caption players see it, scripts written without blanks, punctuation, connecting words
-SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = r"[\t\n\x0B\f\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]"  # other letters fail at the range
 CJK = r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uAC00-\uD7AF]"
 CONNECTOR_END = r"(?:和|与|或|而|并|从|向|给|把|被|对|在|为|将|让|跟|比|及)\z"
 LEADING_PUNCTUATION = r"\A[,.;:!?，。！？；：、]"
@@ -31,32 +32,44 @@ PRICES = {"gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-3.5-turbo": (0
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(BLANKS))
+
+
+def _replaced(text: Column, found: str, *replacements: tuple[str, str]) -> Column:
+    """The replacements one after the other, for texts in which `found` occurs; most need one look only."""
+    out = text
+    for pattern, by in replacements:
+        out = F.regexp_replace(out, pattern, by)
+    return F.when(text.rlike(found), out).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return trimmed(F.regexp_replace(text, f"{SPACE}+", " "))
+    return trimmed(_replaced(text, rf"(?! (?!{SPACE})){SPACE}", (f"{SPACE}+", " ")))
+
+
+_CLOSED = ((rf"{SPACE}+([,.;:!?])", "$1"), (rf"{SPACE}+([，。！？；：])", "$1"))
 
 
 def _close_up(text: Column) -> Column:
     """No white space before punctuation."""
-    return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}+([,.;:!?])", "$1"), rf"{SPACE}+([，。！？；：])", "$1")
+    return _replaced(text, rf"{SPACE}[,.;:!?，。！？；：]", *_CLOSED)
 
 
 def normalize_event(text: Column) -> Column:
-    return trimmed(_close_up(F.regexp_replace(text, f"{SPACE}+", " ")))
+    return trimmed(_close_up(collapsed(text)))
 
 
 def normalize_cue(text: Column) -> Column:
     """Without the speaker mark at the start, other marks as blanks, white space collapsed."""
-    return collapsed(F.regexp_replace(F.regexp_replace(text, rf"\A>>{SPACE}*", ""), ">>", " "))
+    marked = F.regexp_replace(F.regexp_replace(text, rf"\A>>{SPACE}*", ""), ">>", " ")
+    return collapsed(F.when(text.contains(">>"), marked).otherwise(text))
 
 
 def normalize_merged(text: Column) -> Column:
-    out = F.regexp_replace(_close_up(text), rf"([(\[{{“‘]){SPACE}+", "$1")
-    out = F.regexp_replace(out, rf"{SPACE}+([)\]}}'\"”’])", "$1")
-    return trimmed(F.regexp_replace(out, f"{SPACE}{{2,}}", " "))
+    found = rf"{SPACE}[,.;:!?，。！？；：)\]}}'\"”’]|[(\[{{“‘]{SPACE}|{SPACE}{{2}}"
+    brackets = ((rf"([(\[{{“‘]){SPACE}+", "$1"), (rf"{SPACE}+([)\]}}'\"”’])", "$1"))
+    return trimmed(_replaced(text, found, *_CLOSED, *brackets, (f"{SPACE}{{2,}}", " ")))
 
 
 def normalize_render(text: Column) -> Column:
@@ -70,8 +83,12 @@ def is_cjk(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    t = trimmed(text)
-    return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, f"{SPACE}+")))
+    return tidy_word_count(collapsed(text))
+
+
+def tidy_word_count(t: Column) -> Column:
+    """Words of a text whose white space is collapsed."""
+    return F.when(F.length(t) == 0, 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
 
 
 def text_length(text: Column) -> Column:
@@ -106,17 +123,26 @@ def last_latin_word(text: Column) -> Column:
     return F.lower(F.regexp_extract(normalize_cue(text), r"([A-Za-z][A-Za-z'\-]*)\z", 1))
 
 
-def is_dangling(text: Column, source: bool = True) -> Column:
-    """Whether a cue can't stand alone. source: also for words that need a next one."""
-    t = normalize_cue(text) if source else collapsed(text)
-    n = text_length(t)
-    cjk = (n <= 6) | t.rlike(CONNECTOR_END)
+def asks_for_more(t: Column) -> Column:
+    """Whether the last Latin word of a text whose white space is collapsed asks for a next one."""
+    last = F.lower(F.regexp_extract(F.substring_index(t, " ", -1), r"([A-Za-z][A-Za-z'\-]*)\z", 1))
+    return last.isin(WEAK_LAST_WORDS) | last.endswith("-")
+
+
+def loose_end(t: Column, n: Column, cjk: Column, source: bool = True) -> Column:
+    """is_dangling of a text whose white space is collapsed, of length n."""
+    wide = (n <= 6) | t.rlike(CONNECTOR_END)
     words = (n <= 3) & ~t.rlike(STRONG_END)
     if source:
-        last = last_latin_word(t)
-        words = words | last.isin(WEAK_LAST_WORDS) | last.endswith("-")
+        words = words | asks_for_more(t)
     out = F.when((F.length(t) == 0) | t.rlike(SYMBOL_START), False).when(t.rlike(PUNCTUATION_ONLY) | t.rlike(LEADING_PUNCTUATION), True)
-    return F.coalesce(out.when(is_cjk(t), cjk).otherwise(words), F.lit(False))
+    return F.coalesce(out.when(cjk, wide).otherwise(words), F.lit(False))
+
+
+def is_dangling(text: Column, source: bool = True) -> Column:
+    """Whether a cue can't stand alone. source: also for words that need a next one."""
+    t = normalize_cue(text) if source else collapsed(text)
+    return loose_end(t, text_length(t), is_cjk(t), source)
 
 
 def is_suspicious(source: Column, translation: Column, in_context: bool = True) -> Column:
