@@ -122,6 +122,25 @@ def test_tasks_grow_with_prompts(spark):
     assert out.rdd.getNumPartitions() == 16 and out.where("content = prompt").count() == 1000
 
 
+def test_tasks_of_large_jobs_hold_many_calls(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("p"), "id").alias("prompt"))
+    out = X._asked(rows, {"": lambda p: p if len(p) <= 64 else []}, lambda d: d)
+    assert out.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism and out.where("content = prompt").count() == 20_000
+
+
+def test_rounds_after_the_first_compute_no_cues_again(spark):
+    plans = []
+
+    def keep(d):
+        plans.append(d._jdf.queryExecution().optimizedPlan().toString())
+        return written(d)
+
+    broken = lambda prompts: ["no array" if len(items(p)) > 1 else lower([p])[0] for p in prompts]
+    out = X.translate_to_bilingual(cues_of(spark, 7).repartition(2), "fr", broken, checkpoint=keep)
+    assert [r.translated_text for r in out.orderBy("cue_index").collect()] == [f"line a{k} is here" for k in range(7)]
+    assert len(plans) > 4 and not any("Join" in p or "Aggregate" in p for p in plans[1:])
+
+
 @pytest.mark.parametrize(("items", "chars", "before", "after"), [(12, 900, 2, 1), (3, 40, 2, 1), (1, 900, 3, 3), (4, 30, 0, 0), (2, 15, 5, 4)])
 def test_batches_with_context_in_one_pass(spark, items, chars, before, after):
     import random
