@@ -14,11 +14,24 @@ def _gap(k):  # noqa: ANN001, ANN202
     return F.when(k % 7 == 6, 1500).when(k % 5 == 4, 1100).when(k % 3 == 2, -150).otherwise(0)
 
 
+CHARS = 1 << 21  # characters in a partition of documents
+
+
+def spread_by_text(docs: DataFrame) -> DataFrame:
+    """docs (track_id, text) dealt by track, in as many partitions as their text needs.
+
+    Lines and words take many times the room of the text that they come from, and all that works on tracks stays in these
+    partitions. Their number is given, as those that Spark chooses by the size of the text would be too large for the words.
+    """
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // CHARS)), "track_id")
+
+
 def cues_from_documents(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """A cue for each line with text, 60 ms a character, with gaps and overlaps by number."""
-    d = table(spark, sf_dir, "documents")
+    d = spread_by_text(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("track_id"), "text", *extra))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    c = d.select(F.col("doc_id").cast("string").alias("track_id"), *extra, F.posexplode(lines).alias("cue_index", "text"))
+    c = d.select("track_id", *extra, F.posexplode(lines).alias("cue_index", "text"))
     duration = F.greatest(F.lit(400), 60 * F.length("text")).cast("double")
     w = Window.partitionBy("track_id").orderBy("cue_index")
     c = c.withColumns({"d": duration, "g": _gap(F.col("cue_index")).cast("double")})
