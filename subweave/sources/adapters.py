@@ -24,7 +24,8 @@ def spread_by_text(docs: DataFrame) -> DataFrame:
     partitions. Their number is given, as those that Spark chooses by the size of the text would be too large for the words.
     """
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // CHARS)), "track_id")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores * max(1, -(-chars // (CHARS * cores))), "track_id")  # whole waves of tasks
 
 
 def cues_from_documents(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
