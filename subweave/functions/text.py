@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,21 +33,42 @@ FRAGMENT_END = r"(?:的|了|着|过|而|并|及|将|把|被|在|对|给|从|向|
 PRICES = {"gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-3.5-turbo": (0.5, 1.5)}  # per million tokens in and out
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def unless_blank(text: Column) -> Column:
+    """For select: the text as a column, without the rows for which it is blank or null. A filter after the projection would have it computed twice."""
+    return F.explode(F.filter(F.array(text), lambda t: t != ""))
+
+
 def trimmed(text: Column) -> Column:
-    return F.trim(text, F.lit(BLANKS))
+    """Without white space at the ends. The trim by a list of characters takes a text apart, so only those with some at an end go through it."""
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return let(text, lambda t: F.when(ends(t).rlike(SPACE), F.trim(t, F.lit(BLANKS))).otherwise(t))
 
 
-def _replaced(text: Column, found: str, *replacements: tuple[str, str]) -> Column:
+def _replaced(text: Column, found: str | Callable[[Column], Column], *replacements: tuple[str, str]) -> Column:
     """The replacements one after the other, for texts in which `found` occurs; most need one look only."""
-    out = text
-    for pattern, by in replacements:
-        out = F.regexp_replace(out, pattern, by)
-    return F.when(text.rlike(found), out).otherwise(text)
+
+    def one(t: Column) -> Column:
+        out = t
+        for pattern, by in replacements:
+            out = F.regexp_replace(out, pattern, by)
+        return F.when(t.rlike(found) if isinstance(found, str) else found(t), out).otherwise(t)
+
+    return let(text, one)
+
+
+def _odd_blanks(t: Column) -> Column:
+    """Whether a text may hold white space other than single blanks; wide characters count too, as one range is looked up faster than a list."""
+    return t.contains("  ") | t.rlike(r"[\t-\r\u00A0\u1680-\uFEFF]")
 
 
 def collapsed(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return trimmed(_replaced(text, rf"(?! (?!{SPACE})){SPACE}", (f"{SPACE}+", " ")))
+    return trimmed(_replaced(text, _odd_blanks, (f"{SPACE}+", " ")))
 
 
 _CLOSED = ((rf"{SPACE}+([,.;:!?])", "$1"), (rf"{SPACE}+([，。！？；：])", "$1"))
@@ -62,8 +85,8 @@ def normalize_event(text: Column) -> Column:
 
 def normalize_cue(text: Column) -> Column:
     """Without the speaker mark at the start, other marks as blanks, white space collapsed."""
-    marked = F.regexp_replace(F.regexp_replace(text, rf"\A>>{SPACE}*", ""), ">>", " ")
-    return collapsed(F.when(text.contains(">>"), marked).otherwise(text))
+    marked = lambda t: F.regexp_replace(F.regexp_replace(t, rf"\A>>{SPACE}*", ""), ">>", " ")
+    return collapsed(let(text, lambda t: F.when(t.contains(">>"), marked(t)).otherwise(t)))
 
 
 def normalize_merged(text: Column) -> Column:
@@ -86,14 +109,14 @@ def word_count(text: Column) -> Column:
     return tidy_word_count(collapsed(text))
 
 
-def tidy_word_count(t: Column) -> Column:
+def tidy_word_count(text: Column) -> Column:
     """Words of a text whose white space is collapsed."""
-    return F.when(F.length(t) == 0, 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    return let(text, lambda t: F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1))
 
 
 def text_length(text: Column) -> Column:
     """Characters of scripts without blanks, else words."""
-    return F.when(is_cjk(text), F.length(trimmed(text))).otherwise(word_count(text))
+    return let(text, lambda t: F.when(is_cjk(t), F.length(trimmed(t))).otherwise(word_count(t)))
 
 
 def text_stats(text: Column) -> Column:

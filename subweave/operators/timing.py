@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subweave.functions.text import cue_weight, normalize_event, is_cjk
+from subweave.functions.text import is_cjk, let, normalize_event, unless_blank
 
 HINT_MS, ATOM_MS = 220.0, 1600.0
 
@@ -70,9 +70,13 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("double")
 
 
+def _has_text(t: Column) -> Column:
+    return F.coalesce(t.rlike(r"\S"), F.lit(False))
+
+
 def event_end_hint(events: DataFrame) -> DataFrame:
     """events + end_hint_ms for events with text: the end of the next appending event or the start of the next one with text, whichever comes first; else its own end."""
-    has_text = F.exists(F.coalesce("segs", F.array().cast("array<struct<utf8:string,t_offset_ms:double>>")), lambda s: F.coalesce(F.trim(F.regexp_replace(s["utf8"], r"\s+", " ")), F.lit("")) != "")
+    has_text = F.exists(F.coalesce("segs", F.array().cast("array<struct<utf8:string,t_offset_ms:double>>")), lambda s: _has_text(s["utf8"]))
     appends = F.coalesce(F.col("a_append") == 1, F.lit(False))
     own_end = F.col("t_start_ms") + F.coalesce("d_duration_ms", F.lit(0.0))
     mark = F.when(appends, own_end).when(has_text, F.col("t_start_ms"))
@@ -82,36 +86,39 @@ def event_end_hint(events: DataFrame) -> DataFrame:
 
 
 def build_atoms(events: DataFrame) -> DataFrame:
-    """Words with times; see _atoms."""
-    return _atoms(events).drop("event_end")
-
-
-def _atoms(events: DataFrame) -> DataFrame:
     """Words with times: segments with text of events that don't append. A word ends where the next begins or after 1.6 s, the last of an event at its hint; after 220 ms at least."""
-    own = F.col("t_start_ms") + F.coalesce("d_duration_ms", F.lit(0.0))
-    e = event_end_hint(events).withColumn("event_end", own).where(~F.coalesce(F.col("a_append") == 1, F.lit(False)))
-    s = e.select("track_id", "event_index", "t_start_ms", "end_hint_ms", "event_end", F.posexplode("segs").alias("segment_index", "seg"))
-    s = s.where(F.length(F.trim(F.regexp_replace(F.coalesce("seg.utf8", F.lit("")), r"\s+", " "))) > 0)
-    s = s.select("track_id", "event_index", "segment_index", (F.col("t_start_ms") + F.coalesce("seg.t_offset_ms", F.lit(0.0))).alias("start_ms"), "end_hint_ms", "event_end", F.col("seg.utf8").alias("text"))
+    e = event_end_hint(events).where(~F.coalesce(F.col("a_append") == 1, F.lit(False)))
+    s = e.select("track_id", "event_index", "t_start_ms", "end_hint_ms", F.posexplode("segs").alias("segment_index", "seg"))
+    s = s.where(_has_text(F.col("seg.utf8")))
+    s = s.select("track_id", "event_index", "segment_index", (F.col("t_start_ms") + F.coalesce("seg.t_offset_ms", F.lit(0.0))).alias("start_ms"), "end_hint_ms", F.col("seg.utf8").alias("text"))
     order = Window.partitionBy("track_id").orderBy("start_ms", "event_index", "segment_index")
     following = F.lead("start_ms").over(order)
     same = F.coalesce(F.lead("event_index").over(order) == F.col("event_index"), F.lit(False))
     end = F.when(same, F.least(following, F.col("start_ms") + ATOM_MS)).otherwise(F.col("end_hint_ms"))
-    return s.select("track_id", "event_index", "segment_index", "start_ms", F.greatest(end, F.col("start_ms") + HINT_MS).alias("end_ms"), "text", "event_end")
+    return s.select("track_id", "event_index", "segment_index", "start_ms", F.greatest(end, F.col("start_ms") + HINT_MS).alias("end_ms"), "text")
 
 
 def combined_atoms(texts: Column) -> Column:
     """Words joined by a blank unless there is one, or what stands there so far is in a script without blanks."""
-    plain = F.array_join(texts, " ")  # without such a script, as blanks are collapsed afterwards
     joined = F.aggregate(texts, F.lit(""), lambda a, t: F.when((a != "") & ~is_cjk(a) & ~a.endswith(" ") & ~t.startswith(" "), F.concat(a, F.lit(" "), t)).otherwise(F.concat(a, t)))
-    return normalize_event(F.when(is_cjk(plain), joined).otherwise(plain))
+    # without such a script the order of blanks doesn't matter, as they are collapsed afterwards
+    return normalize_event(let(F.array_join(texts, " "), lambda plain: F.when(is_cjk(plain), joined).otherwise(plain)))
 
 
 def scrolling_rows(events: DataFrame) -> DataFrame:
-    """One cue for each event with words: their text, from the first word's start to the later of the last word's end and the event's."""
-    words = F.array_sort(F.collect_list(F.struct("start_ms", "segment_index", "text", "end_ms")))
-    rows = _atoms(events).groupBy("track_id", "event_index").agg(words.alias("w"), F.max("event_end").alias("event_end"))
-    rows = rows.select("track_id", "event_index", F.get("w", 0)["start_ms"].alias("start_ms"), F.greatest(F.element_at("w", -1)["end_ms"], "event_end").alias("end_ms"), combined_atoms(F.transform("w", lambda w: w["text"])).alias("text")).where("text <> ''")
+    """One cue for each event with words: their text, from the first word's start to the later of the last word's end and the event's.
+
+    The words stay in their event's row: what follows an event's last word is another event's, so it ends at its hint, and no other
+    word's end is asked for.
+    """
+    own = F.col("t_start_ms") + F.coalesce("d_duration_ms", F.lit(0.0))
+    e = event_end_hint(events).withColumn("event_end", own).where(~F.coalesce(F.col("a_append") == 1, F.lit(False)))
+    start = lambda s: F.col("t_start_ms") + F.coalesce(s["t_offset_ms"], F.lit(0.0))
+    word = lambda s, i: F.struct(start(s).alias("start_ms"), i.alias("segment_index"), s["utf8"].alias("text"), F.greatest("end_hint_ms", start(s) + HINT_MS).alias("end_ms"))
+    words = F.filter(F.transform("segs", word), lambda w: _has_text(w["text"]))
+    rows = e.select("track_id", "event_index", words.alias("w"), "event_end")
+    rows = rows.groupBy("track_id", "event_index").agg(F.array_sort(F.flatten(F.collect_list("w"))).alias("w"), F.max("event_end").alias("event_end"))
+    rows = rows.select("track_id", "event_index", F.get("w", 0)["start_ms"].alias("start_ms"), F.greatest(F.element_at("w", -1)["end_ms"], "event_end").alias("end_ms"), unless_blank(combined_atoms(F.transform("w", lambda w: w["text"]))).alias("text"))
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "event_index")) - 1
     return rows.select("track_id", number.alias("cue_index"), "start_ms", "end_ms", "text")
 

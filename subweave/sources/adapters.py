@@ -43,8 +43,8 @@ def cues_from_documents(spark: SparkSession, sf_dir: str, extra: tuple[str, ...]
 
 def events_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A timed-text event for each line, its words 300 ms apart, and an appending one with a line feed after each."""
-    c = cues_from_documents(spark, sf_dir)
-    words = F.filter(F.split("text", " "), lambda x: x != "")
+    c = cues_from_documents(spark, sf_dir).withColumn("words", F.filter(F.split("text", " "), lambda x: x != ""))  # used in several places
+    words = F.col("words")
     segs = F.transform(words, lambda x, i: F.struct(F.when(i == 0, x).otherwise(F.concat(F.lit(" "), x)).alias("utf8"), (i * 300).cast("double").alias("t_offset_ms")))
     n = F.size(words)
     line = F.struct((F.col("cue_index") * 2).alias("event_index"), F.col("start_ms").alias("t_start_ms"), (300 * n + 500).cast("double").alias("d_duration_ms"), F.lit(1).alias("w_win_id"), F.lit(None).cast("int").alias("a_append"), segs.alias("segs"))
