@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from subweave.functions.text import collapsed, unless_blank
-from subweave.operators import timing
+from subweave.operators import layout, timing
 
 EVENTS = "track_id string, event_index int, t_start_ms double, d_duration_ms double, w_win_id int, a_append int, segs array<struct<utf8:string,t_offset_ms:double>>"
 
@@ -24,3 +24,16 @@ def test_a_text_is_computed_once_where_blank_ones_go(spark):
     out = d.select(unless_blank(collapsed(F.col("raw"))).alias("text"))
     assert [r.text for r in out.collect()] == ["a b"]
     assert sum("regexp_replace(" in line for line in _plan(out).splitlines()) == 1
+
+
+def test_layout_shuffles_once_for_each_pass_over_a_track(spark):
+    b = spark.createDataFrame([("t", 0, 0.0, 9000.0, "a b", "c d")], "track_id string, cue_index int, start_ms double, end_ms double, source_text string, translated_text string")
+    plan = layout.prepare_for_render(b, "vtt")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3
+    assert [(r.start_ms, r.end_ms, r.text) for r in layout.prepare_for_render(b, "vtt").collect()] == [(0.0, 9000.0, "c d")]
+
+
+def test_lines_are_counted_as_they_are_wrapped():
+    for t in ["", "one", "a b c d e f g h", "one, two ; three four five six", "字字字字字字字字，字字字 abc 字字", "aé b c d e"]:
+        for limit in (1, 2, 3, 20):
+            assert layout._rows_in(t, limit) == len(layout.wrap(t, limit)), (t, limit)
