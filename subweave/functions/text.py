@@ -44,9 +44,13 @@ def unless_blank(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space at the ends. The trim by a list of characters takes a text apart, so only those with some at an end go through it."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def _cut_ends(text: Column) -> Column:
+    """trimmed, for texts that take work: computed once, and taken apart by the list of characters only where an end is blank."""
     ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
-    return let(text, lambda t: F.when(ends(t).rlike(SPACE), F.trim(t, F.lit(BLANKS))).otherwise(t))
+    return let(text, lambda t: F.when(ends(t).rlike(SPACE), trimmed(t)).otherwise(t))
 
 
 def _replaced(text: Column, found: str | Callable[[Column], Column], *replacements: tuple[str, str]) -> Column:
@@ -68,7 +72,7 @@ def _odd_blanks(t: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return trimmed(_replaced(text, _odd_blanks, (f"{SPACE}+", " ")))
+    return _cut_ends(_replaced(text, _odd_blanks, (f"{SPACE}+", " ")))
 
 
 _CLOSED = ((rf"{SPACE}+([,.;:!?])", "$1"), (rf"{SPACE}+([，。！？；：])", "$1"))
@@ -80,7 +84,7 @@ def _close_up(text: Column) -> Column:
 
 
 def normalize_event(text: Column) -> Column:
-    return trimmed(_close_up(collapsed(text)))
+    return _cut_ends(_close_up(collapsed(text)))
 
 
 def normalize_cue(text: Column) -> Column:
@@ -92,13 +96,13 @@ def normalize_cue(text: Column) -> Column:
 def normalize_merged(text: Column) -> Column:
     found = rf"{SPACE}[,.;:!?，。！？；：)\]}}'\"”’]|[(\[{{“‘]{SPACE}|{SPACE}{{2}}"
     brackets = ((rf"([(\[{{“‘]){SPACE}+", "$1"), (rf"{SPACE}+([)\]}}'\"”’])", "$1"))
-    return trimmed(_replaced(text, found, *_CLOSED, *brackets, (f"{SPACE}{{2,}}", " ")))
+    return _cut_ends(_replaced(text, found, *_CLOSED, *brackets, (f"{SPACE}{{2,}}", " ")))
 
 
 def normalize_render(text: Column) -> Column:
     """As merged text, and no blank between two characters of a script without blanks."""
     out = F.regexp_replace(_close_up(text), f"({CJK}){SPACE}+({CJK})", "$1$2")
-    return trimmed(F.regexp_replace(out, f"{SPACE}{{2,}}", " "))
+    return _cut_ends(F.regexp_replace(out, f"{SPACE}{{2,}}", " "))
 
 
 def is_cjk(text: Column) -> Column:

@@ -274,15 +274,15 @@ def fallback_plan(batches: DataFrame, parsed: DataFrame, attempt: int, retries:
     b = batches.select("track_id", "batch_no", "start", "end")
     failed = b.join(parsed.where("error is not null").select("track_id", "batch_no").distinct(), ["track_id", "batch_no"])
     size = F.col("end") - F.col("start")
-    row = lambda d, s, e, a, how: d.select("track_id", s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(a).alias("attempt"), F.lit(how).alias("how"))
+    row = lambda s, e, a, how: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(a).alias("attempt"), F.lit(how).alias("how"))
     start, end, middle = F.col("start"), F.col("end"), F.col("start") + F.ceil(size / 2)
     if attempt < retries:
-        again = row(failed, start, end, attempt + 1, "retry")
-    else:
-        big = failed.where(size > 1)
-        again = row(failed.where(size == 1), start, end, 0, "line").unionByName(row(big, start, middle, 0, "half")).unionByName(row(big, middle, end, 0, "half"))
+        parts = F.array(row(start, end, attempt + 1, "retry"))
+    else:  # in one pass, as what came before would be computed for each part of a union
+        parts = F.when(size == 1, F.array(row(start, end, 0, "line"))).when(size > 1, F.array(row(start, middle, 0, "half"), row(middle, end, 0, "half")))
+    again = failed.select("track_id", F.explode(parts).alias("x")).select("track_id", "x.*")
     odd = parsed.where(F.col("error").isNull() & is_suspicious(F.col("source_text"), F.col("text")))
-    return again.unionByName(row(odd, F.col("cue_index"), F.col("cue_index") + 1, 0, "line"))
+    return again.unionByName(odd.select("track_id", row(F.col("cue_index"), F.col("cue_index") + 1, 0, "line").alias("x")).select("track_id", "x.*"))
 
 
 Model = Callable[[list[str]], list[str]]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from subweave.functions.text import collapsed, unless_blank
-from subweave.operators import layout, timing
+from subweave.operators import layout, timing, translate
 
 EVENTS = "track_id string, event_index int, t_start_ms double, d_duration_ms double, w_win_id int, a_append int, segs array<struct<utf8:string,t_offset_ms:double>>"
 
@@ -37,3 +37,11 @@ def test_lines_are_counted_as_they_are_wrapped():
     for t in ["", "one", "a b c d e f g h", "one, two ; three four five six", "字字字字字字字字，字字字 abc 字字", "aé b c d e"]:
         for limit in (1, 2, 3, 20):
             assert layout._rows_in(t, limit) == len(layout.wrap(t, limit)), (t, limit)
+
+
+def test_failed_batches_are_looked_up_once(spark):
+    batches = spark.createDataFrame([("t", 0, 0, 5), ("t", 1, 5, 6), ("t", 2, 6, 9)], "track_id string, batch_no int, start int, end int")
+    parsed = spark.createDataFrame([("t", 0, None, None, "count", None), ("t", 1, None, None, "id", None), ("t", 2, 7, "...", None, "a line of some length")], "track_id string, batch_no int, cue_index int, text string, error string, source_text string")
+    plan = translate.fallback_plan(batches, parsed, 0)
+    assert _plan(plan).count("Join") == 1
+    assert sorted(tuple(r) for r in plan.collect()) == [("t", 0, 3, 0, "half"), ("t", 3, 5, 0, "half"), ("t", 5, 6, 0, "line"), ("t", 7, 8, 0, "line")]
