@@ -7,17 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subweave.functions.text import CONNECTOR_END, LEADING_PUNCTUATION, PUNCTUATION_ONLY, collapsed, is_cjk, trimmed, visible_length, word_count
+from subweave.functions.text import CONNECTOR_END, LEADING_PUNCTUATION, MARK, PUNCTUATION_ONLY, blanks_of, collapsed, first, is_cjk, last, odd_blanks, trimmed, trimmed_column, unless_blank, visible_length, word_count
 from subweave.operators.timing import cue_gaps
 
 
 def _measured(cues: DataFrame) -> DataFrame:
-    t = trimmed(F.col("text"))
-    c = cue_gaps(cues).withColumns({"cjk": is_cjk(t), "chars": visible_length(t), "words": word_count(t), "ms": F.col("end_ms") - F.col("start_ms"), "t": t})
+    t, odd, blanks = F.col("t"), F.col("odd"), F.col("blanks")
+    # columns one after the other, each computed once; without odd blanks, visible characters and words follow from the number of blanks
+    c = cue_gaps(cues).withColumn("t", trimmed_column("text")).withColumns({"odd": odd_blanks(t), "blanks": blanks_of(t), "head": first(t), "tail": last(t)})
+    words = F.when(t == "", 0).when(odd, word_count(t)).otherwise(blanks + 1)
+    c = c.withColumns({"cjk": is_cjk(t), "chars": F.when(odd, visible_length(t)).otherwise(F.length(t) - blanks), "words": words, "ms": F.col("end_ms") - F.col("start_ms")})
     cjk, chars, words = F.col("cjk"), F.col("chars"), F.col("words")
     return c.withColumns({
         "short_cjk": cjk & chars.between(1, 6), "long_cjk": cjk & (chars > 28), "short_words": ~cjk & words.between(1, 3), "long_words": ~cjk & (words > 16),
-        "bare_punctuation": F.col("t").rlike(PUNCTUATION_ONLY), "leading_punctuation": F.col("t").rlike(LEADING_PUNCTUATION), "connector_end": F.col("t").rlike(CONNECTOR_END),
+        "bare_punctuation": F.col("head").rlike(MARK) & t.rlike(PUNCTUATION_ONLY), "leading_punctuation": F.col("head").rlike(LEADING_PUNCTUATION), "connector_end": F.col("tail").rlike(CONNECTOR_END),
         "too_brief": F.col("ms") < 900, "too_long": F.col("ms") > 8000,
     })
 
@@ -33,10 +36,11 @@ def cue_quality_metrics(cues: DataFrame, by: list[str]) -> DataFrame:
 
 def suspicious_examples(cues: DataFrame, k: int = 30, preview: int = 180) -> DataFrame:
     """The first k cues of each track that any flag marks, with the reasons."""
-    reasons = F.array_join(F.filter(F.array(*[F.when(F.col(f), f) for f in FLAGS]), lambda x: x.isNotNull()), ",")
-    c = _measured(cues).withColumn("reasons", reasons).where("reasons <> ''")
+    reasons = F.concat_ws(",", *[F.when(F.col(f), f) for f in FLAGS])
+    c = _measured(cues).select("*", unless_blank(reasons).alias("reasons"))
+    shown = F.when(F.col("odd"), collapsed(F.col("text"))).otherwise(F.col("t"))
     rank = F.row_number().over(Window.partitionBy("track_id").orderBy("cue_index"))
-    return c.withColumn("r", rank).where(F.col("r") <= k).select("track_id", "cue_index", "start_ms", "end_ms", "reasons", F.substring(collapsed(F.col("text")), 1, preview).alias("preview"))
+    return c.withColumn("r", rank).where(F.col("r") <= k).select("track_id", "cue_index", "start_ms", "end_ms", "reasons", F.substring(shown, 1, preview).alias("preview"))
 
 
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from subweave.functions.text import collapsed, unless_blank
-from subweave.operators import layout, timing, translate
+from subweave.functions.text import collapsed, is_suspicious, unless_blank, visible_length, word_count
+from subweave.operators import layout, quality, timing, translate
 
 EVENTS = "track_id string, event_index int, t_start_ms double, d_duration_ms double, w_win_id int, a_append int, segs array<struct<utf8:string,t_offset_ms:double>>"
 
@@ -45,3 +45,23 @@ def test_failed_batches_are_looked_up_once(spark):
     plan = translate.fallback_plan(batches, parsed, 0)
     assert _plan(plan).count("Join") == 1
     assert sorted(tuple(r) for r in plan.collect()) == [("t", 0, 3, 0, "half"), ("t", 3, 5, 0, "half"), ("t", 5, 6, 0, "line"), ("t", 7, 8, 0, "line")]
+
+
+ODD = ["a b", " a  b\t", "\u3000x\u00a0y ", "\u6211\u548c", "- -", ",a b", "...", "\u00e9 \u2014 b", "", " ", "one two\u2003three\u2026", "\u266a la", "\u4f60\u597d\u3000\u5440 "]
+
+
+def test_examples_look_at_a_text_once(spark):
+    cues = spark.createDataFrame([("t", k, k * 1000.0, k * 1000.0 + 1000, t) for k, t in enumerate(ODD)], "track_id string, cue_index int, start_ms double, end_ms double, text string")
+    out = quality.suspicious_examples(cues, 30)
+    assert _plan(out).count("trim(text") == 1
+    assert {r.cue_index: (r.reasons, r.preview) for r in out.collect()}[2] == ("short_words", "x y")
+    m = quality._measured(cues).select("text", "t", "chars", "words", visible_length(F.col("t")).alias("c"), word_count(F.col("t")).alias("w"), "bare_punctuation", "leading_punctuation", "connector_end").collect()
+    assert all((r.chars, r.words) == (r.c, r.w) for r in m)
+    assert [(r.bare_punctuation, r.leading_punctuation, r.connector_end) for r in m] == [(i in (4, 6), i in (5, 6), i == 3) for i in range(len(ODD))]
+
+
+def test_doubtful_answers_of_odd_texts(spark):
+    d = spark.createDataFrame([(s, t) for s in ("a line of twenty letters or more", *ODD[:6]) for t in ODD], "s string, t string")
+    bare = d.select(is_suspicious(F.col("s"), F.col("t"), False).alias("x"), is_suspicious(F.col("s"), F.col("t")).alias("y"), "s", "t").collect()
+    assert {r.t for r in bare if r.x} == {"- -", "...", "", " ", "one two\u2003three\u2026"}
+    assert {r.t for r in bare if r.y and r.s.startswith("a line")} - {r.t for r in bare if r.x} == {"a b", " a  b\t", "\u3000x\u00a0y ", "\u6211\u548c", ",a b", "\u00e9 \u2014 b", "\u266a la", "\u4f60\u597d\u3000\u5440 "}
