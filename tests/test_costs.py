@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from subweave.functions.text import collapsed, is_suspicious, unless_blank, visible_length, word_count
-from subweave.operators import layout, quality, timing, translate
+from subweave.operators import layout, merging, quality, timing, translate
 
 EVENTS = "track_id string, event_index int, t_start_ms double, d_duration_ms double, w_win_id int, a_append int, segs array<struct<utf8:string,t_offset_ms:double>>"
 
@@ -65,3 +65,12 @@ def test_doubtful_answers_of_odd_texts(spark):
     bare = d.select(is_suspicious(F.col("s"), F.col("t"), False).alias("x"), is_suspicious(F.col("s"), F.col("t")).alias("y"), "s", "t").collect()
     assert {r.t for r in bare if r.x} == {"- -", "...", "", " ", "one two\u2003three\u2026"}
     assert {r.t for r in bare if r.y and r.s.startswith("a line")} - {r.t for r in bare if r.x} == {"a b", " a  b\t", "\u3000x\u00a0y ", "\u6211\u548c", ",a b", "\u00e9 \u2014 b", "\u266a la", "\u4f60\u597d\u3000\u5440 "}
+
+
+def test_columns_describe_a_cue_as_the_fold_does(spark):
+    texts = ["one ( two", "and >> four", "five . six", "[la]", "\u6211\u548c", "- -", "wait-", "because", "one, two.", "\u00e9 \u2014 b,"]
+    cues = spark.createDataFrame([("t", k, k * 1000.0, k * 1000.0 + 900, t) for k, t in enumerate(texts)], "track_id string, cue_index int, start_ms double, end_ms double, text string")
+    d = merging._with_descriptions(cues)
+    both = d.select(F.struct(*merging.DESCRIPTION).alias("a"), merging._described(F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("b")).collect()
+    assert all(tuple(r.a) == tuple(r.b) for r in both)
+    assert [r.a.open for r in both] == [True, True, True, *[False] * 2, False, *[False] * 4]
