@@ -8,16 +8,18 @@ leaves out the cells of past days without reading a row. What grows with the tab
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subweave.operators import jobs as J
 from subweave.schemas import JOB, JOB_KEY, SEGMENT
-from subweave.sources.shared import file_system
+from subweave.sources.shared import deleted, file_system
 
 DAY_MS = 86_400_000
 NATURAL_KEY = [*JOB_KEY, "source_hash"]
@@ -72,9 +74,12 @@ class JobTable:
 
     def _read(self, manifest: dict, kind: str, chosen: Callable[[int, int], bool] = lambda day, bucket: True) -> DataFrame:
         """jobs or segments of the chosen cells, with the cells' day and bucket."""
-        files = [f for cell, x in manifest["cells"].items() if chosen(*map(int, cell.split("/"))) for f in x[kind]]
+        return self._table(kind, [f for cell, x in manifest["cells"].items() if chosen(*map(int, cell.split("/"))) for f in x[kind]])
+
+    def _table(self, kind: str, files: Sequence[str] = ()) -> DataFrame:
         schema = (JOB if kind == "jobs" else SEGMENT) + ", day int, bucket int"
-        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        # the optimizer sees that a filter that nothing passes gives no row, so joins with it go
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema).where(F.lit(False))
 
     def jobs(self, version: int | None = None) -> DataFrame:
         return self._read(self.manifest(version), "jobs").drop("day", "bucket")
@@ -104,9 +109,9 @@ class JobTable:
     def change(self, keys: DataFrame, edit: Callable[[DataFrame], DataFrame], new_segments: DataFrame | None = None, applied: tuple[str, int] | None = None, tries: int = 5) -> int:
         """Rewrites the cells of the keys' buckets in which edit (jobs -> jobs) changes anything; returns the version.
 
-        keys: rows with the natural key. new_segments: segment rows with the natural key of their job beside; they take the place of
-        the job's segments. applied: a stream's name and batch; a batch that has been applied changes nothing. Where another
-        writer was first, the change is made again on what that one left.
+        keys: rows with the natural key. new_segments: segment rows, whose job_id is the id that keys have beside the natural key of their
+        job; they take the place of the job's segments. applied: a stream's name and batch; a batch that has been applied changes
+        nothing. Where another writer was first, the change is made again on what that one left.
         """
         hit = {r.bucket for r in self._bucketed(keys).select("bucket").distinct().collect()}  # at most as many as there are buckets
         for attempt in range(tries):
@@ -114,20 +119,29 @@ class JobTable:
             if applied and old["applied"].get(applied[0], [-1])[0] >= applied[1]:
                 return old["version"]
             try:
-                return self._commit(old, self._changed(old, hit, edit, new_segments), {applied[0]: [applied[1], old["version"]]} if applied else None)
+                return self._commit(old, self._changed(old, hit, keys, edit, new_segments), {applied[0]: [applied[1], old["version"]]} if applied else None)
             except Conflict:
                 if attempt == tries - 1:
                     raise
         raise AssertionError
 
-    def _changed(self, old: dict, hit: set[int], edit: Callable[[DataFrame], DataFrame], new_segments: DataFrame | None) -> dict:
+    def _changed(self, old: dict, hit: set[int], keys: DataFrame, edit: Callable[[DataFrame], DataFrame], new_segments: DataFrame | None) -> dict:
         if not hit:
             return old["cells"]
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        edited = f"{self.path}/edited/{uuid.uuid4().hex}"
+        try:
+            return self._cells(old, hit, keys, edit, new_segments, folder, edited)
+        finally:
+            deleted(self.spark, edited)
+
+    def _cells(self, old: dict, hit: set[int], keys: DataFrame, edit: Callable[[DataFrame], DataFrame], new_segments: DataFrame | None, folder: str, edited: str) -> dict:
+        """edited: a folder for the edited jobs, which are compared, written and looked up, but made once."""
         before = self._read(old, "jobs", lambda _, bucket: bucket in hit)
         held = before.drop("day", "bucket")
         day = F.coalesce(F.floor(F.col("expires_at") / self.span_ms), F.lit(-1)).cast("int")
-        after = self._bucketed(edit(held)).withColumn("day", day)
+        self._bucketed(edit(held)).withColumn("day", day).write.parquet(edited)
+        after = self._table("jobs", [edited])
         # only cells with a row that is new, gone or changed
         columns = held.columns
         digest = lambda d: d.groupBy("day", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))
@@ -141,30 +155,30 @@ class JobTable:
         for cell, files in touched.items():
             cells.setdefault(cell, {"jobs": files, "segments": []})
         if new_segments is not None:
-            for cell, files in self._segments(old, hit, after, new_segments, folder).items():
+            for cell, files in self._segments(old, keys, after, new_segments, folder).items():
                 cells[cell]["segments"] = files
         return cells
 
-    def _segments(self, old: dict, hit: set[int], jobs: DataFrame, rows: DataFrame, folder: str) -> dict[str, list[str]]:
-        """The segments of the cells that get some: those of the rows' jobs replaced, under the ids by which the table knows these jobs."""
-        placed = jobs.select(*NATURAL_KEY, F.col("id").alias("held_id"), "day", "bucket")
-        same = None
-        for c in NATURAL_KEY:
-            equal = F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
-            same = equal if same is None else same & equal
-        fresh = rows.alias("s").join(placed.alias("p"), same).select("p.held_id", "p.day", "p.bucket", "s.*").drop(*NATURAL_KEY)
-        fresh = fresh.withColumns({"id": F.concat_ws("-", "held_id", "segment_index"), "job_id": F.col("held_id")}).drop("held_id")
-        cells = fresh.select("day", "bucket").distinct()
-        before = self._read(old, "segments", lambda _, bucket: bucket in hit)
-        stay = before.join(F.broadcast(cells), ["day", "bucket"], "left_semi").join(fresh.select("job_id").distinct(), "job_id", "left_anti")
-        return self._written(stay.unionByName(fresh.select(stay.columns)), "segments", folder)
+    def _segments(self, old: dict, keys: DataFrame, jobs: DataFrame, rows: DataFrame, folder: str) -> dict[str, list[str]]:
+        """The segments of the cells that get some: those of the rows' jobs replaced, under the ids by which the table knows these jobs.
+
+        Jobs meet by their natural keys, segments only by the id of their job. The new ones are written first: their files say which
+        cells get some and which jobs' segments go, so they are made once.
+        """
+        same = functools.reduce(operator.and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in NATURAL_KEY])
+        placed = keys.select(*NATURAL_KEY, F.col("id").alias("job_id")).alias("k").join(jobs.alias("p"), same).select("k.job_id", F.col("p.id").alias("held_id"), "p.day", "p.bucket")
+        fresh = rows.join(placed, "job_id").withColumns({"id": F.concat_ws("-", "held_id", "segment_index"), "job_id": F.col("held_id")})
+        found = self._written(fresh.select(self._table("segments").columns), "segments", folder)
+        before = [f for cell in found for f in old["cells"].get(cell, {"segments": []})["segments"]]
+        if before:
+            replaced = self._table("segments", [f for files in found.values() for f in files]).select("job_id").distinct()
+            for cell, files in self._written(self._table("segments", before).join(replaced, "job_id", "left_anti"), "segments", f"{folder}/kept").items():
+                found[cell] = found[cell] + files
+        return found
 
     def upsert(self, incoming: DataFrame, now_ms: int, segments: DataFrame | None = None, applied: tuple[str, int] | None = None) -> int:
         """See upsert_jobs. segments: rows as segments() of the sinks makes them, job_id being the incoming rows' id."""
-        rows = None
-        if segments is not None:
-            rows = segments.join(incoming.select(F.col("id").alias("job_id"), *NATURAL_KEY), "job_id")
-        return self.change(incoming, lambda jobs: J.upsert_jobs(jobs, incoming, now_ms), rows, applied)
+        return self.change(incoming, lambda jobs: J.upsert_jobs(jobs, incoming, now_ms), segments, applied)
 
     def update_status(self, updates: DataFrame, now_ms: int) -> int:
         """See update_job_status."""
