@@ -25,8 +25,9 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 def latest_job(jobs: DataFrame, keys: list[str], status: str | None = None) -> DataFrame:
     """The newest job of each key (ties to the greatest id), by partial maximum rather than by sorting every key's history."""
     rows = jobs if status is None else jobs.where(F.col("status") == status)
-    every = F.struct(*[F.col(c) for c in jobs.columns])
-    return rows.groupBy(*keys).agg(F.max_by(every, F.struct("created_at", "id")).alias("j")).select("j.*")
+    order = ["created_at", "id"]
+    newest = F.max(F.struct(*order, *[c for c in jobs.columns if c not in [*keys, *order]]))  # what passes through the shuffle holds no column twice
+    return rows.groupBy(*keys).agg(newest.alias("j")).select(*[F.col(c) if c in keys else F.col(f"j.{c}") for c in jobs.columns])
 
 
 def lookup_cached(requests: DataFrame, jobs: DataFrame, check_expiry: bool = False, now_ms: int | None = None) -> DataFrame:
@@ -87,8 +88,9 @@ def due_jobs(jobs: DataFrame, now_ms: int, max_retries: int = 3, n: int = 10) ->
 
 def upsert_jobs(jobs: DataFrame, incoming: DataFrame, now_ms: int) -> DataFrame:
     """Adds jobs; where the natural key is there already, only status, result and updated_at change, and the old id stays. incoming: one row a key."""
-    new = incoming.select(*NATURAL_KEY, F.struct(*[F.col(c) for c in jobs.columns]).alias("new"))
-    old = jobs.select(*NATURAL_KEY, F.struct(*[F.col(c) for c in jobs.columns]).alias("old"))
+    rest = [c for c in jobs.columns if c not in NATURAL_KEY]
+    new = incoming.select(*NATURAL_KEY, F.struct(*rest).alias("new"))
+    old = jobs.select(*NATURAL_KEY, F.struct(*rest).alias("old"))
     both = old.join(new, NATURAL_KEY, "full")
 
     def value(c: str) -> Column:
@@ -99,7 +101,7 @@ def upsert_jobs(jobs: DataFrame, incoming: DataFrame, now_ms: int) -> DataFrame:
             kept = F.when(F.col("new").isNotNull(), F.lit(now_ms).cast("long")).otherwise(kept)
         return F.when(F.col("old").isNull(), F.col(f"new.{c}")).otherwise(kept).alias(c)
 
-    return both.select(*[value(c) for c in jobs.columns])
+    return both.select(*[value(c) if c in rest else F.col(c) for c in jobs.columns])
 
 
 def update_job_status(jobs: DataFrame, updates: DataFrame, now_ms: int) -> DataFrame:

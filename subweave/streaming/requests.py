@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from subweave.operators.jobs import NATURAL_KEY, latest_job, new_jobs, plan_new_jobs, validate_requests
+from subweave.operators.jobs import NATURAL_KEY, latest_job, new_jobs, validate_requests
 from subweave.schemas import JOB_KEY
 from subweave.sources.job_table import JobTable
-from subweave.sources.shared import deleted, exists, file_system
+from subweave.sources.shared import deleted, exists, file_system, new_path
 
 
 def dedupe_in_flight(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -22,10 +22,12 @@ def dedupe_in_flight(requests: DataFrame, delay: str = "10 minutes") -> DataFram
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(NATURAL_KEY)
 
 
-def classify_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """requests + state: invalid, hit, in-progress or new, against a static job table."""
-    done = latest_job(jobs, JOB_KEY, "done").where("bilingual_json is not null").select(*JOB_KEY, F.lit(True).alias("is_done"))
-    busy = latest_job(jobs, NATURAL_KEY).where(F.col("status").isin("pending", "translating")).select(*NATURAL_KEY, F.lit(True).alias("is_busy"))
+def classify_requests(requests: DataFrame, jobs: DataFrame, unique: bool = False) -> DataFrame:
+    """requests + state: invalid, hit, in-progress or new, against a static job table. unique: jobs have one row a natural key, as in a JobTable."""
+    made = jobs.where("status = 'done'").select(*JOB_KEY, "created_at", "id", F.col("bilingual_json").isNotNull().alias("made"))
+    done = latest_job(made, JOB_KEY).where("made").select(*JOB_KEY, F.lit(True).alias("is_done"))
+    newest = jobs if unique else latest_job(jobs.select(*NATURAL_KEY, "created_at", "id", "status"), NATURAL_KEY)
+    busy = newest.where(F.col("status").isin("pending", "translating")).select(*NATURAL_KEY, F.lit(True).alias("is_busy"))
     out = validate_requests(requests).join(done, JOB_KEY, "left").join(busy, NATURAL_KEY, "left")
     state = F.when(F.col("error").isNotNull(), "invalid").when(F.col("is_done"), "hit").when(F.col("is_busy"), "in-progress").otherwise("new")
     return out.withColumn("state", state).drop("is_done", "is_busy")
@@ -42,10 +44,15 @@ def job_arrivals(table: JobTable, name: str, states: str, now_ms: Callable[[], i
         last, before = table.manifest()["applied"].get(name, [-1, 0])
         jobs = table.jobs(before if last == epoch else None)
         place = f"{states}/batch={epoch}"
-        classify_requests(batch, jobs).write.mode("overwrite").parquet(place)
-        seen = batch.sparkSession.read.parquet(place)
-        now = now_ms()
-        table.upsert(new_jobs(plan_new_jobs(seen.where("state = 'new'"), jobs), now), now, applied=(name, epoch))
+        classify_requests(batch, jobs, unique=True).write.mode("overwrite").parquet(place)
+        # no key of a new request is busy, as its state says
+        fresh = batch.sparkSession.read.parquet(place).where("state = 'new'").select(*NATURAL_KEY).dropDuplicates()
+        now, added = now_ms(), new_path(batch.sparkSession, "added")
+        new_jobs(fresh, now).write.parquet(added)
+        try:
+            table.upsert(batch.sparkSession.read.parquet(added), now, applied=(name, epoch))
+        finally:
+            deleted(batch.sparkSession, added)
 
     return run
 
