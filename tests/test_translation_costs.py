@@ -1,0 +1,122 @@
+"""What rounds of translation write and shuffle: a line once for each round that still asks for it, no prompts, and nothing for lines that are done with."""
+
+import json
+import sys
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from subweave.operators import translate as X
+from subweave.params import Params
+from subweave.sources.shared import written
+from tests.test_translation import CUES, cues_of, items, lower
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules["tests.test_translation"])  # the models run on executors, which don't have these files
+
+
+def kept_by(tables):
+    def keep(d):
+        tables.append((d.columns, d._jdf.queryExecution().executedPlan().toString(), written(d)))
+        return tables[-1][2]
+
+    return keep
+
+
+def texts_in(table):
+    """Characters of all texts in a table."""
+    return sum(len(json.dumps(json.loads(r), ensure_ascii=False)) for r in table.select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0])
+
+
+def test_prompts_are_not_kept_and_lines_that_are_done_go(spark):
+    text = "a line of the talk that is rather long " * 8
+    cues = spark.createDataFrame([("t", k, 1.0 * k, k + 0.5, f"{k} {text}") for k in range(40)], CUES)
+    tables = []
+    out = X.translate_to_bilingual(cues, "fr", lower, checkpoint=kept_by(tables))
+    assert sorted(r.cue_index for r in out.collect()) == list(range(40)) and out.columns == ["track_id", "cue_index", "start_ms", "end_ms", "source_text", "translated_text"]
+    assert not any("prompt" in c for columns, *_ in tables for c in columns)
+    chars = 40 * len(text)
+    assert all(texts_in(table) < 2.6 * chars for *_, table in tables)  # source and answer
+    assert tables[-1][2].where(F.size("lines") > 0).count() == 0
+
+
+def test_cues_that_are_dealt_by_track_are_asked_where_they_lie(spark):
+    cues, tables = cues_of(spark, 30, "abc").repartition(3, "track_id"), []
+    out = X.translate_to_bilingual(cues, "fr", lower, checkpoint=kept_by(tables), partitions=X.AS_DEALT)
+    assert len(tables) == 1 and tables[0][1].count("Exchange") == 1  # the dealing itself
+    assert sorted((r.track_id, r.cue_index, r.translated_text) for r in out.collect()) == sorted((t, k, f"line {t}{k} is here") for t in "abc" for k in range(30))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_lines_that_no_round_settles_keep_their_texts(spark):
+    # numbers far apart: more halvings than there are rounds
+    cues = spark.createDataFrame([("t", k, 0.0, 1.0, f"Line {k}") for k in (0, 5000, 10_000_000)], CUES)
+    out = X.translate_to_bilingual(cues, "fr", lambda prompts: ["none"] * len(prompts)).collect()
+    assert sorted((r.cue_index, r.source_text, r.translated_text) for r in out) == [(k, f"Line {k}", f"Line {k}") for k in (0, 5000, 10_000_000)]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 8])
+def test_stretches_share_the_lines_around(spark, batches):
+    cues = cues_of(spark, 25, "ab")
+    rows = X.stretches(cues, 3, 900, 2, 1, batches=batches).collect()
+    assert sorted((r.track_id, x.own.cue_index) for r in rows for x in r.lines if x.own) == sorted((t, k) for t in "ab" for k in range(25))
+    for r in rows:
+        first, last = r.parts[0].start, r.parts[-1].end
+        assert [x["index"] for x in r.lines] == list(range(max(0, first - 2), min(25, last + 1))) and len(r.parts) <= batches
+
+
+def test_columns_of_cues_stay(spark):
+    cues = cues_of(spark, 3).select(F.lit("en").alias("lang"), "text", F.col("cue_index").cast("long").alias("cue_index"), "track_id", F.to_timestamp(F.lit("2024-01-01 10:00:00")).alias("at time"))
+    upper = lambda ps: [json.dumps([{"id": int(k), "restored": t.upper()} for k, t in items(p)]) for p in ps]
+    for models in ({}, {"restore_fn": upper}):
+        out = X.translate_to_bilingual(cues, "fr", lower, **models)
+        assert out.columns == ["track_id", "cue_index", "lang", "source_text", "at time", "translated_text"] and out.schema["cue_index"].dataType.simpleString() == "bigint"
+        assert sorted((r.cue_index, r.lang, r.source_text, r["at time"].hour, r.translated_text) for r in out.collect()) == [(k, "en", f"Line a{k} is Here", 10, f"line a{k} is here") for k in range(3)]
+
+
+def test_a_ledger_passes_answers_to_all_that_ask_the_same(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def model(prompts):
+        import uuid
+
+        for p in prompts:
+            (asked / uuid.uuid4().hex).write_text(p)
+        return [a if len(items(p)) == 1 else "[]" for p, a in zip(prompts, lower(prompts), strict=True)]
+
+    def lines(prompts):
+        import uuid
+
+        if any("Line 2" in p for p in prompts):
+            raise RuntimeError("not this one")
+        for p in prompts:
+            (asked / uuid.uuid4().hex).write_text(p)
+        return [p.split("\n\nText: ", 1)[1].lower() for p in prompts]
+
+    # the same texts in several tracks, twice in a track, and as a single line in an earlier round than elsewhere
+    rows = [(t, k, 0.0, 1.0, f"Line {k % 4}") for t in "abc" for k in range(6)] + [("d", 0, 0.0, 1.0, "Line 1"), ("e", 0, 0.0, 1.0, "Line 9")]
+    cues, ledger = spark.createDataFrame(rows, CUES), X.Ledger(f"file://{tmp_path}/ledger", "m")
+    want = sorted((t, k, x if x == "Line 2" else x.lower()) for t, k, *_, x in rows)
+    for _ in range(2):
+        out = X.translate_to_bilingual(cues, "fr", model, line_fn=lines, ledger=ledger)
+        assert sorted((r.track_id, r.cue_index, r.translated_text) for r in out.collect()) == want
+        said = [f.read_text() for f in asked.iterdir()]
+        assert len(said) == len(set(said)) > 0
+    assert X.translate_to_bilingual(cues, "fr", model, line_fn=lines, ledger=ledger).count() == len(rows)
+
+
+def test_a_ledger_of_plain_answers_is_read(spark, tmp_path):
+    cues, ledger = cues_of(spark, 5), X.Ledger(f"file://{tmp_path}/ledger", "m")
+    batch = X.translation_prompts(X.batches_with_context(cues, 12, 900), "fr")
+    held = ledger.keyed(batch.withColumn("attempt", F.lit(0))).select("key", F.lit(json.dumps([{"id": k, "translation": f"held {k}"} for k in range(5)])).alias("content"))
+    held.write.parquet(ledger.path)
+    out = X.translate_to_bilingual(cues, "fr", lambda prompts: 1 / 0, ledger=ledger).collect()
+    assert sorted(r.translated_text for r in out) == [f"held {k}" for k in range(5)]
+
+
+def test_one_round_failed_by_all_lasts_as_long_as_retries(spark):
+    out = X.translate_to_bilingual(cues_of(spark, 4), "fr", lambda prompts: 1 / 0, Params(retries=1)).collect()
+    assert sorted(r.translated_text for r in out) == [f"Line a{k} is Here" for k in range(4)]
