@@ -237,9 +237,13 @@ GUIDANCE = {
 }
 
 
+def _guidance_said(kind: str, step: str, target: str | None) -> str:
+    return GUIDANCE[kind, step] + (f" {target}." if kind == "glossary" else "")
+
+
 def guidance_prompts(parts: DataFrame, kind: str, step: str, target: str | None = None) -> DataFrame:
     """map: (track_id, chunk_no, text) + prompt for each chunk. reduce: one prompt for each track from its chunks' answers."""
-    said = GUIDANCE[kind, step] + (f" {target}." if kind == "glossary" else "")
+    said = _guidance_said(kind, step, target)
     if step == "map":
         return parts.withColumn("prompt", F.concat(F.lit(said + "\n\n"), F.col("text")))
     answers = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"])
@@ -580,22 +584,49 @@ def restore_cues(cues: DataFrame, fn: Model, params: Params | None = None, check
     return _cues_of(got.select("track_id", F.explode("done").alias("x")), cues, text=F.col("x.text"))
 
 
-def guidance(cues: DataFrame, target: str, kinds: list[str], fn: Model, params: Params | None = None, checkpoint: Keep | None = None, ledger: Ledger | None = None) -> DataFrame:
+def _asked_chunks(chunks: DataFrame, kinds: list[str], target: str, fn: Model, keep: Keep) -> DataFrame:
+    """(track_id, chunk_no, a column for each kind): the answers to a chunk's prompts of all kinds, which are made where they are asked."""
+
+    @F.pandas_udf("array<string>")
+    def ask(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in rows:
+            said = iter(_said(fn, [p for row in prompts for p in row]))
+            yield pd.Series([[next(said) for _ in row] for row in prompts], index=prompts.index, dtype=object)
+
+    asks = F.array(*[F.concat(F.lit(f"{_guidance_said(kind, 'map', target)}\n\n"), F.col("text")) for kind in kinds])
+    got = chunks.select("track_id", "chunk_no", ask.asNondeterministic()(asks).alias("said"))
+    return keep(got.select("track_id", "chunk_no", *[F.get("said", k).alias(kind) for k, kind in enumerate(kinds)]))
+
+
+def guidance(cues: DataFrame, target: str, kinds: list[str], fn: Model, params: Params | None = None, checkpoint: Keep | None = None, ledger: Ledger | None = None, partitions: int | None = None) -> DataFrame:
     """(track_id, one column for each kind): a prompt for each chunk of a track's transcript, then one that combines the answers.
 
     kinds: of summary and glossary. A track of which any call of a kind fails or answers nothing has no such guidance: null.
+    partitions: into which tracks are dealt, whose tasks ask as well; AS_DEALT: cues lie by track in such ones. None: chunks are written and
+    dealt anew, as they are with a ledger.
     """
     p, keep = params or Params(), checkpoint or written
     line = F.struct("cue_index", trimmed(F.col("text")).alias("t"))
     texts = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"])
-    tracks = cues.groupBy("track_id").agg(F.array_join(F.filter(texts, lambda t: t != ""), "\n").alias("text"))
-    out = tracks.select("track_id")
-    chunks = keep(chunk_transcripts(tracks, p.chunk_chars))
+    dealt = cues.select("track_id", "cue_index", "text").repartition(partitions, "track_id") if partitions else cues
+    tracks = dealt.groupBy("track_id").agg(F.array_join(F.filter(texts, lambda t: t != ""), "\n").alias("text"))
+    out, name = cues.select("track_id").distinct(), language_name_of(target)
+    chunks = chunk_transcripts(tracks, p.chunk_chars)
+    if partitions is None or ledger is not None:
+        chunks = keep(chunks)
+    if ledger is None:
+        if partitions is None:
+            chunks = chunks.repartition(_tasks(chunks.count(), CALL, chunks.sparkSession.sparkContext.defaultParallelism), F.xxhash64("text"))
+        chunks = _asked_chunks(chunks, kinds, name, fn, keep)
     answer = F.nullif(trimmed(F.col("content")), F.lit(""))
     for kind in kinds:
-        parts = _asked(guidance_prompts(chunks, kind, "map", language_name_of(target)).select("track_id", "chunk_no", "prompt"), {"": fn}, keep, ledger).select("track_id", "chunk_no", answer.alias("text"))
+        if ledger is None:
+            parts = chunks.withColumn("content", F.col(kind))
+        else:
+            parts = _asked(guidance_prompts(chunks, kind, "map", name).select("track_id", "chunk_no", "prompt"), {"": fn}, keep, ledger)
+        parts = parts.select("track_id", "chunk_no", answer.alias("text"))
         whole = parts.groupBy("track_id").agg(F.bool_and(F.col("text").isNotNull()).alias("whole")).where("whole").select("track_id")
-        combined = _asked(guidance_prompts(parts.join(whole, "track_id", "left_semi"), kind, "reduce", language_name_of(target)), {"": fn}, keep, ledger)
+        combined = _asked(guidance_prompts(parts.join(whole, "track_id", "left_semi"), kind, "reduce", name), {"": fn}, keep, ledger)
         out = out.join(combined.select("track_id", answer.alias(kind)), "track_id", "left")
     return keep(out)
 
@@ -637,7 +668,7 @@ def translate_to_bilingual(
         cues, carried = restore_cues(cues.withColumn(kept_text, F.col("text")), restore_fn, p, keep, ledger, partitions), (*carried, kept_text)
         if partitions is not None:
             partitions = whole_waves(cues.sparkSession, cues.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0)
-    advice = None if guidance_fn is None else guidance(cues, target, list(guidance_kinds), guidance_fn, p, keep, ledger)
+    advice = None if guidance_fn is None else guidance(cues, target, list(guidance_kinds), guidance_fn, p, keep, ledger, partitions)
     todo, tasks, bare = _to_ask(cues, (p.batch_items, p.char_budget(), p.before, p.after), carried, partitions, advice), AS_DEALT, line_fn is not None
     given = _advice({} if advice is None else {c: F.col("advice")[c] for c in advice.columns if c != "track_id"})
     name = language_name(F.lit(target))

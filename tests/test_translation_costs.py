@@ -120,3 +120,26 @@ def test_a_ledger_of_plain_answers_is_read(spark, tmp_path):
 def test_one_round_failed_by_all_lasts_as_long_as_retries(spark):
     out = X.translate_to_bilingual(cues_of(spark, 4), "fr", lambda prompts: 1 / 0, Params(retries=1)).collect()
     assert sorted(r.translated_text for r in out) == [f"Line a{k} is Here" for k in range(4)]
+
+
+@pytest.mark.parametrize("partitions", [None, 2, X.AS_DEALT])
+def test_guidance_keeps_no_prompts(spark, partitions):
+    text = "a line of the talk that is rather long " * 8
+    cues = spark.createDataFrame([(t, k, 1.0 * k, k + 0.5, f"{k} {text}") for t in "ab" for k in range(60)], CUES)
+    tables = []
+    got = X.guidance(cues, "fr", ["summary", "glossary"], lambda prompts: [p[:9] for p in prompts], checkpoint=kept_by(tables), partitions=partitions)
+    assert sorted(tuple(r) for r in got.collect()) == [(t, "Combine t", "Combine t") for t in "ab"]
+    assert sum(texts_in(table) for *_, table in tables) < (0.2 if partitions is not None else 1.2) * 120 * len(text)
+
+
+def test_guidance_without_texts_or_with_failed_calls(spark):
+    cues = spark.createDataFrame([("a", 0, 0.0, 1.0, " "), ("b", 0, 0.0, 1.0, "x"), ("c", 0, 0.0, 1.0, "y")], CUES)
+
+    def advice(prompts):
+        if any(p.startswith("Summarise") and p.endswith("x") for p in prompts):
+            raise RuntimeError("no summary")
+        return ["said" for _ in prompts]
+
+    for partitions in (None, 2):
+        got = X.guidance(cues, "fr", ["summary", "glossary"], advice, partitions=partitions).collect()
+        assert sorted(map(tuple, got)) == [("a", None, None), ("b", None, "said"), ("c", "said", "said")]
