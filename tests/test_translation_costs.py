@@ -8,8 +8,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from subweave.operators import translate as X
+from subweave.operators.layout import prepare_for_render
+from subweave.operators.pipeline import caption_files
 from subweave.params import Params
 from subweave.sources.shared import written
+from subweave.sources.sinks import render_webvtt
 from tests.test_translation import CUES, cues_of, items, lower
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -143,3 +146,26 @@ def test_guidance_without_texts_or_with_failed_calls(spark):
     for partitions in (None, 2):
         got = X.guidance(cues, "fr", ["summary", "glossary"], advice, partitions=partitions).collect()
         assert sorted(map(tuple, got)) == [("a", None, None), ("b", None, "said"), ("c", "said", "said")]
+
+
+EVENTS = "track_id string, event_index int, t_start_ms double, d_duration_ms double, w_win_id int, a_append int, segs array<struct<utf8:string,t_offset_ms:double>>"
+
+
+def test_rendering_takes_cues_as_the_layout_dealt_them(spark):
+    b = spark.createDataFrame([("t", k, 9000.0 * k, 9000.0 * k + 8000, "a b", f"word {k} " * 20) for k in range(3)], "track_id string, cue_index int, start_ms double, end_ms double, source_text string, translated_text string")
+    out = render_webvtt(prepare_for_render(b, "vtt", partitions=6))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 3
+    assert out.collect() == render_webvtt(prepare_for_render(b, "vtt")).collect()
+
+
+def test_segments_are_translated_where_they_are_made(spark):
+    line = lambda t, k: (t, k, 4000.0 * k, 3000.0, 1, None, [(w if i == 0 else " " + w, 300.0 * i) for i, w in enumerate(f"The sentence {k} of {t} is a rather long one for a test.".split())])
+    events = spark.createDataFrame([line(t, k) for t in "abc" for k in range(9)], EVENTS)
+    advice = {"guidance_fn": lambda prompts: ["said"] * len(prompts)}
+    for models in ({}, advice):
+        tables, usual = [], []
+        got = caption_files(events.repartition(3, "track_id"), "fr", lower, checkpoint=kept_by(tables), partitions=X.AS_DEALT, **models)
+        want = caption_files(events, "fr", lower, checkpoint=kept_by(usual), **models)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+        if not models:
+            assert len(tables) == len(usual) - 1 == 1 and tables[0][1].count("Exchange") == 1
